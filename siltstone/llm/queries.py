@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.llm import licenses, mixing, quality_rules, sharding, token_counts
+from siltstone.llm import decontamination, licenses, mixing, quality_classifier, quality_rules, sharding, token_counts
 
-_MODULES = (token_counts, sharding, licenses, quality_rules, mixing)
+_MODULES = (token_counts, sharding, licenses, quality_rules, mixing, quality_classifier, decontamination)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
