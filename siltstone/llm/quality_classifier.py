@@ -27,11 +27,14 @@ from siltstone.llm.common import Scratch, documents
 #: Documents of the labelled sample at most: those of the smallest hashes.
 MAX_LABELLED = 20000
 BITS = 18
-EPOCHS = 6
-RATE = 0.1
+EPOCHS = 4
+#: Documents of the sample that a feature needs.
+MIN_DOCS = 10
+L1, L2, ALPHA = 10.0, 1.0, 0.5
 #: Posterior from which a document counts as bad or as toxic.
 BAD, TOXIC = 0.5, 0.5
 _EDGE = b".,;:!?\"'()[]{}"
+_LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = b"#*$%&|<>{}\\^~=_@+/"
 
 
@@ -40,7 +43,8 @@ def features(text: str | None) -> np.ndarray:
     mask = (1 << BITS) - 1
     if not text:
         return np.zeros(0, np.int32)
-    raw = text.encode().lower()
+    cased = text.encode()
+    raw = cased.lower()
     words = raw.split()
     if not words:
         return np.zeros(0, np.int32)
@@ -48,7 +52,11 @@ def features(text: str | None) -> np.ndarray:
     n = len(words)
     symbols = n and len(raw) - len(raw.translate(None, _SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
+    letters = len(raw) - len(raw.translate(None, _LETTERS))
+    capitals = len(cased) - len(cased.translate(None, _LETTERS.upper()))
     shape = {
+        b"\x01capitals": int(10 * capitals / max(1, letters)),
+        b"\x01shouts": min(10, int(10 * raw.count(b"!") / n)),
         b"\x01symbols": min(20, int(20 * symbols / n)),
         b"\x01mean": int(len(raw) / n),
         b"\x01words": n.bit_length(),
@@ -60,25 +68,33 @@ def features(text: str | None) -> np.ndarray:
     return np.fromiter(found, np.int32, len(found))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic model by AdaGrad over single documents; features are scaled by 1 / sqrt(their number)."""
-    w, g = np.zeros(1 << BITS), np.full(1 << BITS, 1e-2)
-    rate = labels.mean()
+def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, float]:
+    """Sparse weights and bias of a logistic model by FTRL-proximal updates over single documents.
+
+    The L1 term leaves words without signal at 0, so rare words of the sample are not learned by heart.
+    """
+    size = 1 << BITS
+    rate = labels.mean() if len(labels) else 0.0
     if not 0.0 < rate < 1.0:
-        return w.astype(np.float32), 0.0
+        return np.zeros(size, np.float32), 0.0
+    docs = np.zeros(size, np.int64)
+    for x in rows:
+        docs[x] += 1
+    rows = [x[docs[x] >= min_docs] for x in rows]
+    l1 = min(L1, max(1.0, L1 * len(rows) / 8000))
+    z, squares, w = np.zeros(size), np.zeros(size), np.zeros(size)
     bias = float(np.log(rate / (1 - rate)))
     order = np.random.default_rng(0)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
             x = rows[i]
-            if not len(x):
-                continue
-            scale = 4.0 / np.sqrt(len(x))
-            p = 1.0 / (1.0 + np.exp(-np.clip(w[x].sum() * scale + bias, -30, 30)))
-            d = (p - labels[i]) * scale
-            step = g[x] + d * d
-            g[x] = step
-            w[x] -= RATE * d / np.sqrt(step)
+            now = w[x]
+            d = 1.0 / (1.0 + np.exp(-np.clip(now.sum() + bias, -30, 30))) - labels[i]
+            old, new = squares[x], squares[x] + d * d
+            zx = z[x] + d - (np.sqrt(new) - np.sqrt(old)) / ALPHA * now
+            z[x], squares[x] = zx, new
+            w[x] = np.where(np.abs(zx) <= l1, 0.0, (np.sign(zx) * l1 - zx) / ((1.0 + np.sqrt(new)) / ALPHA + L2))
+            bias -= 0.02 * d
     return w.astype(np.float32), bias
 
 
@@ -118,9 +134,8 @@ def evidence(docs: DataFrame, models, *keep: str, text: str = "text") -> DataFra
             q, t = [], []
             for x in b.column(b.num_columns - 1).to_pylist():
                 f = features(x)
-                scale = 4.0 / np.sqrt(len(f)) if len(f) else 0.0
-                q.append(float(np.clip(wq[f].sum() * scale + bq, -30, 30)) if len(f) else 0.0)
-                t.append(float(np.clip(wt[f].sum() * scale + bt, -30, 30)) if len(f) else 0.0)
+                q.append(float(np.clip(wq[f].sum() + bq, -30, 30)) if len(f) else 0.0)
+                t.append(float(np.clip(wt[f].sum() + bt, -30, 30)) if len(f) else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(q), pa.array(t)], names=[*b.schema.names[:-1], "e_quality", "e_toxic"])
 
     return rows.mapInArrow(run, schema)
