@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
-from siltstone.llm import decontamination, licenses, mixing, near_duplicates, quality_classifier, quality_rules, sharding, token_counts
+from siltstone.llm import (
+    decontamination,
+    licenses,
+    mixing,
+    near_duplicates,
+    quality_classifier,
+    quality_rules,
+    repeated_passages,
+    sharding,
+    token_counts,
+)
 
-_MODULES = (token_counts, sharding, licenses, quality_rules, mixing, near_duplicates, quality_classifier, near_duplicates, decontamination)
+_MODULES = (token_counts, sharding, licenses, quality_rules, repeated_passages, mixing, quality_classifier, near_duplicates, decontamination)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
