@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siltstone.plans import interval_queries, reduction_queries
+from siltstone.plans import interval_queries, reduction_queries, state_queries
 
-_MODULES = (reduction_queries, interval_queries)
+_MODULES = (reduction_queries, interval_queries, state_queries)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
