@@ -86,31 +86,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _prepare(texts: DataFrame, n: int) -> DataFrame:
-    """(id, c, grams) for rows (id, text): c is a 128-bit name of the n-gram set, of the text if the set is empty."""
+def _prepare(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """Adds c and keys to rows whose last column is the text, which goes: c is a 128-bit name of the n-gram set, of the text if the set is
+    empty; keys are the band hashes, none for an empty set. The n-grams themselves are not kept."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]), "c binary, keys array<long>"])
 
     def run(batches):
         for b in batches:
-            names, sets = [], []
-            for t in b.column(1).to_pylist():
+            names, keys = [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
                 grams = ngrams(t, n)
-                raw = grams.tobytes()
-                names.append(xxhash.xxh3_128_digest(raw) if raw else b"-" + (b"" if t is None else xxhash.xxh3_128_digest(t.encode())))
-                sets.append(raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(sets, pa.binary())], names=["k", "c", "grams"])
+                names.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else b"-" + (b"" if t is None else xxhash.xxh3_128_digest(t.encode())))
+                keys.append(_signed(signature(grams, bands, rows)).tolist() if len(grams) else [])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "c", "keys"])
 
-    return texts.mapInArrow(run, "k binary, c binary, grams binary")
+    return texts.mapInArrow(run, schema)
 
 
-def _banded(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(node, keys) of the representatives (node, grams)."""
+def _with_grams(texts: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of rows (node, t)."""
 
     def run(batches):
         for b in batches:
-            keys = [_signed(signature(np.frombuffer(g, np.uint64), bands, rows)).tolist() for g in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            sets = [ngrams(t, n).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
 
-    return reps.where("octet_length(grams) > 0").select("node", "grams").mapInArrow(run, "node long, keys array<long>")
+    return texts.select("node", "t").mapInArrow(run, "node long, grams binary")
 
 
 def _roots(parent: dict[int, int], x: int) -> int:
@@ -186,18 +187,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     bands, rows = bands_for(threshold, recall)
     ident = keep[0]
     key = F.unhex(F.md5(F.col(text).cast("binary")))
-    # Equal texts are prepared once; any of them will do.
-    slim = scratch.write(docs.select(*keep, key.alias("_k")), "slim")
-    once = docs.select(key.alias("k"), F.col(text).alias("t")).dropDuplicates(["k"])
-    prepared = scratch.write(_prepare(once, n), "prepared")
-    # Ids and numbers of copies by text first, then by set: two small aggregations, hot texts are combined before the shuffle.
-    by_text = slim.groupBy("_k").agg(F.min(ident).alias("id"), F.count("*").alias("n"))
-    classes = prepared.select("k", "c").join(by_text, F.col("k").eqNullSafe(F.col("_k"))).select("k", "c", "id", "n")
-    classes = scratch.write(classes, "classes")
-    sets = classes.groupBy("c").agg(F.min("id").alias("copy_id"), F.sum("n").alias("n_copies"), F.min("k").alias("k"))
+    rows_of = scratch.write(_prepare(docs.select(*keep, key.alias("_k"), text), n, bands, rows), "prepared")
+    slim = rows_of.select(*keep, "_k", "c")
+    # Ids and numbers of copies by set; equal texts have equal sets. Hot sets are combined before the shuffle.
+    sets = rows_of.groupBy("c").agg(F.min(ident).alias("copy_id"), F.count("*").alias("n_copies"), F.min("_k").alias("k"))
     sets = scratch.write(sets.withColumn("node", F.xxhash64("c")), "sets")
-    reps = prepared.select("c", "k", "grams").join(sets.select("c", "k", "node", "n_copies"), ["c", "k"])
-    banded = scratch.write(_banded(reps, bands, rows), "banded")
+    distinct = rows_of.where("size(keys) > 0").select("c", "_k", "keys").dropDuplicates(["c"])
+    banded = scratch.write(distinct.join(sets.select("c", "node"), "c").select("node", "keys"), "banded")
     entries = banded.select("node", F.posexplode("keys").alias("band", "h"))
     buckets = scratch.write(entries.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"), "buckets")
     star = entries.join(buckets, ["band", "h"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
@@ -207,7 +203,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     counts = groups.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / tile).cast("int")).drop("m")
     block = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
     members = groups.join(counts, "root").select("node", "root", "blocks", block.alias("block"))
-    members = members.join(banded, "node").join(reps.select("node", "grams", F.col("n_copies").alias("weight")), "node")
+    # Only representatives with a candidate get their n-grams, from one text each.
+    wanted = members.select("node").join(sets.select("node", "k", F.col("n_copies").alias("weight")), "node")
+    texts = docs.select(key.alias("k"), F.col(text).alias("t")).join(wanted.select("k", "node"), "k").dropDuplicates(["k", "node"])
+    members = members.join(banded, "node").join(_with_grams(texts, n), "node").join(wanted.select("node", "weight"), "node")
     # Block i meets blocks i..: side 0 in its own row of tiles, side 1 in the tiles of smaller blocks.
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"))))
     dealt = members.withColumn("at", pairs).select(
@@ -224,8 +223,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     named = scratch.write(named, "named")
     class_ids = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     named = named.join(class_ids, "root").select("c", "class_id", "copy_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    by_key = classes.select("k", "c").join(named, "c").drop("c")
-    return slim.join(by_key, F.col("_k").eqNullSafe(F.col("k"))).select(*keep, "class_id", "copy_id", "n_copies", "n_links")
+    return slim.join(named, "c").select(*keep, "class_id", "copy_id", "n_copies", "n_links")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):
