@@ -7,7 +7,7 @@ counts as contamination if it spans ``SPAN`` words or the whole item, and if its
 the same new value. So re-parameterised questions are caught as well as verbatim passages, whatever their case.
 
 Two templates are made of each text, with and without name placeholders, for copies that change names and copies that change case.
-Windows with fewer than ``LITERAL`` plain words are left out; a run goes across them.
+Windows with fewer than ``LITERAL`` plain words, or more than half of a shorter item, are left out; a run goes across them.
 
 The benchmark is broadcast up to ``MAX_BROADCAST`` windows (a checked count); a larger one is joined by a shuffle on the window hash, in which
 a hot window is split by adaptive execution. Documents are read whole; only hits leave a row.
@@ -87,7 +87,7 @@ def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
             total *= np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
     slots = np.concatenate([[0], np.cumsum(codes < 16)])
-    total[(size - (slots[size:] - slots[:-size])) < min(LITERAL, size)] = 0
+    total[(size - (slots[size:] - slots[:-size])) < min(LITERAL, size // 2 + 1)] = 0
     return total
 
 

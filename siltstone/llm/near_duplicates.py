@@ -42,7 +42,7 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int =
     best = (most, 1)
     for rows in range(1, most + 1):
         share = threshold**rows
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - share)) if share < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-share)) if 0 < share < 1 else 1 if share else most + 1
         if bands * rows <= most:
             best = (bands, rows)
     return best
