@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -114,24 +115,24 @@ def fingerprint(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     The shingle at i is the exclusive or of its bytes' hashes, each turned by its distance from the end; all shingles come from
     SHINGLE shifted arrays. Every SPAN shingles give their smallest; features are the smallest mixed values, sketch bits majority votes.
     """
-    h = _byte_hashes()[np.frombuffer(raw, np.uint8)]
-    width = min(SHINGLE, len(h))
-    n = len(h) - width + 1
+    data, table = np.frombuffer(raw, np.uint8), _turned()
+    width = min(SHINGLE, len(data))
+    n = len(data) - width + 1
     shingles = np.zeros(n, np.uint64)
     for k in range(width):
-        shingles ^= _rotate(h[k : k + n], width - 1 - k)
+        shingles ^= table[width - 1 - k][data[k : k + n]]
     least = np.minimum.reduceat(shingles, np.arange(0, n, SPAN))
-    features = np.array([_mix(least ^ np.uint64(s)).min() for s in FEATURE_SEEDS], np.uint64)
-    bits = np.arange(64, dtype=np.uint64)
-    sketch = []
-    for s in SKETCH_SEEDS:
-        ones = ((_mix(least ^ np.uint64(s))[:, None] >> bits) & np.uint64(1)).sum(axis=0)
-        sketch.append(int(((2 * ones.astype(np.int64) > len(least)).astype(np.uint64) << bits).sum(dtype=np.uint64)))
-    return features, np.array(sketch, np.uint64)
+    mixed = _mix(least[None, :] ^ np.array(FEATURE_SEEDS + SKETCH_SEEDS, np.uint64)[:, None])
+    bits = np.unpackbits(mixed[len(FEATURE_SEEDS) :].view(np.uint8).reshape(len(SKETCH_SEEDS), len(least), 8), axis=2, bitorder="little")
+    votes = 2 * bits.sum(axis=1, dtype=np.int64) > len(least)
+    return mixed[: len(FEATURE_SEEDS)].min(axis=1), np.packbits(votes, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _byte_hashes() -> np.ndarray:
-    return _mix(np.uint64(BYTE_SEED) ^ np.arange(256, dtype=np.uint64))
+@lru_cache(maxsize=1)
+def _turned() -> np.ndarray:
+    """Hashes of all bytes turned by 0 .. SHINGLE - 1 bits."""
+    h = _mix(np.uint64(BYTE_SEED) ^ np.arange(256, dtype=np.uint64))
+    return np.stack([_rotate(h, k) for k in range(SHINGLE)])
 
 
 def delta_runs(base: bytes, target: bytes) -> list[tuple[int, bytes]] | None:

@@ -103,7 +103,7 @@ def reduce(objects: DataFrame, policy: Policy) -> Reduction:
     deltas = prints = None
     if policy.has("similarity") or policy.has("reorder"):
         fresh = chunks.join(new.select("object_id", "ordinal"), ["object_id", "ordinal"])
-        prints = similarity.fingerprints(fresh)
+        prints = similarity.fingerprints(fresh).cache()
     if policy.has("delta"):
         found = similarity.candidates(prints, most=policy.candidates)
         single = regions.where("chunks = 1").select("object_id", "region", "payload_bytes").join(placed, ["object_id", "region"]).join(new.select("object_id", "ordinal", "chunk_id"), ["object_id", "ordinal"])
