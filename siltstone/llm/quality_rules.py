@@ -25,7 +25,7 @@ MIN_DOCS = 200
 #: Fences lie this many spreads beyond the quartiles.
 FENCE = 3
 #: Measure: (smallest spread, whether low values fail too). Shares count in 1/10000, the mean word length in 1/100 characters.
-MEASURES = {"symbols": (300, False), "repeats": (1000, False), "dup_lines": (1000, False), "word_length": (100, True)}
+MEASURES = {"symbols": (300, False), "repeats": (1000, False), "dup_lines": (2000, False), "word_length": (100, True)}
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
