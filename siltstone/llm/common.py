@@ -42,6 +42,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        # Nothing needs the shuffle files of a written table; Spark's cleaner removes them once the driver has collected its garbage.
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
