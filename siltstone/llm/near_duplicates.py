@@ -231,4 +231,17 @@ def op9_ngram_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {"op9_ngram_jaccard_join": op9_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+#: A join on all n-grams and a recursive closure: the plain way, for small tables.
+ORACLES = {
+    "op9_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 0 THEN CASE WHEN text IS NULL THEN chr(1) ELSE chr(2) || text END ELSE array_to_string(w[i : i + 4], ' ') END AS g
+  FROM (SELECT doc_id, text, w, unnest(range(1, greatest(CAST(len(w) AS BIGINT) - 3, 2))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+b AS (SELECT a.doc_id AS x, c.doc_id AS y, count(*) AS k FROM g a JOIN g c ON a.g = c.g AND a.doc_id <> c.doc_id GROUP BY ALL),
+l AS (SELECT x, y, k = p.n AND k = q.n AS same FROM b JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * k >= 4 * (p.n + q.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+s AS (SELECT x, min(y) AS class_id FROM r GROUP BY x)
+SELECT w.doc_id, class_id, least(w.doc_id, min(y) FILTER (same)) AS copy_id, 1 + count(*) FILTER (same) AS n_copies, count(y) AS n_links
+FROM w JOIN s ON s.x = w.doc_id LEFT JOIN l ON l.x = w.doc_id GROUP BY w.doc_id, class_id""",
+}

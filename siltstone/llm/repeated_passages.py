@@ -8,11 +8,12 @@ A byte goes if a ``LENGTH``-byte string that covers it starts anywhere else too.
 * *Parse.* The starts that share their first trigger are a phrase; a text is a row of phrases. The ``SEED`` bytes at a phrase's trigger lie
   inside every string that starts in the phrase, so a phrase whose seed occurs once in the corpus holds no repeated string. Only
   the others are followed up.
-* *Dictionary.* A phrase with the bytes its strings reach into is named by a 128-bit fingerprint. Phrases of the parse with equal names
-  stand for equal strings, so a phrase that occurs twice is repeated as a whole, and each distinct phrase is looked at once.
-* *Corpus order.* The suffixes of the dictionary's phrases are ranked by their first ``LENGTH`` bytes. Only equality of ranks is needed, so a
-  rank is a 128-bit fingerprint of those bytes instead of a place in the sorted order, and equal ranks meet in a hash aggregation
-  with map-side combine: no task holds a hot passage. A suffix repeats if its rank belongs to two suffixes of the corpus.
+* *Dictionary.* A phrase with the bytes its strings reach into is named by its seed and a fingerprint, 128 bits together. Phrases of the parse
+  with equal names stand for equal strings, so a phrase that occurs twice is repeated as a whole, and each distinct phrase is looked at once.
+* *Corpus order.* The suffixes of a seed's phrases are put in the order of their first ``LENGTH`` bytes. Only equality of neighbours is needed, so a
+  suffix is ranked by a 128-bit fingerprint of those bytes. The phrases of a seed meet in one task up to ``TOGETHER`` of them; those of hotter
+  seeds meet by rank in an aggregation with map-side combine, so no task holds a hot passage. A suffix repeats if it has its
+  rank in common with another suffix of the corpus.
 
 Work and shuffles follow the number of phrases, about one in SPREAD / 2 bytes, and of distinct repeated phrases, not of bytes; highly
 repetitive text costs less than other text. A fingerprint is two polynomial hashes modulo 2^64 with random letters and multipliers.
@@ -34,6 +35,8 @@ from siltstone.llm.common import Scratch, documents
 
 LENGTH = 200
 ROLL = 16
+#: Distinct phrases of one seed that are compared in one task; seeds with more go through an aggregation of their suffixes.
+TOGETHER = 1000
 
 
 def _tables(seed: int):
@@ -95,7 +98,7 @@ class Parser:
         self.a, self.b = Rolling(11), Rolling(23)
 
     def phrases(self, raw: np.ndarray):
-        """(begin, end, seed, name a, name b) of the phrases of a text: arrays, starts in [begin, end)."""
+        """(begin, end, seed, name) of the phrases of a text: arrays, starts in [begin, end)."""
         n = len(raw) - self.length + 1
         if n <= 0:
             return None
@@ -109,7 +112,7 @@ class Parser:
         seed = self.b.span(sb, t, t + self.seed_length)
         reach = end + self.length - 1
         size = (reach - begin).astype(np.uint64)
-        return begin, end, seed, self.a.span(sa, begin, reach) ^ size, self.b.span(sb, begin, reach) ^ size
+        return begin, end, seed, self.a.span(sa, begin, reach) ^ size
 
     def ranks(self, raw: np.ndarray):
         """Names of the LENGTH-byte strings at all starts."""
@@ -126,7 +129,7 @@ def _bytes(text: str) -> np.ndarray:
 
 
 def _parse(texts: DataFrame, length: int) -> DataFrame:
-    """(k, t) -> (seed, k, start, stop, na, nb): the phrases of all texts."""
+    """(k, t) -> (seed, k, start, stop, name): the phrases of all texts."""
 
     def run(batches):
         parser = Parser(length)
@@ -139,29 +142,74 @@ def _parse(texts: DataFrame, length: int) -> DataFrame:
                         parts.append(found)
                         owner += [i] * len(found[0])
                 if parts:
-                    begin, end, seed, na, nb = (np.concatenate(x) for x in zip(*parts))
+                    begin, end, seed, name = (np.concatenate(x) for x in zip(*parts))
                     place = [pa.array(x.astype(np.int32)) for x in (begin, end)]
-                    yield pa.RecordBatch.from_arrays([_signed(seed), keys.take(pa.array(owner, pa.int64())), *place, _signed(na), _signed(nb)], names=["seed", "k", "start", "stop", "na", "nb"])
+                    yield pa.RecordBatch.from_arrays([_signed(seed), keys.take(pa.array(owner, pa.int64())), *place, _signed(name)], names=["seed", "k", "start", "stop", "name"])
 
-    return texts.mapInArrow(run, "seed long, k binary, start int, stop int, na long, nb long")
+    return texts.mapInArrow(run, "seed long, k binary, start int, stop int, name long")
 
 
 def _suffixes(phrases: DataFrame, length: int) -> DataFrame:
-    """(na, nb, at, ra, rb) for the strings of distinct phrases (na, nb, n, raw)."""
+    """(seed, name, n, at, ra, rb): the ranks of all suffixes of phrases (seed, name, n, raw)."""
 
     def run(batches):
         parser = Parser(length)
         for batch in batches:
             outs = []
-            raws = batch.column(3).to_pylist()
-            for i, raw in enumerate(raws):
+            for i, raw in enumerate(batch.column(3).to_pylist()):
                 ra, rb = parser.ranks(np.frombuffer(raw, np.uint8))
                 outs.append((np.full(len(ra), i), np.arange(len(ra)), ra, rb))
-            owner, at, ra, rb = (np.concatenate(x) for x in zip(*outs)) if outs else (np.zeros(0, np.int64),) * 4
-            own = pa.array(owner.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(at.astype(np.int32)), _signed(ra), _signed(rb)], names=["na", "nb", "n", "at", "ra", "rb"])
+            if outs:
+                owner, at, ra, rb = (np.concatenate(x) for x in zip(*outs))
+                own = pa.array(owner.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(at.astype(np.int32)), _signed(ra), _signed(rb)], names=["seed", "name", "n", "at", "ra", "rb"])
 
-    return phrases.mapInArrow(run, "na long, nb long, n long, at int, ra long, rb long")
+    return phrases.mapInArrow(run, "seed long, name long, n long, at int, ra long, rb long")
+
+
+def _marks(phrases: DataFrame, length: int) -> DataFrame:
+    """(seed, name, marks): repeated starts of the phrases (seed, name, n, raw) with n = 1, from the ranks of the suffixes of their seed.
+
+    Rows are sorted by seed; a seed's phrases are in hand together, so their number must be bounded.
+    """
+
+    def close(seed, parser, rows):
+        ranks = [parser.ranks(np.frombuffer(raw, np.uint8)) for _, _, raw in rows]
+        ra, rb = (np.concatenate(x) for x in zip(*ranks))
+        sizes = np.array([len(x) for x, _ in ranks])
+        weight = np.repeat([n for _, n, _ in rows], sizes)
+        order = np.lexsort((rb, ra))
+        new = np.ones(len(order), bool)
+        new[1:] = (ra[order][1:] != ra[order][:-1]) | (rb[order][1:] != rb[order][:-1])
+        group = np.cumsum(new) - 1
+        total = np.bincount(group, weight[order])
+        twice = np.zeros(len(order), bool)
+        twice[order] = total[group] > 1
+        ends = np.cumsum(sizes)
+        return [(seed, name, np.flatnonzero(twice[e - k : e]).tolist()) for (name, n, _), e, k in zip(rows, ends, sizes) if n == 1]
+
+    def run(batches):
+        parser, now, rows = Parser(length), None, []
+
+        def out(found):
+            found = [x for x in found if x[2]]
+            seeds, names, marks = zip(*found) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(names, pa.int64()), pa.array(marks, pa.list_(pa.int32()))], names=["seed", "name", "marks"])
+
+        for batch in batches:
+            found = []
+            for seed, name, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and seed != now:
+                    found += close(now, parser, rows)
+                    rows = []
+                now = seed
+                rows.append((name, n, raw))
+            yield out(found)
+        if rows:
+            yield out(close(now, parser, rows))
+
+    dealt = phrases.select("seed", "name", "n", "raw").repartition("seed").sortWithinPartitions("seed")
+    return dealt.mapInArrow(run, "seed long, name long, marks array<int>")
 
 
 def runs_of(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -175,7 +223,7 @@ def runs_of(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_texts(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = LENGTH) -> DataFrame:
+def repeated_texts(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
     """(k, n_removed, n_spans, kept) for each distinct text with repeated strings; k is the MD5 of the text.
 
     All rows are parsed where they are read. Rows of equal texts give equal phrases, which are counted, not kept apart.
@@ -183,23 +231,28 @@ def repeated_texts(docs: DataFrame, scratch: Scratch, text: str = "text", length
     here = docs.where(F.octet_length(text) >= length).select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("k"), F.col(text).alias("t"))
     placed = scratch.write(_parse(here, length), "phrases")
     seeds = placed.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    live = placed.join(seeds, "seed", "left_semi").groupBy("k", "start", "stop", "na", "nb").agg(F.count("*").alias("copies"))
-    live = scratch.write(live, "live")
+    live = scratch.write(placed.join(seeds, "seed", "left_semi"), "live")
     scratch.drop("phrases")
-    names = live.groupBy("na", "nb").agg(F.sum("copies").alias("n"), F.min(F.struct("k", "start", "stop")).alias("one"))
-    names = scratch.write(names.select("na", "nb", "n", "one.*"), "names")
+    names = live.groupBy("seed", "name").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "stop")).alias("one"))
+    names = scratch.write(names.select("seed", "name", "n", "one.*"), "names")
+    # Suffixes matter where a seed has several phrases and one of them occurs once: the others are repeated as a whole.
+    mixed = names.groupBy("seed").agg(F.count("*").alias("phrases"), F.min("n").alias("least")).where("phrases > 1 AND least = 1").select("seed", "phrases")
     # The texts with live phrases, each once: the only shuffle of texts.
-    texts = here.groupBy("k").agg(F.min("t").alias("t")).join(live.select("k").distinct(), "k", "left_semi")
+    texts = here.join(live.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"))
     texts = scratch.write(texts, "texts")
     cut = F.expr(f"substring(encode(t, 'UTF-8'), start + 1, stop - start + {length - 1})")
-    dictionary = names.join(texts, "k").select("na", "nb", "n", cut.alias("raw"))
-    suffixes = scratch.write(_suffixes(dictionary, length), "suffixes")
+    dictionary = scratch.write(names.join(mixed, "seed").join(texts, "k").select("seed", "name", "n", cut.alias("raw"), "phrases"), "dictionary")
+    marks = _marks(dictionary.where(F.col("phrases") <= together), length)
+    # Seeds with more phrases than one task should hold: a row for each suffix, combined by rank before the shuffle.
+    suffixes = scratch.write(_suffixes(dictionary.where(F.col("phrases") > together).drop("phrases"), length), "suffixes")
     twice = suffixes.groupBy("ra", "rb").agg(F.sum("n").alias("total")).where("total > 1").select("ra", "rb")
     single = suffixes.where("n = 1").join(twice, ["ra", "rb"], "left_semi")
-    marks = single.groupBy("na", "nb").agg(F.array_sort(F.collect_list("at")).alias("marks"))  # a phrase has a bounded number of starts
-    scored = live.join(names.select("na", "nb", "n"), ["na", "nb"]).join(marks, ["na", "nb"], "left")
+    hot = single.groupBy("seed", "name").agg(F.array_sort(F.collect_list("at")).alias("marks"))  # a phrase has a bounded number of starts
+    marks = scratch.write(marks.unionByName(hot), "marks")
+    scored = live.join(names.select("seed", "name", "n"), ["seed", "name"]).join(marks, ["seed", "name"], "left")
     scored = scored.where("n > 1 OR marks IS NOT NULL").select("k", "start", "stop", F.when(F.col("n") == 1, F.col("marks")).alias("marks"))
-    spans = scored.groupBy("k").agg(F.collect_list(F.struct("start", "stop", "marks")).alias("spans"))  # of one text
+    spans = scored.groupBy("k").agg(F.collect_set(F.struct("start", "stop", "marks")).alias("spans"))  # of one text; copies are combined before the shuffle
+    spans = scratch.write(spans, "spans")
     return _cut_out(spans.join(texts, "k"), length)
 
 
@@ -234,9 +287,9 @@ def intervals(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
     """Rows (keep, n_bytes, n_removed, n_spans, kept), one for each row of ``docs``; kept is null where nothing is removed."""
-    found = repeated_texts(docs, scratch, text, length).withColumnRenamed("k", "_k")
+    found = repeated_texts(docs, scratch, text, length, together).withColumnRenamed("k", "_k")
     rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_k"))
     return rows.join(found, "_k", "left").select(*keep, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept")
 
@@ -248,4 +301,19 @@ def op6_repeated_passages(spark, sf_dir):
 
 
 QUERIES = {"op6_repeated_passages": op6_repeated_passages}
-ORACLES: dict[str, str] = {}
+#: All positions' strings by their MD5: the plain way, for small tables.
+ORACLES = {
+    "op6_repeated_passages": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, i, md5_number(array_slice(b, i + 1, i + 200)) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)),
+s AS (SELECT r, i FROM p WHERE h IN (SELECT h FROM p GROUP BY h HAVING count(*) > 1)),
+n AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+x AS (SELECT r, run, min(i) AS a, max(i) + 200 AS z FROM k GROUP BY r, run),
+o AS (SELECT r, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM x GROUP BY r),
+q AS (SELECT r, a AS stop, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS start FROM x
+  UNION ALL SELECT r, octet_length(b), coalesce(z, 0) FROM d LEFT JOIN (SELECT r, max(z) AS z FROM x GROUP BY r) USING (r)),
+t AS (SELECT r, string_agg(hex(array_slice(b, start + 1, stop)), '' ORDER BY start) AS kept FROM q JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN t USING (r) LEFT JOIN o USING (r)""",
+}

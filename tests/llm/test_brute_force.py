@@ -102,14 +102,14 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length", [200, 24])
-def test_repeats(spark, length):
+@pytest.mark.parametrize("length, together", [(200, 1000), (200, 1), (24, 1000), (24, 2)])
+def test_repeats(spark, length, together):
     rng = np.random.default_rng(length)
     base = bytes(rng.integers(97, 100, 3000)).decode()
     texts = ["a" * 900, base, base[:1000] + "é" * 150 + base[1100:1500], base[37:290] + "Q" + base[37:290], "short", "", "ab" * 400, base[500 : 500 + length], base[10 : 10 + length] + "x", "same text " * 60, "same text " * 60]
     texts += [bytes(rng.integers(97, 99, 700)).decode() for _ in range(6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    found = repeated_passages.remove_repeats(docs, Scratch(spark, "t"), "doc_id", "text", length=length)
+    found = repeated_passages.remove_repeats(docs, Scratch(spark, "t"), "doc_id", "text", length=length, together=together)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept) if r.kept is not None else r.text.encode()).hexdigest()) for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], length)
 
