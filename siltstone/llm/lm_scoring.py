@@ -150,13 +150,26 @@ def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, f: np.ndarray,
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(yb)), yb] -= 1.0
         flat = fb.T.ravel()
-        order = np.argsort(flat, kind="stable")
+        order = np.argsort(flat.astype(np.uint16), kind="stable")  # HASHES fits; sorted by radix
         rows = flat[order]
         begin = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-        grad = np.add.reduceat(p[order % len(yb)], begin, axis=0)
         rows = rows[begin]
-        squares[rows] += (grad * grad).mean(axis=1)
-        w[rows] -= (RATE / np.sqrt(squares[rows]))[:, None] * grad
+        grad = _row_sums(p[order % len(yb)], begin)
+        squares[rows] += np.einsum("ij,ij->i", grad, grad) / np.float32(CLASSES)
+        grad *= (RATE / np.sqrt(squares[rows]))[:, None]
+        w[rows] -= grad
+
+
+def _row_sums(x: np.ndarray, begin: np.ndarray, layers: int = 8) -> np.ndarray:
+    """Sums of the runs of rows of x that begin at ``begin``: short runs a layer at a time, the few long ones alone."""
+    size = np.diff(np.append(begin, len(x)))
+    out = x[begin]
+    for d in range(1, layers):
+        at = np.flatnonzero(size > d)
+        out[at] += x[begin[at] + d]
+    for i in np.flatnonzero(size > layers):
+        out[i] += x[begin[i] + layers : begin[i] + size[i]].sum(axis=0)
+    return out
 
 
 class Tokens:
