@@ -1,9 +1,10 @@
 """License scans with a positional index of rare words.
 
-Document frequencies of the templates' words are counted over all documents. For each document the words of highest IDF that occur in a
-template are looked up; every hit votes for (template, start) by its relative position, and a start is accepted where the template's
-words match there well enough and its mandatory key phrases stand at or near their places. A template's posting list and the word table
-are bounded by the templates, which are parameters, not by the data.
+Document frequencies of the templates' words are counted over all documents. Each template posts its places with the words of highest IDF,
+so many that no match of ``MATCH`` or more can miss all of them. All posted words of a document are looked up; every hit names a (template,
+start) by its relative position, and a start is accepted where the template's words match there well enough and its mandatory key phrases
+stand at or near their places. So which labels are found does not depend on the IDF, which only keeps the number of starts low. The posting
+lists and the word table are bounded by the templates, which are parameters, not by the data.
 
 Base phrases are found exactly beside it and their labels always stay.
 
@@ -44,8 +45,6 @@ TEMPLATES = [
     ("cc0-1.0", "dedicated to the public domain under the Creative Commons CC0 1.0 Universal", ["cc0 1 0"]),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
 ]
-#: Rare words that are looked up for each document, by IDF.
-LOOKUPS = 16
 #: Share of a template's words that must stand at their places.
 MATCH = 0.8
 #: Words that a key phrase may be off its place.
@@ -78,11 +77,12 @@ class Index:
         self.templates = [(label, words_of(text), [words_of(k) for k in keys]) for label, text, keys in templates]
         self.key_at = [[places(words, k)[0] if places(words, k) else None for k in keys] for _, words, keys in self.templates]
         self.phrases = [(words_of(p), label) for p, label in phrases.items()]
+        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for _, words, _ in self.templates for w in words}
         self.postings = defaultdict(list)
         for t, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
-        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w, 0) + 1)) for w in self.postings}
+            may_differ = max(d for d in range(len(words)) if len(words) - d >= MATCH * len(words)) if words else -1
+            for i in sorted(range(len(words)), key=lambda i: (-self.idf[words[i]], i))[: may_differ + 1]:
+                self.postings[words[i]].append((t, i))
         self.weight = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
 
     def keys_hold(self, words: list[bytes], t: int, start: int) -> bool:
@@ -104,22 +104,10 @@ class Index:
                 base += found
                 labels.add(label)
         all_labels, score = set(labels), 1.0 if labels else 0.0
-        rare = sorted(self.postings.keys() & set(words), key=lambda w: (-self.idf[w], w))[:LOOKUPS]
-        if len(rare) > 1:
-            votes = Counter()
-            for w in rare:
-                i = -1
-                try:
-                    while True:
-                        i = words.index(w, i + 1)
-                        for t, p in self.postings[w]:
-                            votes[t, i - p] += 1
-                except ValueError:
-                    pass
-            for (t, start), n in votes.items():
-                label, template, keys = self.templates[t]
-                if n < 2 and len(template) > 1:
-                    continue
+        if not self.postings.keys().isdisjoint(words):
+            starts = {(t, i - p) for i, w in enumerate(words) if w in self.postings for t, p in self.postings[w]}
+            for t, start in starts:
+                label, template, _ = self.templates[t]
                 at = words[start : start + len(template)] if start >= 0 else [b""] * -start + words[: start + len(template)]
                 same = [w for w, x in zip(template, at) if w == x]
                 if len(same) >= MATCH * len(template) and self.keys_hold(words, t, start):

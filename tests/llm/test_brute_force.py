@@ -89,6 +89,25 @@ def test_licenses(spark, sf_docs):
     assert {r.doc_id: r.labels for r in licenses.scan_licenses(planted, "doc_id").collect()} == {1: "cc-by-nc-4.0", 2: "", 3: "mit"}
 
 
+def test_licenses_of_any_frequency(spark):
+    """Labels are those of all starts of all templates, however rare the words of other notices are."""
+    bsd = next(text for label, text, _ in licenses.TEMPLATES if label == "bsd")
+    every = " ".join(text for _, text, _ in licenses.TEMPLATES)
+    rows = [(1, f"{bsd}. Licensed under CC BY 4.0"), (2, " ".join(reversed(every.split())) + " x x x Licensed under CC BY 4.0 x x"), (3, every)]
+    rows += [(4 + i, "cc by 4 0 licensed under version license the of") for i in range(40)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    index = licenses.Index(licenses.TEMPLATES, licenses.PHRASES, {}, 0)
+    for k, text in rows[:4]:
+        words, want = licenses.words_of(text), {label for phrase, label in licenses.PHRASES.items() if licenses.places(licenses.words_of(text), phrase.encode().split())}
+        for t, (label, template, _) in enumerate(index.templates):
+            for start in range(-len(template), len(words)):
+                same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template))
+                if same >= licenses.MATCH * len(template) and index.keys_hold(words, t, start):
+                    want.add(label)
+        assert got[k] == (want or {""})
+    assert got[1] == {"bsd", "cc-by-4.0"} and "cc-by-4.0" in got[2]
+
+
 def brute_repeats(texts, length):
     seen = Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
     out = []
