@@ -5,9 +5,11 @@ that is not settled looks at its members' shards and proposes to move together t
 a shard accepts the largest proposals up to its quota. Links run through the group, so a group costs one row for each shard in use and no
 pair is ever formed. The law is ``rows``: at the end each shard holds n // k or n // k + 1 documents; unlinked ones move first.
 
-A group larger than an eighth of a quota is cut by a hash of the document's id into pieces that move on their own, so no piece is near a
-shard's size and no task holds a hot group. Ranks come from counts of hashed buckets (``common.ranked``). Only loads of the shards, k
-numbers, reach the driver.
+Groups larger than an eighth of a shard, of which there are few, are placed before the others, the largest first, each whole in the shard that
+it fills best. Only what no shard has room for is cut: it fills the roomiest shard and the rest is placed again, so a group of several
+shards' size lies in as few of them as can be. Which rows of a cut group go where comes from their rank in it, so no task holds a hot
+group. Ranks come from counts of hashed buckets (``common.ranked``). Only loads of the shards, k numbers, and sizes of the groups
+over an eighth of a shard, 16 k at most, reach the driver.
 
 Defined cases: a null text has no bytes (size 8, checksum 0) and no links; repeated rows are linked and each gets a slot; null ids are
 allowed; an empty table gives no rows.
@@ -15,6 +17,8 @@ allowed; an empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +30,59 @@ ROUNDS = 8
 BINS = 1024
 
 
-def propagate(cells: DataFrame, quota: int, taken: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(g, piece, target) for the groups that settle. cells: (g, piece, shard, n), the members of a group's piece by shard."""
-    k = len(taken)
+def place(sizes: list[int], room: list[int]) -> list[list[tuple[int, int]]]:
+    """[(shard, rows)] for each size; ``room`` goes down by them."""
+    found: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    todo = [(-n, i) for i, n in enumerate(sizes)]
+    heapq.heapify(todo)
+    while todo:
+        n, i = heapq.heappop(todo)
+        at = min((s for s, x in enumerate(room) if x >= -n), key=lambda s: room[s], default=None)
+        if at is None:
+            at = max(range(len(room)), key=lambda s: room[s])
+        taken = min(-n, room[at])
+        found[i].append((at, taken))
+        room[at] -= taken
+        if n + taken:
+            heapq.heappush(todo, (n + taken, i))
+    return found
+
+
+def _starts(pieces: list[tuple[int, int]]) -> list[int]:
+    return [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+
+
+def propagate(cells: DataFrame, room: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+    """(g, target) for the groups that settle. cells: (g, shard, n), the members of a group by shard; room: rows that each shard still takes."""
+    k = len(room)
     settled = None
     for i in range(rounds):
-        room = F.array(*[F.lit(max(0, quota - x)) for x in taken])
-        whole = F.sum("n").over(Window.partitionBy("g", "piece"))
-        here = cells.withColumn("total", whole).withColumn("fits", F.col("total") <= F.element_at(room, F.col("shard") + 1))
+        free = F.array(*[F.lit(x) for x in room])
+        whole = F.sum("n").over(Window.partitionBy("g"))
+        here = cells.withColumn("total", whole).withColumn("fits", F.col("total") <= F.element_at(free, F.col("shard") + 1))
         best = F.max_by("shard", F.struct(F.col("fits").cast("int"), "n", F.hash("g", "shard")))
-        wishes = here.groupBy("g", "piece").agg(best.alias("target"), F.first("total").alias("total"))
+        wishes = here.groupBy("g").agg(best.alias("target"), F.first("total").alias("total"))
         size_class = F.greatest(F.lit(0), F.lit(63) - F.floor(F.log2("total"))).cast("int")
-        wishes = wishes.withColumn("bin", size_class * (BINS // 64) + F.pmod(F.xxhash64("g", "piece"), F.lit(BINS // 64)))
+        wishes = wishes.withColumn("bin", size_class * (BINS // 64) + F.pmod(F.xxhash64("g"), F.lit(BINS // 64)))
         wishes = scratch.write(wishes, f"wishes-{i}")
         load = wishes.groupBy("target", "bin").agg(F.sum("total").alias("load"))
         upto = Window.partitionBy("target").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         load = load.withColumn("upto", F.sum("load").over(upto))
-        yes = load.where(F.col("upto") <= F.element_at(room, F.col("target") + 1)).select("target", "bin")
-        accepted = scratch.write(wishes.join(F.broadcast(yes), ["target", "bin"]).select("g", "piece", "target", "total"), f"settled-{i}")  # k * BINS rows at most
+        yes = load.where(F.col("upto") <= F.element_at(free, F.col("target") + 1)).select("target", "bin")
+        accepted = scratch.write(wishes.join(F.broadcast(yes), ["target", "bin"]).select("g", "target", "total"), f"settled-{i}")  # k * BINS rows at most
         settled = accepted if settled is None else settled.unionByName(accepted)
         more = {r.target: r.load for r in accepted.groupBy("target").agg(F.sum("total").alias("load")).collect()}  # k rows
-        taken = [x + more.get(s, 0) for s, x in enumerate(taken)]
+        room = [x - more.get(s, 0) for s, x in enumerate(room)]
         scratch.drop(f"wishes-{i}")
         if not more:
             break
-        cells = scratch.write(cells.join(accepted, ["g", "piece"], "left_anti"), f"cells-{i}")
+        cells = scratch.write(cells.join(accepted, "g", "left_anti"), f"cells-{i}")
         if cells.isEmpty():
             break
         # Where a shard's room has gone, members start the next round from the next shard.
-        cells = cells.withColumn("shard", F.when(F.element_at(F.array(*[F.lit(quota - x <= 0) for x in taken]), F.col("shard") + 1), (F.col("shard") + 1) % k).otherwise(F.col("shard")))
-        cells = cells.groupBy("g", "piece", "shard").agg(F.sum("n").alias("n"))
-    return settled.select("g", "piece", "target")
+        cells = cells.withColumn("shard", F.when(F.element_at(F.array(*[F.lit(x <= 0) for x in room]), F.col("shard") + 1), (F.col("shard") + 1) % k).otherwise(F.col("shard")))
+        cells = cells.groupBy("g", "shard").agg(F.sum("n").alias("n"))
+    return settled.select("g", "target")
 
 
 def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -71,20 +97,33 @@ def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", sha
     )
     base = scratch.write(base, "base")
     rows = base.count()
-    quota = max(1, rows // shards)
+    want = [rows // shards + (s < rows % shards) for s in range(shards)]
     linked = base.where("g IS NOT NULL").groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1")
-    linked = scratch.write(linked.withColumn("pieces", F.ceil(8 * F.col("copies") / quota).cast("int")), "linked")
-    base = base.join(linked, "g", "left").withColumn("shard0", F.pmod("h", F.lit(shards)).cast("int"))
-    base = base.withColumn("piece", F.when(F.col("copies").isNotNull(), F.pmod(F.shiftright("h", 20), F.col("pieces"))).cast("int"))
-    cells = base.where("copies IS NOT NULL").groupBy("g", "piece", F.col("shard0").alias("shard")).agg(F.count("*").alias("n"))
-    settled = propagate(scratch.write(cells, "cells"), quota, [0] * shards, scratch, rounds)
-    placed = base.join(settled, ["g", "piece"], "left").withColumn("at", F.coalesce("target", "shard0"))
-    placed = placed.withColumn("is_linked", F.col("copies").isNotNull()).select(*keep, "size", "text_crc32", "g", "at", "is_linked")
+    linked = scratch.write(linked, "linked")
+    large = F.col("copies") * 8 > max(1, rows // shards)
+    few = sorted((bytes(r.g), r.copies) for r in linked.where(large).collect())  # 16 for each shard at most
+    room = list(want)
+    placed = place([n for _, n in few], room)
+    whole = [(g, p[0][0]) for (g, _), p in zip(few, placed) if len(p) == 1]
+    cut = [(g, r, r + n, s) for (g, _), p in zip(few, placed) if len(p) > 1 for r, (s, n) in zip(_starts(p), p)]
+    base = base.withColumn("shard0", F.pmod("h", F.lit(shards)).cast("int"))
+    cells = base.join(linked.where(~large), "g").groupBy("g", F.col("shard0").alias("shard")).agg(F.count("*").alias("n"))
+    settled = propagate(scratch.write(cells, "cells"), room, scratch, rounds)
+    spark = docs.sparkSession
+    settled = settled.unionByName(spark.createDataFrame(whole, "g binary, target int"))
+    columns = [*keep, "size", "text_crc32", "g", "shard0"]
+    cuts = F.broadcast(spark.createDataFrame(cut, "g binary, begin long, end long, target int"))  # 17 rows for each shard at most
+    heads = F.broadcast(spark.createDataFrame([(g,) for g in {c[0] for c in cut}], "g binary"))
+    at_home = base.join(heads, "g", "left_anti").join(settled, "g", "left").select(*columns, "target")
+    order = [keep[0], "size", "text_crc32"]
+    parts = ranked(base.join(heads, "g", "left_semi").select(*columns), "g", None, order, rows, "r", bucket_rows=max(1, min(20000, rows // shards // 64)))
+    parts = parts.join(cuts.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("r") >= F.col("begin")) & (F.col("r") < F.col("end"))).select(*columns, "target")
+    placed = at_home.unionByName(parts) if cut else at_home
+    placed = placed.withColumn("at", F.coalesce("target", "shard0")).withColumn("is_linked", F.col("target").isNotNull()).select(*keep, "size", "text_crc32", "g", "at", "is_linked")
     placed = scratch.write(ranked(scratch.write(placed, "placed"), "at", "is_linked", [keep[0], "size", "text_crc32", "g"], rows // shards, "r"), "ranked")
     scratch.drop("placed")
     have = {r["at"]: r.n for r in placed.groupBy("at").agg(F.count("*").alias("n")).collect()}  # one row for each shard
     have = [have.get(s, 0) for s in range(shards)]
-    want = [rows // shards + (s < rows % shards) for s in range(shards)]
     # Rows beyond a shard's share get a common rank and fill the other shards' gaps in turn.
     over, gaps = [0], [0]
     for h, w in zip(have, want):

@@ -71,6 +71,21 @@ def test_shards(spark, sf_docs):
     assert together >= 36
 
 
+def test_large_groups_stay_whole(spark):
+    """Groups that fit a shard are not cut, larger ones lie in as few shards as can be."""
+    sizes = {"whole": 90, "half": 50, "third": 33, "eighth": 13, "several": 310}
+    rows = [(text, i) for text, n in sizes.items() for i in range(n)]
+    rows += [(f"single {i}", 0) for i in range(1000 - len(rows))]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, Scratch(spark, "t"), "doc_id", shards=10).collect()}
+    shards = defaultdict(set)
+    for i, (t, _) in enumerate(rows):
+        shards[t].add(got[i])
+    assert sorted(Counter(got.values()).values()) == [100] * 10
+    assert {t: len(shards[t]) for t in sizes} == {"whole": 1, "half": 1, "third": 1, "eighth": 1, "several": 4}
+    assert sharding.place([7, 25, 3], [10, 10, 11, 10]) == [[(1, 7)], [(2, 11), (0, 10), (3, 4)], [(1, 3)]]
+
+
 def test_licenses(spark, sf_docs):
     got = {r.doc_id: r for r in licenses.scan_licenses(sf_docs, "doc_id").collect()}
     for r in sf_docs.collect():
