@@ -183,19 +183,22 @@ class Benchmark:
     def run(self, words, template, item, shift) -> tuple[int, bool]:
         """Longest stretch on a diagonal where the templates agree and slots are consistent; 0 if it is too short."""
         own_words, own = item
-        best, best_changed, begin, values, changed = 0, False, 0, {}, False
+        best, best_changed, begin, values, last_changed = 0, False, 0, {}, -1
         for j in range(len(own)):
             i = j + shift
-            good = 0 <= i < len(template) and template[i] == own[j]
-            if good and own[j][0] == "\x01":
-                if values.setdefault((own[j], own_words[j]), words[i]) != words[i]:
-                    good = False
-                elif own_words[j] != words[i]:
-                    changed = True
-            if not good:
-                begin, values, changed = j + 1, {}, False
-            elif j + 1 - begin > best:
-                best, best_changed = j + 1 - begin, changed
+            if not (0 <= i < len(template) and template[i] == own[j]):
+                begin = j + 1
+                continue
+            if own[j][0] == "\x01":
+                slot = own[j], own_words[j]
+                value, at = values.get(slot, (words[i], j))
+                if value != words[i]:
+                    begin = max(begin, at + 1)  # just past the last use with the other value
+                values[slot] = words[i], j
+                if own_words[j] != words[i]:
+                    last_changed = j
+            if j + 1 - begin > best:
+                best, best_changed = j + 1 - begin, last_changed >= begin
         return (best, best_changed) if best >= min(SPAN, len(own)) else (0, False)
 
 

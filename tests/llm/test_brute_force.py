@@ -292,6 +292,26 @@ def test_slots_must_agree():
     assert index.find("so tom has 9 red marbles and gives 2 of the 4 marbles back to") == []
 
 
+def test_stretch_goes_on_after_a_conflict():
+    item = "every shelf of 4 shops near the old town holds 4 kinds of fresh bread for all the guests"
+    index = decontamination.Benchmark([(1, item)])
+    assert len(item.split()) == 19
+    got = index.find(item.replace("of 4 shops", "of 7 shops").replace("holds 4", "holds 9"))
+    assert got == [(1, 15, True)]
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        own_words = [str(x) if x < 4 else f"w{x}" for x in rng.integers(0, 12, 24).tolist()]
+        words = [str(rng.integers(0, 2)) if w.isdigit() else w if rng.random() < 0.97 else "other" for w in own_words]
+        own, template = (["\x01n" if w.isdigit() else w for w in x] for x in (own_words, words))
+
+        def agrees(i, j):
+            pairs = {(a, b) for a, b in zip(own_words[i:j], words[i:j]) if a.isdigit()}
+            return own[i:j] == template[i:j] and len({a for a, _ in pairs}) == len(pairs)
+
+        want = max((j - i for i in range(24) for j in range(i, 25) if agrees(i, j)), default=0)
+        assert index.run(words, template, (own_words, own), 0)[0] == (want if want >= decontamination.SPAN else 0)
+
+
 def test_decontamination_of_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bench = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()]
