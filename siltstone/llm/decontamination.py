@@ -7,14 +7,17 @@ counts as contamination if it spans ``SPAN`` words or the whole item, and if its
 the same new value. So re-parameterised questions are caught as well as verbatim passages, whatever their case.
 
 Two templates are made of each text, with and without name placeholders, for copies that change names and copies that change case.
-Windows with fewer than ``LITERAL`` plain words, or more than half of a shorter item, are left out; a run goes across them.
+A window needs one plain word, that of an item shorter than a window more than half or ``LITERAL``. Where a diagonal's windows all have fewer than
+``LITERAL`` plain words, a run with changed slots must hold as many plain words in all, or all of the item's, so that tables of numbers are not taken
+for questions. Windows of the benchmark that are short of plain words are posted by their original words too, numbers kept, so verbatim
+copies always meet.
 
 The benchmark is broadcast up to ``MAX_BROADCAST`` windows (a checked count); a larger one is joined by a shuffle on the window hash, in which
 a hot window is split by adaptive execution. Documents are read whole; only hits leave a row.
 
 Defined cases: null or empty texts have no windows and are clean; an empty benchmark leaves all clean; items shorter than a window are one
-window of their own length; items of fewer than ``LITERAL`` words cannot be told from prose and are left out; repeated rows repeat in the
-result.
+window of their own length; items of fewer than ``LITERAL`` words count where their exact whole text stands, with case and punctuation, between
+word boundaries; items without a word are left out; repeated rows repeat in the result.
 """
 
 from __future__ import annotations
@@ -76,7 +79,7 @@ def _code(word: str) -> int:
 
 
 def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of all windows; 0 where a window has too few plain words."""
+    """64-bit hashes of all windows; 0 where a window has too few plain words to be looked up."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -86,11 +89,56 @@ def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
             total ^= codes[k : k + n]
             total *= np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
-    slots = np.concatenate([[0], np.cumsum(codes < 16)])
-    total[(size - (slots[size:] - slots[:-size])) < min(LITERAL, size // 2 + 1)] = 0
+    total[_plain_words(codes, size) < (1 if size == WINDOW else _enough(size))] = 0
     return total
 
 
+def _plain_words(codes: np.ndarray, size: int) -> np.ndarray:
+    """Plain words of all windows."""
+    slots = np.concatenate([[0], np.cumsum(codes < 16)])
+    return size - (slots[size:] - slots[:-size])
+
+
+def _enough(size: int) -> int:
+    """Plain words with which a window needs no other key."""
+    return min(LITERAL, size // 2 + 1)
+
+
+def _literal(words: list[str]) -> np.ndarray:
+    """64-bit codes of original words; none is a placeholder's."""
+    return np.array([_code(w) for w in words], np.uint64)
+
+
+def _item_windows(words: list[str], both: list[list[str]]):
+    """(kind, hash, place, whether it has enough plain words) of an item's windows; the last kind is the original words."""
+    size = min(WINDOW, len(words))
+    short = np.full(max(0, len(words) - size + 1), len(words) < LITERAL)
+    if len(words) >= LITERAL:
+        for kind, template in enumerate(both):
+            codes = _codes(template)
+            strong = _plain_words(codes, size) >= _enough(size)
+            yield from ((kind, h ^ size, i, bool(strong[i])) for i, h in enumerate(_hashes(codes, size).tolist()) if h)
+            short |= ~strong
+    literal = _hashes(_literal(words), size).tolist()
+    yield from ((len(both), literal[i] ^ size, i, True) for i in np.flatnonzero(short).tolist())
+
+
+def _stands(item: str, text: str) -> bool:
+    """Whether an item's exact text stands in a text between word boundaries; white space counts as one space."""
+    item = r"\s+".join(re.escape(x) for x in item.split())
+    return re.search(rf"(?<!\w){item}(?!\w)" if item[:1].isalnum() and item[-1:].isalnum() else rf"(?<!\w){item}" if item[:1].isalnum() else item, text) is not None
+
+
+class LiteralCoder(dict):
+    """Token -> code of the original word, 0 for the end of a sentence."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = n = 0 if token in ".!?:\n" else _code(token.lower())
+        return n
+
+
 class Coder(dict):
     """Token -> (code of the plain template, flags): 0 for the end of a sentence; bit 0 a capital, bit 1 a unit word."""
 
@@ -112,22 +160,22 @@ class Benchmark:
     """Windows of all items: hash -> [(item, place)], with the items' templates."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items, self.at, self.sizes = {}, defaultdict(list), set()
+        self.items, self.at, self.sizes, self.literal_sizes = {}, defaultdict(list), set(), set()
         for item, text in items:
             words, *both = templates(text)
-            if len(words) < LITERAL:
+            if not words:
                 continue
-            size = min(WINDOW, len(words))
-            for kind, template in enumerate(both):
-                key = (item, kind)
-                self.items.setdefault(key, []).append((words, template))
-                self.sizes.add(size)
-                for i, h in enumerate(_hashes(_codes(template), size).tolist()):
-                    if h:
-                        self.at[h ^ size].append((key, len(self.items[key]) - 1, i))
+            need = min(LITERAL, sum(w[0] != "\x01" for w in both[0]))
+            rows = [self.items.setdefault((item, kind), []) for kind in range(len(both) + 1)]
+            for row, template in zip(rows, [*both, words]):
+                row.append((words, template, need, text if len(words) < LITERAL else None))
+            for kind, h, i, strong in _item_windows(words, both):
+                (self.literal_sizes if kind == len(both) else self.sizes).add(min(WINDOW, len(words)))
+                self.at[h].append(((item, kind), len(rows[kind]) - 1, i, strong))
         self.keys = np.array(sorted(self.at), np.uint64)
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.keys >> np.uint64(44)] = True
+        self.literal = LiteralCoder()
 
     def hits(self, codes: np.ndarray, size: int) -> np.ndarray:
         """Places of windows that the benchmark has too."""
@@ -160,30 +208,45 @@ class Benchmark:
                 at = self.hits(codes, size)
                 at = at[doc[at] == doc[at + size - 1]]
                 found.update(doc[at].tolist())
+        if self.literal_sizes:
+            literal = np.array([self.literal[w] for t in tokens for w in t], np.uint64)[words]
+            for size in self.literal_sizes:
+                at = self.hits(literal, size)
+                at = at[doc[at] == doc[at + size - 1]]
+                found.update(doc[at].tolist())
         return sorted(found)
 
     def find(self, text: str | None) -> list[tuple[int, int, bool]]:
         """(item, words covered, whether slots changed) of each contaminating item."""
         words, *both = templates(text)
-        runs = set()
-        for kind, template in enumerate(both):
-            codes = _codes(template)
-            for size in self.sizes:
+        runs: dict[tuple, bool] = {}  # of each diagonal: whether one of its windows has enough plain words
+        kinds = [*((template, _codes(template), self.sizes) for template in both), (words, _literal(words) if self.literal_sizes else None, self.literal_sizes)]
+        for kind, (_, codes, sizes) in enumerate(kinds):
+            for size in sizes:
                 hashes = _hashes(codes, size) ^ np.uint64(size)
                 for i in self.hits(codes, size).tolist():
-                    runs.update((key, k, i - j) for key, k, j in self.at[int(hashes[i])] if key[1] == kind)
+                    for key, k, j, strong in self.at[int(hashes[i])]:
+                        if key[1] == kind:
+                            runs[key, k, i - j] = runs.get((key, k, i - j), False) or strong
         best: dict[int, tuple[int, bool]] = {}
-        for key, k, shift in runs:
-            n, changed = self.run(words, both[key[1]], self.items[key][k], shift)
+        for (key, k, shift), strong in runs.items():
+            *item, need, short = self.items[key][k]
+            if short is not None and not _stands(short, text):
+                continue
+            n, changed = self.run(words, kinds[key[1]][0], item, shift, 0 if strong else need)
             if n:
                 before = best.get(key[0], (0, True))
                 best[key[0]] = max(before, (n, changed), key=lambda x: (x[0], not x[1]))
         return sorted((item, n, changed) for item, (n, changed) in best.items())
 
-    def run(self, words, template, item, shift) -> tuple[int, bool]:
-        """Longest stretch on a diagonal where the templates agree and slots are consistent; 0 if it is too short."""
+    def run(self, words, template, item, shift, need: int = 0) -> tuple[int, bool]:
+        """Longest stretch on a diagonal where the templates agree and slots are consistent; 0 if it is too short.
+
+        A stretch with changed slots must hold ``need`` plain words, else what follows its last changed slot counts.
+        """
         own_words, own = item
         best, best_changed, begin, values, last_changed = 0, False, 0, {}, -1
+        plain = np.concatenate([[0], np.cumsum([w[0] != "\x01" for w in own])]).tolist()
         for j in range(len(own)):
             i = j + shift
             if not (0 <= i < len(template) and template[i] == own[j]):
@@ -197,8 +260,9 @@ class Benchmark:
                 values[slot] = words[i], j
                 if own_words[j] != words[i]:
                     last_changed = j
-            if j + 1 - begin > best:
-                best, best_changed = j + 1 - begin, last_changed >= begin
+            since = begin if plain[j + 1] - plain[begin] >= need else max(begin, last_changed + 1)
+            if j + 1 - since > best:
+                best, best_changed = j + 1 - since, last_changed >= since
         return (best, best_changed) if best >= min(SPAN, len(own)) else (0, False)
 
 
@@ -245,23 +309,27 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], *keep: str, text: str)
     return rows.mapInArrow(run, schema)
 
 
-def _windows(df: DataFrame, *ids: str) -> DataFrame:
-    """(h, ids) for each distinct window of each row; the text is the last column of ``df``."""
-    schema = ", ".join(["h long", *(f"`{x.name}` {x.dataType.simpleString()}" for x in df.select(*ids).schema.fields)])
+def _windows(df: DataFrame, *ids: str, literal: tuple[int, ...] = ()) -> DataFrame:
+    """(h, literal, ids) for each distinct window of each row: of an item, or of a text with windows of original words of the sizes
+    ``literal``; the column ``literal`` has the size of such a window, else 0. The text is the last column of ``df``."""
+    schema = ", ".join(["h long", "literal int", *(f"`{x.name}` {x.dataType.simpleString()}" for x in df.select(*ids).schema.fields)])
 
     def run(batches):
         for b in batches:
-            hs, at = [], []
+            hs, kinds, at = [], [], []
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 words, *both = templates(t)
-                sizes = {WINDOW} if len(ids) == 1 else {min(WINDOW, len(words))}
-                sizes |= set(range(LITERAL, WINDOW)) if len(ids) == 1 else set()
-                got = {int(h) ^ s for template in both for s in sizes if s >= LITERAL for h in _hashes(_codes(template), s) if h}
-                hs += got
+                if len(ids) == 1:
+                    got = {(int(h) ^ s, 0) for template in both for s in range(LITERAL, WINDOW + 1) for h in _hashes(_codes(template), s) if h}
+                    got |= {(int(h) ^ s, s) for s in literal for h in _hashes(_literal(words), s)}
+                else:
+                    got = {(h, min(WINDOW, len(words)) if kind == len(both) else 0) for kind, h, _, _ in _item_windows(words, both)} if words else set()
+                hs += [h for h, _ in got]
+                kinds += [k for _, k in got]
                 at += [i] * len(got)
             rows = pa.array(at, pa.int64())
             h = pa.array(np.array(hs, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([h, *(c.take(rows) for c in b.columns[:-1])], names=["h", *b.schema.names[:-1]])
+            yield pa.RecordBatch.from_arrays([h, pa.array(kinds, pa.int32()), *(c.take(rows) for c in b.columns[:-1])], names=["h", "literal", *b.schema.names[:-1]])
 
     return df.mapInArrow(run, schema)
 
@@ -270,9 +338,10 @@ def _joined(docs: DataFrame, items: DataFrame, *keep: str, text: str) -> DataFra
     """The same by a shuffle join on window hashes, for a benchmark of any size. A text's result depends on the text alone."""
     texts = docs.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"])
     items = items.withColumn("_ik", F.sha2("text", 256))
-    mine = _windows(texts, "_k")
     theirs = _windows(items.select("item_id", "_ik", "text"), "item_id", "_ik")
-    pairs = mine.join(theirs, "h").select("_k", "item_id", "_ik").distinct()
+    sizes = tuple(r.literal for r in theirs.where("literal > 0").select("literal").distinct().collect())  # WINDOW rows at most
+    mine = _windows(texts, "_k", literal=sizes)
+    pairs = mine.join(theirs, ["h", "literal"]).select("_k", "item_id", "_ik").distinct()
     both = pairs.join(items, ["item_id", "_ik"]).join(texts, "_k").select("_k", "item_id", "text", "_t")
 
     def run(batches):

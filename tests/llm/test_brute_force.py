@@ -292,6 +292,22 @@ def test_slots_must_agree():
     assert index.find("so tom has 9 red marbles and gives 2 of the 4 marbles back to") == []
 
 
+@pytest.mark.parametrize("most", [decontamination.MAX_BROADCAST, 0])
+def test_items_of_numbers(spark, most):
+    items = [(1, "Find the next number: 2 4 8 16 32 64 128 256 512 1024"), (2, "What is 7+5?"), (3, "3 5 km 12 m 7 cm"), (4, "17 19 23 29 31 37 41 43 47 53 59 61 67"), (5, "!")]
+    cases = {
+        1: ("so. find the next number 2 4 8 16 32 64 128 256 512 1024 here", [1]),
+        2: ("Find the next number: 3 6 12 24 48 96 192 384 768 1536", [1]),
+        3: ("the table 3 6 12 24 48 96 192 384 768 1536 number 5 6 7 8", []),
+        4: ("Q: What is 7+5? A: 12", [2]), 5: ("what is 7 and 5", []), 6: ("What is 7+59?", []), 7: ("3 5 km 12 m 7 cm", [3]), 8: ("run 4 5 km 12 m 8 cm", []),
+        9: ("so 17 19 23 29 31 37 41 43 47 53 59 61 67 71", [4]), 10: ("so 1 2 3 4 5 6 7 8 9 10 11 12 13 14 !", []),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
+    got = decontamination.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"), "doc_id", max_broadcast=most).collect()
+    assert {r.doc_id: r["items"] for r in got} == {k: v for k, (_, v) in cases.items()}
+    assert [r.doc_id for r in got if r.reparameterised] == [2]
+
+
 def test_stretch_goes_on_after_a_conflict():
     item = "every shelf of 4 shops near the old town holds 4 kinds of fresh bread for all the guests"
     index = decontamination.Benchmark([(1, item)])
