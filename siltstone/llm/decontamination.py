@@ -6,7 +6,8 @@ carries the words behind the placeholders; hits of an item on one diagonal (docu
 counts as contamination if it spans ``SPAN`` words or the whole item, and if its slots are consistent: the same original value always has
 the same new value. So re-parameterised questions are caught as well as verbatim passages, whatever their case.
 
-Two templates are made of each text, with and without name placeholders, for copies that change names and copies that change case.
+Three templates are made of each text: without name placeholders, with them, and with capitalised words at the start of a sentence as names
+too, for copies that change case, names, and names that begin a sentence.
 A window needs one plain word, that of an item shorter than a window more than half or ``LITERAL``. Where a diagonal's windows all have fewer than
 ``LITERAL`` plain words, a run with changed slots must hold as many plain words in all, or all of the item's, so that tables of numbers are not taken
 for questions. Windows of the benchmark that are short of plain words are posted by their original words too, numbers kept, so verbatim
@@ -46,9 +47,9 @@ _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 _NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split())
 
 
-def templates(text: str | None) -> tuple[list[str], list[str], list[str]]:
-    """(words, template without names, template with names) of a whole text."""
-    words, plain, named, start = [], [], [], True
+def templates(text: str | None) -> tuple[list[str], list[str], list[str], list[str]]:
+    """(words, template without names, with names, with names at the start of sentences too) of a whole text."""
+    words, plain, named, initial, start = [], [], [], [], True
     for token in _TOKEN.findall(text or ""):
         if token in ".!?:\n":
             start = True
@@ -58,14 +59,17 @@ def templates(text: str | None) -> tuple[list[str], list[str], list[str]]:
         if token[0].isdigit() or low in _NUMBERS:
             plain.append("\x01n")
             named.append("\x01n")
+            initial.append("\x01n")
         elif low in UNITS and plain and plain[-1] == "\x01n":
             plain.append("\x01u")
             named.append("\x01u")
+            initial.append("\x01u")
         else:
             plain.append(low)
             named.append("\x01p" if not start and token[0].isupper() else low)
+            initial.append("\x01p" if token[0].isupper() else low)
         start = False
-    return words, plain, named
+    return words, plain, named, initial
 
 
 def _codes(template: list[str]) -> np.ndarray:
@@ -109,18 +113,20 @@ def _literal(words: list[str]) -> np.ndarray:
     return np.array([_code(w) for w in words], np.uint64)
 
 
-def _item_windows(words: list[str], both: list[list[str]]):
+def _item_windows(words: list[str], forms: list[list[str]]):
     """(kind, hash, place, whether it has enough plain words) of an item's windows; the last kind is the original words."""
     size = min(WINDOW, len(words))
     short = np.full(max(0, len(words) - size + 1), len(words) < LITERAL)
     if len(words) >= LITERAL:
-        for kind, template in enumerate(both):
+        for kind, template in enumerate(forms):
             codes = _codes(template)
             strong = _plain_words(codes, size) >= _enough(size)
             yield from ((kind, h ^ size, i, bool(strong[i])) for i, h in enumerate(_hashes(codes, size).tolist()) if h)
-            short |= ~strong
+            if kind == 0:
+                short = ~strong
+                short[0] |= words[0] in UNITS  # which is no unit here, but is after a number
     literal = _hashes(_literal(words), size).tolist()
-    yield from ((len(both), literal[i] ^ size, i, True) for i in np.flatnonzero(short).tolist())
+    yield from ((len(forms), literal[i] ^ size, i, True) for i in np.flatnonzero(short).tolist())
 
 
 def _stands(item: str, text: str) -> bool:
@@ -162,15 +168,15 @@ class Benchmark:
     def __init__(self, items: list[tuple[int, str]]):
         self.items, self.at, self.sizes, self.literal_sizes = {}, defaultdict(list), set(), set()
         for item, text in items:
-            words, *both = templates(text)
+            words, *forms = templates(text)
             if not words:
                 continue
-            need = min(LITERAL, sum(w[0] != "\x01" for w in both[0]))
-            rows = [self.items.setdefault((item, kind), []) for kind in range(len(both) + 1)]
-            for row, template in zip(rows, [*both, words]):
+            need = min(LITERAL, sum(w[0] != "\x01" for w in forms[0]))
+            rows = [self.items.setdefault((item, kind), []) for kind in range(len(forms) + 1)]
+            for row, template in zip(rows, [*forms, words]):
                 row.append((words, template, need, text if len(words) < LITERAL else None))
-            for kind, h, i, strong in _item_windows(words, both):
-                (self.literal_sizes if kind == len(both) else self.sizes).add(min(WINDOW, len(words)))
+            for kind, h, i, strong in _item_windows(words, forms):
+                (self.literal_sizes if kind == len(forms) else self.sizes).add(min(WINDOW, len(words)))
                 self.at[h].append(((item, kind), len(rows[kind]) - 1, i, strong))
         self.keys = np.array(sorted(self.at), np.uint64)
         self.bits = np.zeros(1 << 20, bool)
@@ -193,18 +199,19 @@ class Benchmark:
         words = np.flatnonzero(raw > 0)
         first = np.ones(len(raw), bool)
         first[1:] = (raw[:-1] == 0) | (doc[1:] != doc[:-1])
-        capital = (raw & np.uint64(1)).astype(bool) & ~first & (raw >= 16)
+        capital = (raw & np.uint64(1)).astype(bool) & (raw >= 16)
         unit = (raw & np.uint64(2)).astype(bool) & (raw >= 16)
-        raw, doc, capital, unit = raw[words], doc[words], capital[words], unit[words]
+        raw, doc, capital, unit, first = raw[words], doc[words], capital[words], unit[words], first[words]
         plain = np.where(raw >= 16, raw & ~np.uint64(15) | np.uint64(16), raw)
         after = np.zeros(len(raw), bool)
         after[1:] = (raw[:-1] == NUMBER) & (doc[1:] == doc[:-1])
         plain[unit & after] = UNIT
-        named = plain.copy()
-        named[capital & (plain >= 16)] = NAME
+        named, initial = plain.copy(), plain.copy()
+        named[capital & ~first & (plain >= 16)] = NAME
+        initial[capital & (plain >= 16)] = NAME
         found = set()
         for size in self.sizes:
-            for codes in (plain, named):
+            for codes in (plain, named, initial):
                 at = self.hits(codes, size)
                 at = at[doc[at] == doc[at + size - 1]]
                 found.update(doc[at].tolist())
@@ -218,9 +225,9 @@ class Benchmark:
 
     def find(self, text: str | None) -> list[tuple[int, int, bool]]:
         """(item, words covered, whether slots changed) of each contaminating item."""
-        words, *both = templates(text)
+        words, *forms = templates(text)
         runs: dict[tuple, bool] = {}  # of each diagonal: whether one of its windows has enough plain words
-        kinds = [*((template, _codes(template), self.sizes) for template in both), (words, _literal(words) if self.literal_sizes else None, self.literal_sizes)]
+        kinds = [*((template, _codes(template), self.sizes) for template in forms), (words, _literal(words) if self.literal_sizes else None, self.literal_sizes)]
         for kind, (_, codes, sizes) in enumerate(kinds):
             for size in sizes:
                 hashes = _hashes(codes, size) ^ np.uint64(size)
@@ -318,12 +325,12 @@ def _windows(df: DataFrame, *ids: str, literal: tuple[int, ...] = ()) -> DataFra
         for b in batches:
             hs, kinds, at = [], [], []
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
-                words, *both = templates(t)
+                words, *forms = templates(t)
                 if len(ids) == 1:
-                    got = {(int(h) ^ s, 0) for template in both for s in range(LITERAL, WINDOW + 1) for h in _hashes(_codes(template), s) if h}
+                    got = {(int(h) ^ s, 0) for template in forms for s in range(LITERAL, WINDOW + 1) for h in _hashes(_codes(template), s) if h}
                     got |= {(int(h) ^ s, s) for s in literal for h in _hashes(_literal(words), s)}
                 else:
-                    got = {(h, min(WINDOW, len(words)) if kind == len(both) else 0) for kind, h, _, _ in _item_windows(words, both)} if words else set()
+                    got = {(h, min(WINDOW, len(words)) if kind == len(forms) else 0) for kind, h, _, _ in _item_windows(words, forms)} if words else set()
                 hs += [h for h, _ in got]
                 kinds += [k for _, k in got]
                 at += [i] * len(got)

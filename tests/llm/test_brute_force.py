@@ -308,6 +308,17 @@ def test_items_of_numbers(spark, most):
     assert [r.doc_id for r in got if r.reparameterised] == [2]
 
 
+def test_names_at_the_start_of_sentences():
+    index = decontamination.Benchmark([(1, "Tom has 5 apples. Ann has 3 apples. Joe has 2 apples. Tom gives all of them to Ann."), (2, "Alice walks along the river every day with Bob")])
+    for text, want in (
+        ("Max has 6 apples. Eva has 4 apples. Kim has 1 apples. Max gives all of them to Eva.", [(1, 19, True)]),
+        ("Max has 6 apples. Eva has 4 apples. Kim has 1 apples. Kim gives all of them to Eva.", [(1, 18, True)]),
+        ("So. Carol walks along the river every day with Dan", [(2, 9, True)]),
+    ):
+        assert index.find(text) == want
+        assert index.candidates(["", text], decontamination.Coder())[-1:] == [1]
+
+
 def test_stretch_goes_on_after_a_conflict():
     item = "every shelf of 4 shops near the old town holds 4 kinds of fresh bread for all the guests"
     index = decontamination.Benchmark([(1, item)])
