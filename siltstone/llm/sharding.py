@@ -2,7 +2,8 @@
 
 Documents of equal texts are linked. Labels (shards) start from a hash of the document's id. In each round every group of linked documents
 that is not settled looks at its members' shards and proposes to move together to the one that holds most of them among those with room;
-a shard accepts the largest proposals up to its quota. Links run through the group, so a group costs one row for each shard in use and no
+a shard accepts the largest proposals up to its quota. A group that fits none of
+its members' shards proposes to any shard with room for it; rounds end when no group that is left fits a shard. Links run through the group, so a group costs one row for each shard in use and no
 pair is ever formed. The law is ``rows``: at the end each shard holds n // k or n // k + 1 documents; unlinked ones move first.
 
 Groups larger than an eighth of a shard, of which there are few, are placed before the others, the largest first, each whole in the shard that
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import Scratch, documents, ranked
 
 SHARDS = 24
-ROUNDS = 8
 #: Classes of priority in which a shard accepts proposals.
 BINS = 1024
 
@@ -52,24 +52,31 @@ def _starts(pieces: list[tuple[int, int]]) -> list[int]:
     return [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
 
 
-def propagate(cells: DataFrame, room: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def propagate(cells: DataFrame, room: list[int], scratch: Scratch) -> DataFrame:
     """(g, target) for the groups that settle. cells: (g, shard, n), the members of a group by shard; room: rows that each shard still takes."""
-    k = len(room)
-    settled = None
-    for i in range(rounds):
+    settled, i = None, 0
+    while True:
         free = F.array(*[F.lit(x) for x in room])
         whole = F.sum("n").over(Window.partitionBy("g"))
         here = cells.withColumn("total", whole).withColumn("fits", F.col("total") <= F.element_at(free, F.col("shard") + 1))
         best = F.max_by("shard", F.struct(F.col("fits").cast("int"), "n", F.hash("g", "shard")))
-        wishes = here.groupBy("g").agg(best.alias("target"), F.first("total").alias("total"))
+        wishes = here.groupBy("g").agg(best.alias("target"), F.first("total").alias("total"), F.max("fits").alias("fits"))
+        # A group that fits none of its members' shards turns to one of all shards with room for it; where there is none it stays.
+        others = F.filter(F.sequence(F.lit(0), F.lit(len(room) - 1)), lambda s: F.element_at(free, s + 1) >= F.col("total"))
+        wishes = wishes.withColumn("others", others).where("fits OR size(others) > 0")
+        other = F.element_at("others", F.pmod(F.xxhash64("g", F.lit(i)), F.size("others")).cast("int") + 1)
+        wishes = wishes.withColumn("target", F.when(F.col("fits"), F.col("target")).otherwise(other)).drop("fits", "others")
         size_class = F.greatest(F.lit(0), F.lit(63) - F.floor(F.log2("total"))).cast("int")
         wishes = wishes.withColumn("bin", size_class * (BINS // 64) + F.pmod(F.xxhash64("g"), F.lit(BINS // 64)))
         wishes = scratch.write(wishes, f"wishes-{i}")
         load = wishes.groupBy("target", "bin").agg(F.sum("total").alias("load"))
-        upto = Window.partitionBy("target").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        load = load.withColumn("upto", F.sum("load").over(upto))
-        yes = load.where(F.col("upto") <= F.element_at(free, F.col("target") + 1)).select("target", "bin")
-        accepted = scratch.write(wishes.join(F.broadcast(yes), ["target", "bin"]).select("g", "target", "total"), f"settled-{i}")  # k * BINS rows at most
+        before = Window.partitionBy("target").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        load = load.select("target", "bin", F.coalesce(F.sum("load").over(before), F.lit(0)).alias("before"))
+        upto = F.sum("total").over(Window.partitionBy("target", "bin").orderBy(F.desc("total"), "g").rowsBetween(Window.unboundedPreceding, 0))
+        upto = wishes.withColumn("upto", upto).join(F.broadcast(load), ["target", "bin"])  # k * BINS rows at most
+        # The first proposal of a shard always fits, so each round with proposals settles groups.
+        yes = upto.where(F.col("before") + F.col("upto") <= F.element_at(free, F.col("target") + 1))
+        accepted = scratch.write(yes.select("g", "target", "total"), f"settled-{i}")
         settled = accepted if settled is None else settled.unionByName(accepted)
         more = {r.target: r.load for r in accepted.groupBy("target").agg(F.sum("total").alias("load")).collect()}  # k rows
         room = [x - more.get(s, 0) for s, x in enumerate(room)]
@@ -79,13 +86,11 @@ def propagate(cells: DataFrame, room: list[int], scratch: Scratch, rounds: int =
         cells = scratch.write(cells.join(accepted, "g", "left_anti"), f"cells-{i}")
         if cells.isEmpty():
             break
-        # Where a shard's room has gone, members start the next round from the next shard.
-        cells = cells.withColumn("shard", F.when(F.element_at(F.array(*[F.lit(x <= 0) for x in room]), F.col("shard") + 1), (F.col("shard") + 1) % k).otherwise(F.col("shard")))
-        cells = cells.groupBy("g", "shard").agg(F.sum("n").alias("n"))
+        i += 1
     return settled.select("g", "target")
 
 
-def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", shards: int = SHARDS) -> DataFrame:
     """Rows (keep, size, text_crc32, shard, slot), one for each row of ``docs``; ``keep`` holds the id first."""
     t = F.col(text)
     base = docs.select(
@@ -107,14 +112,15 @@ def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", sha
     whole = [(g, p[0][0]) for (g, _), p in zip(few, placed) if len(p) == 1]
     cut = [(g, r, r + n, s) for (g, _), p in zip(few, placed) if len(p) > 1 for r, (s, n) in zip(_starts(p), p)]
     base = base.withColumn("shard0", F.pmod("h", F.lit(shards)).cast("int"))
-    cells = base.join(linked.where(~large), "g").groupBy("g", F.col("shard0").alias("shard")).agg(F.count("*").alias("n"))
-    settled = propagate(scratch.write(cells, "cells"), room, scratch, rounds)
     spark = docs.sparkSession
-    settled = settled.unionByName(spark.createDataFrame(whole, "g binary, target int"))
+    known = F.broadcast(spark.createDataFrame([(g,) for g, _ in few], "g binary"))
+    cells = base.join(known, "g", "left_anti").join(linked.where(~large), "g").groupBy("g", F.col("shard0").alias("shard")).agg(F.count("*").alias("n"))
+    settled = propagate(scratch.write(cells, "cells"), room, scratch)
     columns = [*keep, "size", "text_crc32", "g", "shard0"]
     cuts = F.broadcast(spark.createDataFrame(cut, "g binary, begin long, end long, target int"))  # 17 rows for each shard at most
     heads = F.broadcast(spark.createDataFrame([(g,) for g in {c[0] for c in cut}], "g binary"))
-    at_home = base.join(heads, "g", "left_anti").join(settled, "g", "left").select(*columns, "target")
+    at_home = base.join(known, "g", "left_anti").join(settled, "g", "left").select(*columns, "target")
+    at_home = at_home.unionByName(base.join(F.broadcast(spark.createDataFrame(whole, "g binary, target int")), "g").select(*columns, "target"))
     order = [keep[0], "size", "text_crc32"]
     parts = ranked(base.join(heads, "g", "left_semi").select(*columns), "g", None, order, rows, "r", bucket_rows=max(1, min(20000, rows // shards // 64)))
     parts = parts.join(cuts.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("r") >= F.col("begin")) & (F.col("r") < F.col("end"))).select(*columns, "target")

@@ -86,6 +86,16 @@ def test_large_groups_stay_whole(spark):
     assert sharding.place([7, 25, 3], [10, 10, 11, 10]) == [[(1, 7)], [(2, 11), (0, 10), (3, 4)], [(1, 3)]]
 
 
+def test_groups_find_room_elsewhere(spark):
+    """Pairs whose members' shards have too little room go to another shard; a triple that fits nowhere stays."""
+    cells = [(bytes([i]), 0, 2) for i in range(20)] + [(b"t", 1, 3)]
+    got = sharding.propagate(spark.createDataFrame(cells, "g binary, shard int, n long"), [1, 1, 2, 38], Scratch(spark, "t")).collect()
+    got = {bytes(r.g): r.target for r in got}
+    pairs = [got.get(bytes([i])) for i in range(20)]
+    assert got[b"t"] == 3 and set(pairs) <= {2, 3, None}
+    assert pairs.count(2) == 1 and pairs.count(3) == 17
+
+
 def test_licenses(spark, sf_docs):
     got = {r.doc_id: r for r in licenses.scan_licenses(sf_docs, "doc_id").collect()}
     for r in sf_docs.collect():
