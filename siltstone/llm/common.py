@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WHITE = " \t\n\x0b\x0c\r"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys that ``join_counted`` broadcasts at most.
+HOT_KEYS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +44,33 @@ class Scratch:
         self.fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        # Nothing needs the shuffle files of a written table; Spark's cleaner removes them once the driver has collected its garbage.
-        self.spark._jvm.System.gc()
+        # Nothing needs the shuffle files of a written table, so they go with the job that wrote it.
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
-        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join with a table of distinct keys that knows, in ``count``, how many rows of ``left`` each key has (or more).
+
+    Keys with over a ``HOT_KEYS``-th of the rows, fewer than HOT_KEYS therefore, are broadcast, so their rows stay where they are; the others
+    meet in a shuffle, in which no key has many rows.
+    """
+    rows = right.agg(F.sum(count)).first()[0] or 0
+    bound = max(1000, rows // HOT_KEYS)
+    hot = right.where(F.col(count) > bound)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(count) <= bound), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def n_partitions(spark: SparkSession, least: int = 1) -> int:

@@ -7,36 +7,40 @@ A byte goes if a ``LENGTH``-byte string that covers it starts anywhere else too.
   same place, within its first ``SPREAD`` bytes.
 * *Parse.* The starts that share their first trigger are a phrase; a text is a row of phrases. The ``SEED`` bytes at a phrase's trigger lie
   inside every string that starts in the phrase, so a phrase whose seed occurs once in the corpus holds no repeated string. Only
-  the others are followed up.
+  the others are followed up. Equal phrases in a row, as in runs and short periods, are one row with a count.
 * *Dictionary.* A phrase with the bytes its strings reach into is named by its seed and a fingerprint, 128 bits together. Phrases of the parse
   with equal names stand for equal strings, so a phrase that occurs twice is repeated as a whole, and each distinct phrase is looked at once.
-* *Corpus order.* The suffixes of a seed's phrases are put in the order of their first ``LENGTH`` bytes. Only equality of neighbours is needed, so a
-  suffix is ranked by a 128-bit fingerprint of those bytes. The phrases of a seed meet in one task up to ``TOGETHER`` of them; those of hotter
-  seeds meet by rank in an aggregation with map-side combine, so no task holds a hot passage. A suffix repeats if it has its
-  rank in common with another suffix of the corpus.
+* *Order.* A phrase carries the LENGTH - 1 bytes behind it, so the first LENGTH bytes of a suffix never leave the dictionary string, and
+  the order of the parse's suffixes beyond it cannot matter. The dictionary's suffixes are told apart from coarse to fine: the starts
+  of a phrase are dealt by their distance from the trigger into cells, ``BRANCH`` times narrower at each level. The strings of a cell have a
+  core in common; a cell whose core occurs once goes, a cell that occurs twice as a whole is repeated, and only the other cells are cut again, down to
+  single suffixes. A boundary between repeated and unique text so costs BRANCH rows a level, in hot passages as anywhere else, and each level is an
+  aggregation with map-side combine and a join in which hot cores do not meet in one task. Fingerprints of cells
+  stand for their rank: equality of neighbours is all that is asked of the order, so the suffix array itself is not written out.
 
-Work and shuffles follow the number of phrases, about one in SPREAD / 2 bytes, and of distinct repeated phrases, not of bytes; highly
-repetitive text costs less than other text. A fingerprint is two polynomial hashes modulo 2^64 with random letters and multipliers.
+Work and shuffles follow the number of phrases, about one in SPREAD / 2 bytes, and of distinct repeated phrases, not of bytes. A
+fingerprint is a polynomial hash modulo 2^64 with random letters and multiplier; names and single suffixes have two, 128 bits.
 
 Defined cases: a null or empty text has 0 bytes and stays as it is (the checksum of no bytes); texts shorter than ``LENGTH`` lose nothing;
-repeated rows are occurrences of their own, so two equal rows of LENGTH bytes or more are removed in both; an empty table gives no rows.
+very long texts are parsed whole, in slabs; repeated rows are occurrences of their own, so two equal rows of LENGTH bytes or more are removed
+in both; ties between triggers go to the last; an empty table gives no rows; other columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents
+from siltstone.llm.common import Scratch, documents, join_counted
 
 LENGTH = 200
 ROLL = 16
-#: Distinct phrases of one seed that are compared in one task; seeds with more go through an aggregation of their suffixes.
-TOGETHER = 1000
+#: Cells of a level are so many times narrower than those of the level before.
+BRANCH = 6
+#: Starts of a text, or bytes of phrases, in hand at once.
+SLAB = 1 << 20
 
 
 def _tables(seed: int):
@@ -98,26 +102,48 @@ class Parser:
         self.a, self.b = Rolling(11), Rolling(23)
 
     def phrases(self, raw: np.ndarray):
-        """(begin, end, seed, name) of the phrases of a text: arrays, starts in [begin, end)."""
+        """(begin, size, count, trigger, seed, name) of the phrases of a text, slab by slab: arrays. A row stands for ``count`` equal phrases in a
+        row, of ``size`` starts each, from ``begin`` on; the trigger is counted from the phrase's begin."""
+        n = len(raw) - self.length + 1
+        for at in range(0, n, SLAB):
+            begin, *rest = self._slab(raw[at : at + SLAB + self.length - 1])
+            yield begin + at, *rest
+
+    def _slab(self, raw: np.ndarray):
         n = len(raw) - self.length + 1
-        if n <= 0:
-            return None
         sa, sb = self.a.sums(raw), self.b.sums(raw)
         at = np.arange(len(raw) - self.roll + 1)
         rolling = self.a.span(sa, at, at + self.roll)
         trigger = first_minimum(rolling[: n + self.spread - 1], self.spread)[:n]
         begin = np.concatenate([[0], np.flatnonzero(trigger[1:] != trigger[:-1]) + 1])
-        end = np.concatenate([begin[1:], [n]])
+        size = np.diff(np.append(begin, n))
         t = trigger[begin]
         seed = self.b.span(sb, t, t + self.seed_length)
-        reach = end + self.length - 1
-        size = (reach - begin).astype(np.uint64)
-        return begin, end, seed, self.a.span(sa, begin, reach) ^ size
-
-    def ranks(self, raw: np.ndarray):
-        """Names of the LENGTH-byte strings at all starts."""
-        at = np.arange(len(raw) - self.length + 1)
-        return self.a.span(self.a.sums(raw), at, at + self.length), self.b.span(self.b.sums(raw), at, at + self.length)
+        name = self.a.span(sa, begin, begin + size + self.length - 1) ^ size.astype(np.uint64)
+        new = np.ones(len(begin), bool)
+        new[1:] = (seed[1:] != seed[:-1]) | (name[1:] != name[:-1])
+        first = np.flatnonzero(new)
+        return begin[first], size[first], np.diff(np.append(first, len(begin))), (t - begin)[first], seed[first], name[first]
+
+    def cells(self, raws: list[bytes], trigger: np.ndarray, width: int):
+        """(phrase, lo, hi, core, name) of the cells of phrases: starts [lo, hi) of the phrase, the fingerprints of what the cell's
+        strings have in common and of all that they cover."""
+        raw = np.frombuffer(b"".join(raws), np.uint8)
+        sizes = np.array([len(x) for x in raws], np.int64)
+        origin, starts = np.cumsum(sizes) - sizes, sizes - self.length + 1
+        first = -trigger // width
+        count = (starts - 1 - trigger) // width - first + 1
+        phrase = np.repeat(np.arange(len(raws)), count)
+        j = first[phrase] + np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count, count)
+        low = trigger[phrase] + j * width  # of the whole cell, which may reach beyond the phrase
+        lo, hi = np.maximum(0, low), np.minimum(starts[phrase], low + width)
+        sa, sb, o = self.a.sums(raw), self.b.sums(raw), origin[phrase]
+        with np.errstate(over="ignore"):
+            place = j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            cut = (lo - low).astype(np.uint64) * np.uint64(width + 1) + (hi - low).astype(np.uint64)
+        core = self.a.span(sa, o + low + width - 1, o + low + self.length) ^ place
+        name = self.b.span(sb, o + lo, o + hi + self.length - 1) ^ cut
+        return phrase, lo, hi, core, name
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -129,87 +155,88 @@ def _bytes(text: str) -> np.ndarray:
 
 
 def _parse(texts: DataFrame, length: int) -> DataFrame:
-    """(k, t) -> (seed, k, start, stop, name): the phrases of all texts."""
+    """(k, t) -> (seed, k, start, size, m, trigger, name): the phrases of all texts."""
+    names = ["seed", "k", "start", "size", "m", "trigger", "name"]
 
     def run(batches):
         parser = Parser(length)
         for batch in batches:
-            keys = batch.column(0)
-            for lo in range(0, batch.num_rows, 256):  # bounds the arrays in hand
-                parts, owner = [], []
-                for i, t in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
-                    if (found := parser.phrases(_bytes(t))) is not None:
-                        parts.append(found)
-                        owner += [i] * len(found[0])
-                if parts:
-                    begin, end, seed, name = (np.concatenate(x) for x in zip(*parts))
-                    place = [pa.array(x.astype(np.int32)) for x in (begin, end)]
-                    yield pa.RecordBatch.from_arrays([_signed(seed), keys.take(pa.array(owner, pa.int64())), *place, _signed(name)], names=["seed", "k", "start", "stop", "name"])
+            keys, parts, owner, bytes_ = batch.column(0), [], [], 0
 
-    return texts.mapInArrow(run, "seed long, k binary, start int, stop int, name long")
+            def close():
+                begin, size, count, trigger, seed, name = (np.concatenate(x) for x in zip(*parts))
+                small = [pa.array(x.astype(np.int32)) for x in (begin, size, count, trigger)]
+                return pa.RecordBatch.from_arrays([_signed(seed), keys.take(pa.array(owner, pa.int64())), *small, _signed(name)], names=names)
 
+            for i, t in enumerate(batch.column(1)):
+                raw = _bytes(t.as_py())
+                for found in parser.phrases(raw):
+                    parts.append(found)
+                    owner += [i] * len(found[0])
+                bytes_ += len(raw)
+                if parts and bytes_ > SLAB:  # bounds the arrays in hand
+                    yield close()
+                    parts, owner, bytes_ = [], [], 0
+            if parts:
+                yield close()
 
-def _suffixes(phrases: DataFrame, length: int) -> DataFrame:
-    """(seed, name, n, at, ra, rb): the ranks of all suffixes of phrases (seed, name, n, raw)."""
+    return texts.mapInArrow(run, "seed long, k binary, start int, size int, m int, trigger int, name long")
 
-    def run(batches):
-        parser = Parser(length)
-        for batch in batches:
-            outs = []
-            for i, raw in enumerate(batch.column(3).to_pylist()):
-                ra, rb = parser.ranks(np.frombuffer(raw, np.uint8))
-                outs.append((np.full(len(ra), i), np.arange(len(ra)), ra, rb))
-            if outs:
-                owner, at, ra, rb = (np.concatenate(x) for x in zip(*outs))
-                own = pa.array(owner.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in range(3)), pa.array(at.astype(np.int32)), _signed(ra), _signed(rb)], names=["seed", "name", "n", "at", "ra", "rb"])
 
-    return phrases.mapInArrow(run, "seed long, name long, n long, at int, ra long, rb long")
-
-
-def _marks(phrases: DataFrame, length: int) -> DataFrame:
-    """(seed, name, marks): repeated starts of the phrases (seed, name, n, raw) with n = 1, from the ranks of the suffixes of their seed.
-
-    Rows are sorted by seed; a seed's phrases are in hand together, so their number must be bounded.
-    """
-
-    def close(seed, parser, rows):
-        ranks = [parser.ranks(np.frombuffer(raw, np.uint8)) for _, _, raw in rows]
-        ra, rb = (np.concatenate(x) for x in zip(*ranks))
-        sizes = np.array([len(x) for x, _ in ranks])
-        weight = np.repeat([n for _, n, _ in rows], sizes)
-        order = np.lexsort((rb, ra))
-        new = np.ones(len(order), bool)
-        new[1:] = (ra[order][1:] != ra[order][:-1]) | (rb[order][1:] != rb[order][:-1])
-        group = np.cumsum(new) - 1
-        total = np.bincount(group, weight[order])
-        twice = np.zeros(len(order), bool)
-        twice[order] = total[group] > 1
-        ends = np.cumsum(sizes)
-        return [(seed, name, np.flatnonzero(twice[e - k : e]).tolist()) for (name, n, _), e, k in zip(rows, ends, sizes) if n == 1]
+def _cells(phrases: DataFrame, length: int, width: int) -> DataFrame:
+    """(pid, n, at, to, core, name): the cells of phrases (pid, n, base, trigger, raw); ``base`` is the first start within the dictionary's phrase."""
+    names = ["pid", "n", "at", "to", "core", "name"]
 
     def run(batches):
-        parser, now, rows = Parser(length), None, []
-
-        def out(found):
-            found = [x for x in found if x[2]]
-            seeds, names, marks = zip(*found) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array(names, pa.int64()), pa.array(marks, pa.list_(pa.int32()))], names=["seed", "name", "marks"])
-
+        parser = Parser(length)
         for batch in batches:
-            found = []
-            for seed, name, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and seed != now:
-                    found += close(now, parser, rows)
-                    rows = []
-                now = seed
-                rows.append((name, n, raw))
-            yield out(found)
-        if rows:
-            yield out(close(now, parser, rows))
-
-    dealt = phrases.select("seed", "name", "n", "raw").repartition("seed").sortWithinPartitions("seed")
-    return dealt.mapInArrow(run, "seed long, name long, marks array<int>")
+            base, trigger = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            step = max(1, SLAB // (2 * length))
+            for i in range(0, batch.num_rows, step):  # bounds the arrays in hand
+                part = batch.slice(i, step)
+                own, lo, hi, core, name = parser.cells(part.column(4).to_pylist(), trigger[i : i + step], width)
+                rows = pa.array(own)
+                lo, hi = (pa.array((x + base[i : i + step][own]).astype(np.int32)) for x in (lo, hi))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), lo, hi, _signed(core), _signed(name)], names=names)
+
+    return phrases.select("pid", "n", "base", "trigger", "raw").mapInArrow(run, "pid long, n long, at int, to int, core long, name long")
+
+
+def widths(spread: int) -> list[int]:
+    """Widths of the cells of each level, down to 1."""
+    out = [spread]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // BRANCH))
+    return out[1:] or [1]
+
+
+def _marks(dictionary: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """(pid, at, to): the repeated starts of the phrases (pid, n, trigger, raw) with n = 1; n says how often a phrase occurs."""
+    marks, todo = [], dictionary.withColumn("base", F.lit(0))
+    levels = widths(Parser(length).spread)
+    for level, width in enumerate(levels):
+        rows = scratch.write(_cells(todo, length, width), f"cells-{level}")
+        cores = rows.groupBy("core").agg(F.count("*").alias("r"), F.min("name").alias("x"), F.max("name").alias("y")).where("r > 1")
+        cores = scratch.write(cores.select("core", "r", (F.col("x") == F.col("y")).alias("alike")), f"cores-{level}")
+        again = scratch.write(join_counted(rows, cores, ["core"], "r"), f"again-{level}")
+        scratch.drop(f"cells-{level}", f"cores-{level}")
+        marks.append(again.where("alike AND n = 1").select("pid", "at", "to"))
+        if level == len(levels) - 1:  # a cell of one start is its core
+            break
+        mixed = again.where("NOT alike").drop("r", "alike")
+        names = mixed.groupBy("core", "name").agg(F.sum("n").alias("n"), F.count("*").alias("r"), F.min(F.struct("pid", "at", "to")).alias("one"))
+        names = scratch.write(names, f"names-{level}")
+        twice = names.where("n > 1 AND r > 1").select("core", "name", "r")
+        marks.append(scratch.write(join_counted(mixed.where("n = 1"), twice, ["core", "name"], "r").select("pid", "at", "to"), f"marks-{level}"))
+        # Cells that occur once are cut again, and so are those they may share suffixes with.
+        open_ = names.groupBy("core").agg(F.count("*").alias("r"), F.min("n").alias("least")).where("least = 1").select("core", "r")
+        ahead = scratch.write(join_counted(names.drop("r"), open_, ["core"], "r").select("n", "one.*"), f"ahead-{level}")
+        cut = F.expr(f"substring(raw, at + 1, to - at + {length - 1})")
+        todo = ahead.join(dictionary.select("pid", "trigger", "raw"), "pid").select("pid", "n", F.col("at").alias("base"), (F.col("trigger") - F.col("at")).alias("trigger"), cut.alias("raw"))
+    out = marks[0]
+    for more in marks[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def runs_of(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -223,36 +250,34 @@ def runs_of(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_texts(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def repeated_texts(docs: DataFrame, scratch: Scratch, text: str = "text", length: int = LENGTH) -> DataFrame:
     """(k, n_removed, n_spans, kept) for each distinct text with repeated strings; k is the MD5 of the text.
 
     All rows are parsed where they are read. Rows of equal texts give equal phrases, which are counted, not kept apart.
     """
     here = docs.where(F.octet_length(text) >= length).select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("k"), F.col(text).alias("t"))
     placed = scratch.write(_parse(here, length), "phrases")
-    seeds = placed.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    live = scratch.write(placed.join(seeds, "seed", "left_semi"), "live")
-    scratch.drop("phrases")
-    names = live.groupBy("seed", "name").agg(F.count("*").alias("n"), F.min(F.struct("k", "start", "stop")).alias("one"))
-    names = scratch.write(names.select("seed", "name", "n", "one.*"), "names")
+    seeds = placed.groupBy("seed").agg(F.sum("m").alias("n"), F.count("*").alias("r")).where("n > 1").select("seed", "r")
+    live = scratch.write(join_counted(placed, scratch.write(seeds, "seeds"), ["seed"], "r").drop("r"), "live")
+    scratch.drop("phrases", "seeds")
+    names = live.groupBy("seed", "name").agg(F.sum("m").cast("long").alias("n"), F.count("*").alias("r"), F.min(F.struct("k", "start", "size", "trigger")).alias("one"))
+    names = scratch.write(names.select("seed", "name", "n", "r", "one.*"), "names")
     # Suffixes matter where a seed has several phrases and one of them occurs once: the others are repeated as a whole.
     mixed = names.groupBy("seed").agg(F.count("*").alias("phrases"), F.min("n").alias("least")).where("phrases > 1 AND least = 1").select("seed", "phrases")
-    # The texts with live phrases, each once: the only shuffle of texts.
+    mixed = join_counted(names, scratch.write(mixed, "mixed"), ["seed"], "phrases")
+    # The texts with live phrases, each once: the only shuffle of texts of all documents.
     texts = here.join(live.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("t").alias("t"))
     texts = scratch.write(texts, "texts")
-    cut = F.expr(f"substring(encode(t, 'UTF-8'), start + 1, stop - start + {length - 1})")
-    dictionary = scratch.write(names.join(mixed, "seed").join(texts, "k").select("seed", "name", "n", cut.alias("raw"), "phrases"), "dictionary")
-    marks = _marks(dictionary.where(F.col("phrases") <= together), length)
-    # Seeds with more phrases than one task should hold: a row for each suffix, combined by rank before the shuffle.
-    suffixes = scratch.write(_suffixes(dictionary.where(F.col("phrases") > together).drop("phrases"), length), "suffixes")
-    twice = suffixes.groupBy("ra", "rb").agg(F.sum("n").alias("total")).where("total > 1").select("ra", "rb")
-    single = suffixes.where("n = 1").join(twice, ["ra", "rb"], "left_semi")
-    hot = single.groupBy("seed", "name").agg(F.array_sort(F.collect_list("at")).alias("marks"))  # a phrase has a bounded number of starts
-    marks = scratch.write(marks.unionByName(hot), "marks")
-    scored = live.join(names.select("seed", "name", "n"), ["seed", "name"]).join(marks, ["seed", "name"], "left")
-    scored = scored.where("n > 1 OR marks IS NOT NULL").select("k", "start", "stop", F.when(F.col("n") == 1, F.col("marks")).alias("marks"))
-    spans = scored.groupBy("k").agg(F.collect_set(F.struct("start", "stop", "marks")).alias("spans"))  # of one text; copies are combined before the shuffle
+    cut = F.expr(f"substring(encode(t, 'UTF-8'), start + 1, size + {length - 1})")
+    dictionary = mixed.join(texts, "k").select(F.monotonically_increasing_id().alias("pid"), "k", "start", "n", "trigger", cut.alias("raw"))
+    dictionary = scratch.write(dictionary, "dictionary")  # written, so that the numbers stay
+    marks = _marks(dictionary.drop("k", "start"), scratch, length)
+    whole = join_counted(live, names.where("n > 1").select("seed", "name", "r"), ["seed", "name"], "r")
+    whole = whole.select("k", "start", (F.col("start") + F.col("size") * F.col("m")).alias("stop"))
+    parts = marks.join(dictionary.select("pid", "k", "start"), "pid").select("k", (F.col("start") + F.col("at")).alias("start"), (F.col("start") + F.col("to")).alias("stop"))
+    spans = whole.unionByName(parts).groupBy("k").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # of one text; copies are combined before the shuffle
     spans = scratch.write(spans, "spans")
+    scratch.drop("live", "names", "mixed", "dictionary", *(f"{x}-{i}" for x in ("again", "names", "marks", "ahead") for i in range(len(widths(Parser(length).spread)))))
     return _cut_out(spans.join(texts, "k"), length)
 
 
@@ -264,7 +289,7 @@ def _cut_out(rows: DataFrame, length: int) -> DataFrame:
             out = []
             for found, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, parts, last = t.encode(), [], 0
-                runs = runs_of(intervals(found), length)
+                runs = runs_of([(x["start"], x["stop"]) for x in found], length)
                 for a, b in runs:
                     parts.append(raw[last:a])
                     last = b
@@ -277,19 +302,9 @@ def _cut_out(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("k", "spans", "t").mapInArrow(run, "k binary, n_removed long, n_spans long, kept binary")
 
 
-def intervals(spans: list[dict]) -> list[tuple[int, int]]:
-    out = []
-    for s in spans:
-        if s["marks"] is None:
-            out.append((s["start"], s["stop"]))
-        else:
-            out += [(s["start"] + m, s["start"] + m + 1) for m in s["marks"]]
-    return out
-
-
-def remove_repeats(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", length: int = LENGTH, together: int = TOGETHER) -> DataFrame:
+def remove_repeats(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (keep, n_bytes, n_removed, n_spans, kept), one for each row of ``docs``; kept is null where nothing is removed."""
-    found = repeated_texts(docs, scratch, text, length, together).withColumnRenamed("k", "_k")
+    found = repeated_texts(docs, scratch, text, length).withColumnRenamed("k", "_k")
     rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_k"))
     return rows.join(found, "_k", "left").select(*keep, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept")
 

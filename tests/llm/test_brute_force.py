@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontamination, licenses, lm_scoring, mixing, near_duplicates, quality_classifier, repeated_passages, sharding
+from siltstone.llm import common, decontamination, licenses, lm_scoring, mixing, near_duplicates, quality_classifier, repeated_passages, sharding
 from siltstone.llm.common import Scratch, components
 
 SF = "/root/testdata/sf0.001"
@@ -146,18 +146,42 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, together", [(200, 1000), (200, 1), (24, 1000), (24, 2)])
-def test_repeats(spark, length, together):
+@pytest.mark.parametrize("length", [200, 24, 3])
+def test_repeats(spark, length):
     rng = np.random.default_rng(length)
     base = bytes(rng.integers(97, 100, 3000)).decode()
     texts = ["a" * 900, base, base[:1000] + "é" * 150 + base[1100:1500], base[37:290] + "Q" + base[37:290], "short", "", "ab" * 400, base[500 : 500 + length], base[10 : 10 + length] + "x", "same text " * 60, "same text " * 60]
     texts += [bytes(rng.integers(97, 99, 700)).decode() for _ in range(6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    found = repeated_passages.remove_repeats(docs, Scratch(spark, "t"), "doc_id", "text", length=length, together=together)
+    found = repeated_passages.remove_repeats(docs, Scratch(spark, "t"), "doc_id", "text", length=length)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept) if r.kept is not None else r.text.encode()).hexdigest()) for r in found.collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], length)
 
 
+def test_repeats_with_hot_passages(spark, monkeypatch):
+    """Many texts share a passage, with borders and edits of their own; hot keys are joined apart."""
+    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    rng = np.random.default_rng(8)
+    noise = lambda n: bytes(rng.integers(97, 123, n)).decode()
+    passage, texts = noise(700), []
+    for i in range(1500):
+        a, b = sorted(rng.integers(0, 700, 2).tolist())
+        edit = passage[:a] + "#" * (i % 3) + passage[b:] if i % 5 == 0 else passage[a : a + 450]
+        texts.append(noise(int(rng.integers(0, 90))) + edit + noise(int(rng.integers(0, 90))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = repeated_passages.remove_repeats(docs, Scratch(spark, "t"), "doc_id", "text")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept) if r.kept is not None else r.text.encode()).hexdigest()) for r in found.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats([t.encode() for t in texts], 200)
+
+
+@pytest.mark.parametrize("unit", [b"a", b"ab", b"abcdefg"])
+def test_short_periods_are_few_phrases(unit):
+    raw = np.frombuffer(unit * (1_000_000 // len(unit)), np.uint8)
+    parts = list(repeated_passages.Parser().phrases(raw))
+    assert sum(len(p[0]) for p in parts) <= 6 * len(parts)
+    assert sum(int((p[1] * p[2]).sum()) for p in parts) == len(raw) - 199
+
+
 def test_repeats_of_documents(spark, sf_docs):
     rows = sf_docs.select("doc_id", "text").collect()
     found = repeated_passages.remove_repeats(sf_docs, Scratch(spark, "t"), "doc_id").collect()
