@@ -1,61 +1,92 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's class is a hash of its ending. The class is predicted by a softmax over
-weights of hashed features of the history: the word before, the word before that (a skip feature), and n-grams and a skip-gram of the classes of
-the last three words. Within a class a word has its share of the class's training tokens; the mass of unknown words is that of words
-seen once (Good-Turing), given to one unknown word for each class.
-
-Weights come from gradient updates in mini-batches on all training tokens: every task starts from the shared weights, works through its blocks, and
-the tasks' weights are averaged by tokens through a salted two-level sum; ``ROUNDS`` such rounds split the blocks between them. The
-weights (HASHES x CLASSES) are the only broadcast, and of fixed size. Vocabulary and counts are exact and never gathered: each block
-of texts holds its own list of words, and lists and counts meet in joins on the word.
-
-Texts are tokenised once, into blocks of word numbers; training and scoring work on these in sparse numpy batches.
+P(word | history) = P(class | history) * P(word | class, word before). Classes are word endings, packed so that each has about as many training
+tokens.
+
+* *Outer softmax.* The class is predicted from hashed features of the history: the word before, the word before that (a skip feature), and
+  n-grams and a skip-gram of the classes of the last three words. Weights start from the counts of (feature, class) and take one gradient step for each of
+  ``ROUNDS`` parts of the training documents, dealt by the checksum of their id. A step is the sum of the gradients of all tokens of its part, in fixed
+  point, so the order and the layout of the rows do not matter.
+* *Inner softmax.* P(word | class, before) = q(word) * exp(weight[before, word]) / Z[before, class], with a weight for each pair of
+  neighbours in the training texts. q is the word's share of its class's training tokens; the share of unknown words (Good-Turing) is spread over
+  spellings by a model of bytes, last ones first, so that noise costs more than prose. As q sums to one and only words seen after ``before`` have a weight,
+  Z needs those alone. The weights grow with the corpus; they are sharded by (before, class), and each shard is fitted by gradient steps
+  with the curvature of each weight under a Gaussian prior.
+
+Counts and weights are never gathered. Texts are tokenised once, into blocks of word numbers. A block asks the shards for its words' counts, and for its
+pairs' weights, in packed cells of 64-bit names, one for each block and shard, and gets arrays of the same order back. Two tables of fixed size (4 and 21 MB) are
+broadcast: weights of the outer softmax and the model of bytes.
 
 Defined cases: a null or empty text is one end; a null id is the empty text for the fold and so trains; repeated rows count as
-documents of their own; without training documents every count is 0, N is 0 and the classes are uniform; an empty table gives no rows.
+documents of their own; ties in the packing of classes go to the smaller ending; very long texts make a block of their own, whole; without training
+documents every count is 0, N is 0 and the classes are uniform; an empty table gives no rows; columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents
+from siltstone.llm.common import Scratch, documents, n_partitions
 
 CLASSES = 64
+END_CLASS = CLASSES - 1
 HASHES = 1 << 14
+#: Parts of the training documents; each gives one gradient step of the outer softmax.
 ROUNDS = 2
-RATE = 0.15
-BATCH = 1024
+#: Share of the count-based log ratios that the outer weights start with, pseudo-tokens behind them, length of a step.
+START, PSEUDO, RATE = 0.2, 5.0, 0.5
+#: Precision of the inner weights' prior, and gradient steps.
+PRIOR, STEPS = 0.1, 12
+BATCH = 4096
 #: Bytes of text of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Shards at least; more where words or pairs need them.
+SHARDS, SHARD_WORDS, SHARD_PAIRS = 64, 1 << 20, 3 << 19
 SLICES = 64
-_EDGE = b".,;:!?\"'()[]{}|#$%&*"
 FEATURES = 5
-
-
-def word_class(word: bytes) -> int:
-    """The last class is that of the end."""
-    if not word:
-        return CLASSES - 1
-    return zlib.crc32((word.strip(_EDGE) or word)[-2:]) % (CLASSES - 1)
+#: Contexts of the model of bytes: hashes of the three, the two and the one byte that follow; pseudo-counts of the shorter context.
+CONTEXTS = (1 << 14, 1 << 12, 1 << 8)
+LETTERS = 256 * sum(CONTEXTS)
+SMOOTH = 2.0
+#: Ending of the end of a text; no UTF-8 text has these bytes.
+END = 0xFFFF
+FIXED = 1 << 10
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+def part_of(doc_id) -> int:
+    """The round whose gradient a document belongs to."""
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) // 5 % ROUNDS
+
+
+def ending(word: bytes) -> int:
+    return END if not word else int.from_bytes(word[-2:], "big")
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True) if n else b"", kind)
+
+
 class Block:
     """Collects texts as numbers of the block's own words; word 0 is the end."""
 
     def __init__(self):
         self.number: dict[bytes, int] = {b"": 0}
-        self.ids, self.held, self.lengths, self.codes, self.bytes = [], [], [], [], 0
+        self.ids, self.held, self.part, self.lengths, self.codes, self.bytes = [], [], [], [], [], 0
 
     def add(self, doc_id, text: str | None) -> None:
         number = self.number
@@ -64,51 +95,126 @@ class Block:
         codes.append(0)
         self.ids.append(doc_id)
         self.held.append(held_out(doc_id))
+        self.part.append(part_of(doc_id))
         self.lengths.append(len(codes))
         self.codes.append(np.array(codes, np.int32))
         self.bytes += len(raw)
 
-    def row(self, name: str) -> tuple:
-        codes = np.concatenate(self.codes)
-        lengths, held = np.array(self.lengths, np.int64), np.array(self.held)
-        counts = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(self.number)).astype(np.int64)
-        words = list(self.number)
-        hashes = np.fromiter((zlib.crc32(w) for w in words), np.uint32, len(words))
-        classes = np.fromiter((word_class(w) for w in words), np.uint8, len(words))
-        return name, self.ids, self.held, lengths.tolist(), pa.compress(codes.tobytes(), "zstd", asbytes=True), words, counts, hashes.tobytes(), classes.tobytes()
+    def row(self) -> dict:
+        words = b"\n".join(list(self.number)[1:])
+        return {
+            "ids": self.ids, "held": self.held, "part": self.part, "lengths": self.lengths, "codes": _pack(np.concatenate(self.codes)),
+            "words": pa.compress(words, "zstd", asbytes=True), "n_bytes": len(words), "n_words": len(self.number),
+        }
+
+
+_BLOCK = {
+    "held": pa.list_(pa.bool_()), "part": pa.list_(pa.int32()), "lengths": pa.list_(pa.int64()), "codes": pa.binary(), "words": pa.binary(), "n_bytes": pa.int64(), "n_words": pa.int64(),
+}
+_BLOCK_SQL = "held array<boolean>, part array<int>, lengths array<long>, codes binary, words binary, n_bytes long, n_words long"
 
 
 def tokenised(docs: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each block of documents."""
     kind = docs.schema[ident].dataType.simpleString()
-    schema = f"block string, ids array<{kind}>, held array<boolean>, lengths array<long>, codes binary, words array<binary>, counts array<long>, hashes binary, classes binary"
-    names = ["block", "ids", "held", "lengths", "codes", "words", "counts", "hashes", "classes"]
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, n, block, id_type = TaskContext.get().partitionId(), 0, Block(), None
+        task, n, block, id_type = TaskContext.get().partitionId(), 0, Block(), None
 
         def close():
-            name, ids, held, lengths, codes, words, counts, hashes, classes = block.row(f"{part}-{n}")
-            long = pa.list_(pa.int64())
-            columns = [
-                pa.array([name]), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())), pa.array([lengths], long), pa.array([codes], pa.binary()),
-                pa.array([words], pa.list_(pa.binary())), pa.array([counts], long), pa.array([hashes], pa.binary()), pa.array([classes], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=names)
+            row = block.row()
+            columns = [pa.array([f"{task}-{n}"]), pa.array([row["ids"]], pa.list_(id_type)), *(pa.array([row[k]], t) for k, t in _BLOCK.items())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", *_BLOCK])
 
         for batch in batches:
             id_type = batch.schema.types[0]
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                block.add(doc_id, t)
+            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block.add(doc_id, t.as_py())
                 if block.bytes >= block_bytes:
                     yield close()
                     n, block = n + 1, Block()
         if block.ids:
             yield close()
 
-    return docs.select(ident, text).mapInArrow(run, schema)
+    return docs.select(ident, text).mapInArrow(run, f"block string, ids array<{kind}>, {_BLOCK_SQL}")
+
+
+class Tokens:
+    """A block's arrays: codes, documents and places of its tokens; names and endings of its words."""
+
+    def __init__(self, row: dict):
+        self.lengths = np.array(row["lengths"], np.int64)
+        self.codes = _unpack(row["codes"], np.int32, int(self.lengths.sum()))
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+        self.held, self.part = np.array(row["held"], bool), np.array(row["part"], np.int32)
+        self.trains = ~self.held[self.doc]
+        raw = pa.decompress(row["words"], row["n_bytes"], "zstd", asbytes=True) if row["n_bytes"] else b""
+        self.words = [b"", *(raw.split(b"\n") if raw else [])]
+        self.names = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        self.hashes = (self.names >> np.uint64(32)).astype(np.uint32)
+        self.endings = endings(self.words)
+        self.counts = np.bincount(self.codes[self.trains], minlength=len(self.words)).astype(np.int64)
+
+    def pairs(self):
+        """(before, code, which pair each token is, -1 for ends, training count) of the block's distinct pairs of neighbours; a text's first word comes after word 0."""
+        before = np.zeros(len(self.codes), np.int64)
+        before[1:] = self.codes[:-1]
+        before[self.place == 0] = 0
+        inside = np.flatnonzero(self.codes)
+        keys, which = np.unique(before[inside] * len(self.words) + self.codes[inside], return_inverse=True)
+        of_token = np.full(len(self.codes), -1, np.int64)
+        of_token[inside] = which
+        n = np.bincount(which[self.trains[inside]], minlength=len(keys)).astype(np.int32)
+        return keys // len(self.words), keys % len(self.words), of_token, n
+
+
+def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words but the end, each after a line feed, three at the end; first place of each word; word of each place)."""
+    raw = np.frombuffer(b"\n" + b"\n".join(words[1:]) + b"\n\n\n", np.uint8)
+    return raw, np.flatnonzero(raw[:-3] == 10)[: len(words) - 1] + 1, np.cumsum(raw == 10)
+
+
+def endings(words: list[bytes]) -> np.ndarray:
+    out = np.full(len(words), END, np.uint16)
+    if len(words) > 1:
+        raw, first, _ = _letters(words)
+        last = np.append(first[1:] - 2, len(raw) - 4)
+        out[1:] = raw[last] + np.where(last > first, raw[last - 1].astype(np.uint16) * 256, 0)
+    return out
+
+
+def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, cells) of each byte that a word is spelled with, last ones first and a line feed where it begins; the ending is not among them.
+    Cells are (context, byte) for the three, the two and the one byte that follow; a line feed stands behind the word."""
+    if len(words) < 2:
+        return np.zeros(0, np.int64), np.zeros((len(CONTEXTS), 0), np.int64)
+    raw, _, word = _letters(words)
+    here, one, two, three = raw[:-3], raw[1:-2], raw[2:-1], raw[3:]
+    at = np.flatnonzero((one != 10) & (two != 10))
+    after = (one[at].astype(np.uint32) << np.uint32(16)) + (two[at].astype(np.uint32) << np.uint32(8)) + three[at]
+    with np.errstate(over="ignore"):
+        contexts = [(x * np.uint32(2654435761)) >> np.uint32(33 - size.bit_length()) for x, size in zip((after, after >> np.uint32(8)), CONTEXTS)]
+    return word[at + 1], np.stack([x.astype(np.int64) * 256 + here[at] for x in (*contexts, one[at])])
+
+
+class Letters:
+    """The model of bytes: each context's counts, smoothed by the shorter context's."""
+
+    def __init__(self, counts: np.ndarray):
+        cuts = 256 * np.cumsum(CONTEXTS)[:-1]
+        self.counts = [x.astype(np.float32) for x in np.split(counts, cuts)]
+        self.totals = [x.reshape(-1, 256).sum(axis=1) for x in self.counts]
+        single = self.counts[-1].reshape(256, 256).sum(axis=0)
+        self.alone = (single + 0.5) / (single.sum() + 128.0)
+
+    def log(self, cells: np.ndarray) -> np.ndarray:
+        p = self.alone[cells[-1] & 255]
+        for n, total, cell in list(zip(self.counts, self.totals, cells))[::-1]:
+            p = (n[cell] + SMOOTH * p) / (total[cell >> 8] + SMOOTH)
+        return np.log(p)
 
 
 def history(hashes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -133,6 +239,16 @@ def history(hashes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.nd
     return out
 
 
+def features(block: Tokens, classes: np.ndarray, step: int = 1 << 18):
+    """(slice of tokens, their features, their classes), which bounds the table in hand."""
+    of_word = classes[block.endings]
+    for at in range(0, len(block.codes), step):
+        part = slice(max(0, at - 3), at + step)
+        k = of_word[block.codes[part]]
+        f = history(block.hashes[block.codes[part]], k, block.place[part])
+        yield slice(at, at + step), f[at - part.start :], k[at - part.start :].astype(np.int64)
+
+
 def _logits(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     out = w[f[:, 0]]
     for k in range(1, FEATURES):
@@ -142,8 +258,8 @@ def _logits(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     return out
 
 
-def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
-    """One pass of mini-batch gradient steps, scaled by row (AdaGrad)."""
+def add_gradient(total: np.ndarray, w: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
+    """Adds the gradient of the log probability of the classes y."""
     for at in range(0, len(y), BATCH):
         fb, yb = f[at : at + BATCH], y[at : at + BATCH]
         p = np.exp(_logits(w, bias, fb))
@@ -153,11 +269,7 @@ def update(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, f: np.ndarray,
         order = np.argsort(flat.astype(np.uint16), kind="stable")  # HASHES fits; sorted by radix
         rows = flat[order]
         begin = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-        rows = rows[begin]
-        grad = _row_sums(p[order % len(yb)], begin)
-        squares[rows] += np.einsum("ij,ij->i", grad, grad) / np.float32(CLASSES)
-        grad *= (RATE / np.sqrt(squares[rows]))[:, None]
-        w[rows] -= grad
+        total[rows[begin]] -= _row_sums(p[order % len(yb)], begin)
 
 
 def _row_sums(x: np.ndarray, begin: np.ndarray, layers: int = 8) -> np.ndarray:
@@ -172,138 +284,346 @@ def _row_sums(x: np.ndarray, begin: np.ndarray, layers: int = 8) -> np.ndarray:
     return out
 
 
-class Tokens:
-    """A block's arrays: codes, features, classes and document of each token."""
-
-    def __init__(self, row: dict, only_training: bool = False):
-        codes = np.frombuffer(pa.decompress(row["codes"], decompressed_size=4 * sum(row["lengths"]), codec="zstd", asbytes=True), np.int32)
-        lengths = np.array(row["lengths"], np.int64)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        if only_training:
-            keep = ~np.array(row["held"])[doc]
-            codes, doc, place = codes[keep], doc[keep], place[keep]
-        self.codes, self.doc, self.place, self.n_docs = codes, doc, place, len(lengths)
-        self.hashes = np.frombuffer(row["hashes"], np.uint32)
-        self.classes = np.frombuffer(row["classes"], np.uint8)
-
-    def features(self):
-        return history(self.hashes[self.codes], self.classes[self.codes], self.place)
-
-
-def _round(blocks: DataFrame, start: np.ndarray, bias: np.ndarray, scratch: Scratch, name: str) -> np.ndarray:
-    """The tokens' mean of the weights that the tasks reach from ``start``."""
-    spark = blocks.sparkSession
-    shared = spark.sparkContext.broadcast((start, bias))
-    size = HASHES // SLICES
-
-    def work(batches):
-        w, squares = shared.value[0].copy(), np.full(HASHES, 1.0, np.float32)
-        tokens = 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Tokens(row, only_training=True)
-                tokens += len(block.codes)
-                for at in range(0, len(block.codes), 1 << 18):  # bounds the feature table
-                    part = slice(max(0, at - 3), at + (1 << 18))
-                    f = history(block.hashes[block.codes[part]], block.classes[block.codes[part]], block.place[part])[at - part.start :]
-                    update(w, squares, shared.value[1], f, block.classes[block.codes[at : at + (1 << 18)]].astype(np.int64))
-        if tokens:
-            moved = (w - shared.value[0]) * np.float32(tokens)
-            salt = int(np.abs(moved).sum() * 1000) % 32
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), pa.array([salt] * SLICES, pa.int32()), pa.array([tokens] * SLICES, pa.int64()), pa.array([moved[s * size : (s + 1) * size].tobytes() for s in range(SLICES)], pa.binary())],
-                names=["slice", "salt", "tokens", "moved"],
-            )
+def _rows(kinds: dict, *rows: tuple) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
+
+
+_SLICE = {"slice": pa.int32(), "salt": pa.int32(), "data": pa.binary()}
+
+
+def _sliced(table: np.ndarray, first: int = 0):
+    """The rows of a table of whole numbers, in SLICES."""
+    from pyspark import TaskContext
+
+    salt = TaskContext.get().partitionId() % 32
+    return _rows(_SLICE, *((first + i, salt, x.tobytes()) for i, x in enumerate(np.split(table.astype(np.int64).ravel(), SLICES))))
+
+
+def summed(parts: DataFrame, tables: int = 1) -> list[np.ndarray]:
+    """The sums of the tables that tasks gave by ``_sliced``: two levels, SLICES rows of fixed size for each table to the driver."""
 
     def add(batches):
-        sums: dict[int, list] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, n, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                got = sums.setdefault(s, [0, np.zeros(size * CLASSES, np.float32)])
-                got[0] += n
-                got[1] += np.frombuffer(raw, np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([0] * len(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1].tobytes() for x in sums.values()], pa.binary())], names=["slice", "salt", "tokens", "moved"])
-
-    schema = "slice int, salt int, tokens long, moved binary"
-    moved = blocks.select("held", "lengths", "codes", "hashes", "classes").mapInArrow(work, schema)
-    moved = scratch.write(moved, name)
-    part = moved.repartition("slice", "salt").mapInArrow(add, schema)
-    whole = part.repartition("slice").mapInArrow(add, schema).collect()  # SLICES rows of a fixed size
-    out = start.copy()
-    for r in whole:
-        out[r.slice * size : (r.slice + 1) * size] += np.frombuffer(r.moved, np.float32).reshape(size, CLASSES) / r.tokens
-    scratch.drop(name)
-    return out
+            for s, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                x = np.frombuffer(raw, np.int64)
+                sums[s] = sums[s] + x if s in sums else x
+        yield _rows(_SLICE, *((s, 0, x.tobytes()) for s, x in sums.items()))
+
+    schema = "slice int, salt int, data binary"
+    got = {r.slice: r.data for r in parts.repartition("slice", "salt").mapInArrow(add, schema).repartition("slice").mapInArrow(add, schema).collect()}
+    whole = lambda i: np.concatenate([np.frombuffer(got[s], np.int64) for s in range(i * SLICES, (i + 1) * SLICES)])
+    return [whole(i) if got else None for i in range(tables)]
+
+
+def _short(x: np.ndarray) -> np.ndarray:
+    """Logarithms in 512ths, from -63 to 63."""
+    return np.rint(np.clip(x, -63.0, 63.0) * 512).astype(np.int16)
+
+
+def _shard(names: np.ndarray, shards: int) -> np.ndarray:
+    return ((names >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(shard: np.ndarray):
+    """(order by shard, [(shard, part of that order)])"""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
+    return order, [(int(shard[order[a]]), slice(a, b)) for a, b in zip(cuts, cuts[1:])]
 
 
-def class_counts(vocabulary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Training tokens and words seen once of each class."""
+_COUNT = {"block": pa.string(), "shard": pa.int32(), "data": pa.binary()}
+
+
+def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, data): training counts of the block's words of a shard, in the block's order; with a null block the shard's
+    (ending, tokens, words, words seen once)."""
+    kinds = {"shard": pa.int32(), "block": pa.string(), "names": pa.binary(), "counts": pa.binary(), "endings": pa.binary()}
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Tokens(row)
+                order, parts = _dealt(_shard(block.names, shards))
+                for s, at in parts:
+                    at = order[at]
+                    yield _rows(kinds, (s, row["block"], block.names[at].tobytes(), block.counts[at].astype(np.int32).tobytes(), block.endings[at].tobytes()))
+
+    def answer(table: pa.Table) -> pa.Table:
+        col = lambda k, kind: [np.frombuffer(x, kind) for x in table.column(k).to_pylist()]
+        names, counts, ends = col("names", np.uint64), col("counts", np.int32), col("endings", np.uint16)
+        shard = table.column("shard")[0].as_py()
+        _, first, which = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        total = np.bincount(which, np.concatenate(counts)).astype(np.int64)
+        of = np.concatenate(ends)[first]
+        known = total > 0
+        stats = [np.bincount(of[known], x, 1 << 16).astype(np.int64) for x in (total[known], np.ones(known.sum()), total[known] == 1)]
+        there = np.flatnonzero(stats[1])
+        rows = [(None, shard, np.stack([there, *(x[there] for x in stats)]).tobytes())]
+        for block, back in zip(table.column("block").to_pylist(), np.split(total[which], np.cumsum([len(x) for x in names])[:-1])):
+            rows.append((block, shard, _pack(back)))
+        return pa.Table.from_batches([_rows(_COUNT, *rows)])
+
+    asked = blocks.mapInArrow(ask, "shard int, block string, names binary, counts binary, endings binary")
+    return asked.groupBy("shard").applyInArrow(answer, "block string, shard int, data binary")
+
+
+def _ending_sums(stats: DataFrame) -> np.ndarray:
+    """(tokens, words, words seen once) x ending: 65,536 rows at most reach the driver."""
 
     def run(batches):
-        total = np.zeros((2, CLASSES), np.int64)
+        total = np.zeros((3, 1 << 16), np.int64)
         for batch in batches:
-            k = np.fromiter((word_class(w) for w in batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            total[0] += np.bincount(k, n, CLASSES).astype(np.int64)
-            total[1] += np.bincount(k[n == 1], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int32()), pa.array(total[0]), pa.array(total[1])], names=["k", "n", "once"])
-
-    got = vocabulary.select("word", "c").mapInArrow(run, "k int, n long, once long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("once").alias("once")).collect()
-    n, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+            for raw in batch.column(0).to_pylist():
+                at, *x = np.frombuffer(raw, np.int64).reshape(4, -1)
+                total[:, at] += x
+        at = np.flatnonzero(total[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in total)], names=["ending", "a", "b", "c"])
+
+    got = stats.mapInArrow(run, "ending long, a long, b long, c long").groupBy("ending").agg(F.sum("a"), F.sum("b"), F.sum("c")).collect()
+    out = np.zeros((3, 1 << 16), np.int64)
     for r in got:
-        n[r.k], once[r.k] = r.n, r.once
-    return n, once
+        out[:, r[0]] = r[1:]
+    return out
+
+
+class Endings:
+    """Classes of the endings, packed by training tokens, with the shares that follow from them."""
+
+    def __init__(self, sums: np.ndarray):
+        tokens, words, once = sums
+        self.n, self.v = int(tokens.sum()), int(words.sum())
+        self.classes = (np.arange(1 << 16) % (CLASSES - 1)).astype(np.uint8)
+        heap = [(0, k) for k in range(CLASSES - 1)]
+        for e in np.argsort(-tokens, kind="stable").tolist():
+            if tokens[e] and e != END:
+                load, k = heapq.heappop(heap)
+                self.classes[e] = k
+                heapq.heappush(heap, (load + int(tokens[e]), k))
+        self.classes[END] = END_CLASS
+        per = lambda x: np.bincount(self.classes, x, CLASSES)
+        self.tokens = per(tokens)
+        self.bias = np.log((self.tokens + 0.5) / (self.n + 0.5 * CLASSES)).astype(np.float32)
+        self.unknown = (per(once) + 0.5) / (self.tokens + 1.0)
+        self.unknown[END_CLASS] = 0.0
+        self.spread = (once + 0.5) / per(once + 0.5)[self.classes]  # of a class's unknown words over its endings
+
+    def shares(self, block: Tokens, counts: np.ndarray, letters: Letters) -> np.ndarray:
+        """Logarithm of q for the words of a block."""
+        k = self.classes[block.endings]
+        word, cells = spelling(block.words)
+        spelled = np.bincount(word, letters.log(cells), len(block.words)) if len(word) else np.zeros(len(block.words))
+        known = np.where(counts > 0, counts / np.maximum(self.tokens[k], 1), 0.0) * (1 - self.unknown[k])
+        with np.errstate(divide="ignore"):
+            q = np.logaddexp(np.log(known), np.log(self.unknown[k] * self.spread[block.endings]) + spelled)
+        q[0] = 0.0
+        return q
+
+
+def _pair_names(block: Tokens, before: np.ndarray, code: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """64-bit names of (word before, class)."""
+    with np.errstate(over="ignore"):
+        x = block.names[before] ^ (classes[block.endings[code]].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def fit_pairs(group: np.ndarray, n: np.ndarray, q: np.ndarray, prior: float = PRIOR, steps: int = STEPS) -> np.ndarray:
+    """log P(word | class, before) - log q(word) of pairs sorted by group (before, class), from their training counts and q.
+
+    Gradient steps on all groups at once, from weights that give each pair its share alone. A group's curvature, a diagonal less a product, is
+    undone in sums over the group.
+    """
+    if not len(group):
+        return np.zeros(0)
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(group))))
+    sums = lambda x: np.add.reduceat(x, starts)[number]
+    of_group, seen = sums(n).astype(float), n > 0
+    weight = np.log(np.where(seen, n, 1) / (of_group + 1) / q) * seen
+    others = np.maximum(0.0, 1 - sums(q))  # words never seen in the group
+    log_z = lambda: np.log(others + sums(q * np.exp(weight)))
+    for _ in range(steps):
+        p = q * np.exp(weight - log_z()) * seen
+        mass = of_group * p
+        alone = (n - mass - prior * weight) / (mass + prior)
+        step = alone + mass / (mass + prior) * sums(p * alone) / (1 - sums(p * mass / (mass + prior)))
+        weight = (weight + np.clip(step, -4.0, 4.0)) * seen
+    return weight - log_z()
+
+
+_PAIR = {"shard": pa.int32(), "block": pa.string(), "groups": pa.binary(), "words": pa.binary(), "counts": pa.binary(), "q": pa.binary()}
+
+
+def _pair_weights(blocks: DataFrame, shards: int, ends, letters, prior: float) -> DataFrame:
+    """(block, shard, data): for a block's pairs of a shard, in the block's order, log P(word | class, before) - log q(word)."""
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Tokens(row)
+                q = ends.value.shares(block, _unpack(row["c"], np.int64, len(block.words)), letters.value).astype(np.float32)
+                before, code, _, n = block.pairs()
+                names = _pair_names(block, before, code, ends.value.classes)
+                order, parts = _dealt(_shard(names, shards))
+                low = np.uint64(0xFFFFFFFF)
+                for s, at in parts:
+                    at = order[at]
+                    cell = (names[at] & low).astype(np.uint32), (block.names[code[at]] & low).astype(np.uint32), n[at], q[code[at]]
+                    yield _rows(_PAIR, (s, row["block"], *(x.tobytes() for x in cell)))
+
+    def answer(table: pa.Table) -> pa.Table:
+        col = lambda k, kind: [np.frombuffer(x, kind) for x in table.column(k).to_pylist()]
+        groups, words = col("groups", np.uint32), np.concatenate(col("words", np.uint32))
+        keys = np.concatenate(groups).astype(np.uint64) << np.uint64(32) | words
+        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        n = np.bincount(which, np.concatenate(col("counts", np.int32)))
+        q = np.exp(np.maximum(np.concatenate(col("q", np.float32))[first].astype(float), -700.0))
+        found = _short(fit_pairs((keys >> np.uint64(32)).astype(np.int64), n, q, prior))
+        shard = table.column("shard")[0].as_py()
+        back = np.split(found[which], np.cumsum([len(x) for x in groups])[:-1])
+        return pa.Table.from_batches([_rows(_COUNT, *((b, shard, _pack(x)) for b, x in zip(table.column("block").to_pylist(), back)))])
+
+    asked = blocks.mapInArrow(ask, "shard int, block string, groups binary, words binary, counts binary, q binary")
+    return asked.groupBy("shard").applyInArrow(answer, "block string, shard int, data binary")
+
+
+def _answers(table: pa.Table, order: np.ndarray, parts, kind) -> np.ndarray:
+    """What the shards said, in the block's own order."""
+    data = dict(zip(table.column("shard").to_pylist(), table.column("data").to_pylist()))
+    out = np.empty(len(order), kind)
+    for s, at in parts:
+        out[order[at]] = _unpack(data[s], kind, at.stop - at.start)
+    return out
+
+
+def _counted(blocks: DataFrame, counts: DataFrame, shards: int, parts: int) -> DataFrame:
+    """The blocks with c, the training counts of their words, and the spelling of their words that occur once in all training texts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = Tokens(left.to_pylist()[0])
+        order, cells = _dealt(_shard(block.names, shards))
+        c = _answers(right, order, cells, np.int64)
+        word, cells = spelling(block.words)
+        once = (c == 1) & (block.counts == 1)
+        spelled = cells[:, once[word]].astype(np.int32)
+        return left.append_column("c", pa.array([_pack(c)], pa.binary())).append_column("spelled", pa.array([_pack(spelled)], pa.binary())).append_column("n_spelled", pa.array([spelled.shape[1]], pa.int64()))
+
+    kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in blocks.schema.fields)
+    return _met(blocks, counts, parts).applyInArrow(run, f"{kinds}, c binary, spelled binary, n_spelled long")
+
 
+def _met(blocks: DataFrame, answers: DataFrame, parts: int):
+    """Blocks with the answers to them, in so many tasks."""
+    answers = answers.withColumnRenamed("block", "of")
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "of").groupBy("of"))
 
-def score(docs: DataFrame, scratch: Scratch, ident: str, text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+
+def _first_counts(blocks: DataFrame, ends, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """(training counts of feature and class, counts of the model of bytes)."""
+
+    def run(batches):
+        seen, cells, first = np.zeros(HASHES * CLASSES, np.int64), np.zeros(LETTERS, np.int64), 256 * np.cumsum((0, *CONTEXTS[:-1]))
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Tokens(row)
+                for at, f, y in features(block, ends.value.classes):
+                    t = block.trains[at]
+                    for k in range(FEATURES):
+                        seen += np.bincount(f[t, k] * CLASSES + y[t], minlength=HASHES * CLASSES)
+                spelled = _unpack(row["spelled"], np.int32, len(CONTEXTS) * row["n_spelled"]).reshape(len(CONTEXTS), -1)
+                cells += np.bincount((spelled + first[:, None]).ravel(), minlength=LETTERS)
+        yield _sliced(seen)
+        yield _sliced(cells, SLICES)
+
+    tables = scratch.write(blocks.mapInArrow(run, "slice int, salt int, data binary"), "first-counts")
+    seen, cells = summed(tables, 2)
+    scratch.drop("first-counts")
+    if seen is None:  # an empty table
+        return np.zeros((HASHES, CLASSES), np.int64), np.zeros(LETTERS, np.int64)
+    return seen.reshape(HASHES, CLASSES), cells
+
+
+def _gradient(blocks: DataFrame, turn: int, ends, weights: np.ndarray, scratch: Scratch) -> np.ndarray:
+    """The sum of the gradients of the training tokens of a part of the documents."""
+    shared = blocks.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        total = np.zeros((HASHES, CLASSES), np.float32)
+        whole = np.zeros((HASHES, CLASSES), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                block = Tokens(row)
+                mine = block.trains & (block.part == turn)[block.doc]
+                total[:] = 0
+                for at, f, y in features(block, ends.value.classes):
+                    add_gradient(total, shared.value, ends.value.bias, f[mine[at]], y[mine[at]])
+                whole += np.rint(total.astype(float) * FIXED).astype(np.int64)
+        yield _sliced(whole)
+
+    table = scratch.write(blocks.mapInArrow(run, "slice int, salt int, data binary"), f"gradient-{turn}")
+    got = summed(table)[0]
+    scratch.drop(f"gradient-{turn}")
+    shared.unpersist()
+    return np.zeros((HASHES, CLASSES)) if got is None else got.reshape(HASHES, CLASSES) / FIXED
+
+
+def fit_classes(seen: np.ndarray, ends: Endings, gradient, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the outer softmax: log ratios of the counts, then a step along each gradient(turn, weights)."""
+    share = np.exp(ends.bias.astype(float))
+    share /= share.sum()
+    of_row = seen.sum(axis=1, keepdims=True)
+    weights = START * np.log((seen / share + PSEUDO) / (of_row + PSEUDO))
+    for turn in range(rounds):
+        step = gradient(turn, weights.astype(np.float32)) / (seen / rounds + of_row * share / rounds + PSEUDO)
+        weights += np.clip(RATE * step, -1.0, 1.0)
+    return weights.astype(np.float32)
+
+
+def score(docs: DataFrame, scratch: Scratch, ident: str, text: str = "text", rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, prior: float = PRIOR) -> DataFrame:
     """Rows (ident, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``."""
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     blocks = scratch.write(tokenised(docs, ident, text, block_bytes), "blocks")
-    entries = blocks.select("block", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("words") - 1).alias("at"), "words", "counts")).alias("e"))
-    entries = entries.select("block", F.col("e.at").alias("at"), F.col("e.words").alias("word"), F.col("e.counts").alias("n"))
-    vocabulary = scratch.write(entries.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    whole = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = whole.n or 0, whole.v
-    n_class, once = class_counts(vocabulary)
-    bias = np.log((n_class + 0.5) / (n_class.sum() + 0.5 * CLASSES)).astype(np.float32)
-    weights = np.zeros((HASHES, CLASSES), np.float32)
-    for r in range(rounds):
-        turn = F.pmod(F.xxhash64("block"), F.lit(rounds)) == r
-        weights = _round(blocks.where(turn), weights, bias, scratch, f"round-{r}")
-    unknown = (once + 0.5) / (n_class + 1.0)
-    shared = spark.sparkContext.broadcast((weights, bias, n_class, unknown))
-    counted = entries.join(vocabulary, "word").select(F.col("block").alias("of"), "at", "c")
+    whole = blocks.agg(F.sum("n_words").alias("words"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"), F.count("*").alias("blocks")).first()
+    shards, pair_shards = max(SHARDS, -(-(whole.words or 0) // SHARD_WORDS)), max(SHARDS, -(-(whole.tokens or 0) // SHARD_PAIRS))
+    parts = n_partitions(spark, -(-whole.blocks // 2))
+    counts = scratch.write(_word_counts(blocks, shards), "counts")
+    model = Endings(_ending_sums(counts.where("block IS NULL").select("data")))
+    ends = share(model)
+    counted = scratch.write(_counted(blocks, counts.where("block IS NOT NULL"), shards, parts), "counted")
+    scratch.drop("blocks", "counts")
+    seen, cells = _first_counts(counted, ends, scratch)
+    letters = share(Letters(cells))
+    weights = share(fit_classes(seen, model, lambda turn, w: _gradient(counted, turn, ends, w, scratch), rounds))
+    pairs = scratch.write(_pair_weights(counted.drop("spelled", "n_spelled"), pair_shards, ends, letters, prior), "pairs")
     names = [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{ident}` {docs.schema[ident].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        w, b, per_class, unseen = shared.value
-        row = left.to_pylist()[0]
+        row, e = left.to_pylist()[0], ends.value
         block = Tokens(row)
-        c = np.zeros(len(block.hashes), np.int64)
-        c[right.column("at").to_numpy()] = right.column("c").to_numpy()
-        base = np.log10((c + 0.5) / (n_all + 0.5 * (v_all + 1)))
-        k = block.classes.astype(np.int64)
-        within = np.where(c > 0, (1 - unseen[k]) * c / np.maximum(per_class[k], 1), unseen[k])
-        lp = np.log10(within)[block.codes]
-        y = k[block.codes]
-        for at in range(0, len(y), 1 << 13):
-            part = slice(max(0, at - 3), at + (1 << 13))
-            f = history(block.hashes[block.codes[part]], block.classes[block.codes[part]], block.place[part])[at - part.start :]
-            logits = _logits(w, b, f)
-            yb = y[at : at + (1 << 13)]
-            lp[at : at + (1 << 13)] += (logits[np.arange(len(yb)), yb] - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))) / np.log(10.0)
-        n = block.n_docs
-        total = lambda x: np.bincount(block.doc, x, n)
+        c = _unpack(row["c"], np.int64, len(block.words))
+        base = np.log10((c + 0.5) / (e.n + 0.5 * (e.v + 1)))
+        before, code, of_token, _ = block.pairs()
+        order, cells = _dealt(_shard(_pair_names(block, before, code, e.classes), pair_shards))
+        gain = _answers(right, order, cells, np.int16) / 512
+        lp = e.shares(block, c, letters.value)[block.codes]
+        inside = of_token >= 0
+        lp[inside] += gain[of_token[inside]]
+        for at, f, y in features(block, e.classes, 1 << 13):
+            logits = _logits(weights.value, e.bias, f)
+            lp[at] += logits[np.arange(len(y)), y] - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
+        total = lambda x: np.bincount(block.doc, x, len(block.lengths))
         columns = [
-            left.column("ids").combine_chunks().flatten(), pa.array(row["held"], pa.bool_()), pa.array(row["lengths"], pa.int64()), pa.array(total(c[block.codes] > 0).astype(np.int64)),
-            pa.array([n_all] * n, pa.int64()), pa.array(total(base[block.codes])), pa.array(total(lp)),
+            left.column("ids").combine_chunks().flatten(), pa.array(block.held), pa.array(block.lengths), pa.array(total(c[block.codes] > 0).astype(np.int64)),
+            pa.array(np.full(len(block.lengths), e.n)), pa.array(total(base[block.codes])), pa.array(total(lp) / np.log(10.0)),
         ]
         return pa.Table.from_arrays(columns, names=names)
 
-    payload = blocks.select("block", "ids", "held", "lengths", "codes", "hashes", "classes")
-    return payload.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(run, schema)
+    return _met(counted.drop("spelled", "n_spelled"), pairs, parts).applyInArrow(run, schema)
 
 
 def op2_lm_scoring(spark, sf_dir):
