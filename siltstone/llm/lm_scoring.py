@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import Scratch, documents, n_partitions
 
-CLASSES = 64
+CLASSES = 32
 END_CLASS = CLASSES - 1
 HASHES = 1 << 14
 #: Parts of the training documents; each gives one gradient step of the outer softmax.
@@ -46,7 +46,7 @@ START, PSEUDO, RATE = 0.2, 5.0, 0.5
 PRIOR, STEPS = 0.1, 12
 BATCH = 4096
 #: Bytes of text of a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Shards at least; more where words or pairs need them.
 SHARDS, SHARD_WORDS, SHARD_PAIRS = 64, 1 << 20, 3 << 19
 SLICES = 64
@@ -200,6 +200,13 @@ def spelling(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return word[at + 1], np.stack([x.astype(np.int64) * 256 + here[at] for x in (*contexts, one[at])])
 
 
+def spellings(words: list[bytes], step: int = 1 << 15):
+    """(first word, its and the next words' ``spelling``), which bounds the tables in hand; the words are without the end."""
+    for at in range(0, len(words), step):
+        word, cells = spelling([b"", *words[at : at + step]])
+        yield at, word - 1, cells
+
+
 class Letters:
     """The model of bytes: each context's counts, smoothed by the shorter context's."""
 
@@ -239,13 +246,16 @@ def history(hashes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.nd
     return out
 
 
-def features(block: Tokens, classes: np.ndarray, step: int = 1 << 18):
-    """(slice of tokens, their features, their classes), which bounds the table in hand."""
-    of_word = classes[block.endings]
-    for at in range(0, len(block.codes), step):
+def features(block: Tokens, classes: np.ndarray, docs: np.ndarray | None = None, step: int = 1 << 16):
+    """(slice of tokens, their features, their classes), which bounds the table in hand; of some documents only, if a mask is given."""
+    of_word, codes, place = classes[block.endings], block.codes, block.place
+    if docs is not None:
+        inside = docs[block.doc]
+        codes, place = codes[inside], place[inside]
+    for at in range(0, len(codes), step):
         part = slice(max(0, at - 3), at + step)
-        k = of_word[block.codes[part]]
-        f = history(block.hashes[block.codes[part]], k, block.place[part])
+        k = of_word[codes[part]]
+        f = history(block.hashes[codes[part]], k, place[part])
         yield slice(at, at + step), f[at - part.start :], k[at - part.start :].astype(np.int64)
 
 
@@ -317,9 +327,10 @@ def summed(parts: DataFrame, tables: int = 1) -> list[np.ndarray]:
     return [whole(i) if got else None for i in range(tables)]
 
 
-def _short(x: np.ndarray) -> np.ndarray:
-    """Logarithms in 512ths, from -63 to 63."""
-    return np.rint(np.clip(x, -63.0, 63.0) * 512).astype(np.int16)
+def _short(x: np.ndarray, parts: int) -> np.ndarray:
+    """Logarithms as whole numbers of such parts."""
+    most = 32767 / parts
+    return np.rint(np.clip(x, -most, most) * parts).astype(np.int16)
 
 
 def _shard(names: np.ndarray, shards: int) -> np.ndarray:
@@ -410,15 +421,18 @@ class Endings:
         self.spread = (once + 0.5) / per(once + 0.5)[self.classes]  # of a class's unknown words over its endings
 
     def shares(self, block: Tokens, counts: np.ndarray, letters: Letters) -> np.ndarray:
-        """Logarithm of q for the words of a block."""
+        """Logarithm of q for the words of a block, in 512ths."""
         k = self.classes[block.endings]
-        word, cells = spelling(block.words)
-        spelled = np.bincount(word, letters.log(cells), len(block.words)) if len(word) else np.zeros(len(block.words))
+        spelled = np.zeros(len(block.words))
+        for at, word, cells in spellings(block.words[1:]):
+            if len(word):
+                sums = np.bincount(word, letters.log(cells))
+                spelled[at + 1 : at + 1 + len(sums)] = sums
         known = np.where(counts > 0, counts / np.maximum(self.tokens[k], 1), 0.0) * (1 - self.unknown[k])
         with np.errstate(divide="ignore"):
             q = np.logaddexp(np.log(known), np.log(self.unknown[k] * self.spread[block.endings]) + spelled)
         q[0] = 0.0
-        return q
+        return np.rint(q * 512) / 512  # as the shards see it
 
 
 def _pair_names(block: Tokens, before: np.ndarray, code: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -443,8 +457,8 @@ def fit_pairs(group: np.ndarray, n: np.ndarray, q: np.ndarray, prior: float = PR
     sums = lambda x: np.add.reduceat(x, starts)[number]
     of_group, seen = sums(n).astype(float), n > 0
     weight = np.log(np.where(seen, n, 1) / (of_group + 1) / q) * seen
-    others = np.maximum(0.0, 1 - sums(q))  # words never seen in the group
-    log_z = lambda: np.log(others + sums(q * np.exp(weight)))
+    others = np.maximum(0.0, 1 - sums(q * seen))  # words never seen in the group
+    log_z = lambda: np.log(others + sums(q * seen * np.exp(weight)))
     for _ in range(steps):
         p = q * np.exp(weight - log_z()) * seen
         mass = of_group * p
@@ -454,39 +468,40 @@ def fit_pairs(group: np.ndarray, n: np.ndarray, q: np.ndarray, prior: float = PR
     return weight - log_z()
 
 
-_PAIR = {"shard": pa.int32(), "block": pa.string(), "groups": pa.binary(), "words": pa.binary(), "counts": pa.binary(), "q": pa.binary()}
+_PAIR = {"shard": pa.int32(), "block": pa.string(), "groups": pa.binary(), "words": pa.binary(), "q": pa.binary(), "counts": pa.binary()}
 
 
 def _pair_weights(blocks: DataFrame, shards: int, ends, letters, prior: float) -> DataFrame:
-    """(block, shard, data): for a block's pairs of a shard, in the block's order, log P(word | class, before) - log q(word)."""
+    """(block, shard, data): for a block's pairs of a shard, in the block's order, log P(word | class, before) - log q(word), in 1024ths."""
 
     def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Tokens(row)
-                q = ends.value.shares(block, _unpack(row["c"], np.int64, len(block.words)), letters.value).astype(np.float32)
+                q = _short(ends.value.shares(block, _unpack(row["c"], np.int64, len(block.words)), letters.value), 512)
                 before, code, _, n = block.pairs()
                 names = _pair_names(block, before, code, ends.value.classes)
                 order, parts = _dealt(_shard(names, shards))
                 low = np.uint64(0xFFFFFFFF)
                 for s, at in parts:
                     at = order[at]
-                    cell = (names[at] & low).astype(np.uint32), (block.names[code[at]] & low).astype(np.uint32), n[at], q[code[at]]
-                    yield _rows(_PAIR, (s, row["block"], *(x.tobytes() for x in cell)))
+                    cell = (names[at] & low).astype(np.uint32), (block.names[code[at]] & low).astype(np.uint32), q[code[at]]
+                    yield _rows(_PAIR, (s, row["block"], *(x.tobytes() for x in cell), _pack(n[at])))
 
     def answer(table: pa.Table) -> pa.Table:
         col = lambda k, kind: [np.frombuffer(x, kind) for x in table.column(k).to_pylist()]
         groups, words = col("groups", np.uint32), np.concatenate(col("words", np.uint32))
         keys = np.concatenate(groups).astype(np.uint64) << np.uint64(32) | words
         keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        n = np.bincount(which, np.concatenate(col("counts", np.int32)))
-        q = np.exp(np.maximum(np.concatenate(col("q", np.float32))[first].astype(float), -700.0))
-        found = _short(fit_pairs((keys >> np.uint64(32)).astype(np.int64), n, q, prior))
+        counts = [_unpack(x, np.int32, len(g)) for x, g in zip(table.column("counts").to_pylist(), groups)]
+        n = np.bincount(which, np.concatenate(counts))
+        q = np.exp(np.concatenate(col("q", np.int16))[first] / 512)
+        found = _short(fit_pairs((keys >> np.uint64(32)).astype(np.int64), n, q, prior), 1024)
         shard = table.column("shard")[0].as_py()
         back = np.split(found[which], np.cumsum([len(x) for x in groups])[:-1])
         return pa.Table.from_batches([_rows(_COUNT, *((b, shard, _pack(x)) for b, x in zip(table.column("block").to_pylist(), back)))])
 
-    asked = blocks.mapInArrow(ask, "shard int, block string, groups binary, words binary, counts binary, q binary")
+    asked = blocks.mapInArrow(ask, "shard int, block string, groups binary, words binary, q binary, counts binary")
     return asked.groupBy("shard").applyInArrow(answer, "block string, shard int, data binary")
 
 
@@ -500,19 +515,15 @@ def _answers(table: pa.Table, order: np.ndarray, parts, kind) -> np.ndarray:
 
 
 def _counted(blocks: DataFrame, counts: DataFrame, shards: int, parts: int) -> DataFrame:
-    """The blocks with c, the training counts of their words, and the spelling of their words that occur once in all training texts."""
+    """The blocks with c, the training counts of their words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Tokens(left.to_pylist()[0])
         order, cells = _dealt(_shard(block.names, shards))
-        c = _answers(right, order, cells, np.int64)
-        word, cells = spelling(block.words)
-        once = (c == 1) & (block.counts == 1)
-        spelled = cells[:, once[word]].astype(np.int32)
-        return left.append_column("c", pa.array([_pack(c)], pa.binary())).append_column("spelled", pa.array([_pack(spelled)], pa.binary())).append_column("n_spelled", pa.array([spelled.shape[1]], pa.int64()))
+        return left.append_column("c", pa.array([_pack(_answers(right, order, cells, np.int64))], pa.binary()))
 
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in blocks.schema.fields)
-    return _met(blocks, counts, parts).applyInArrow(run, f"{kinds}, c binary, spelled binary, n_spelled long")
+    return _met(blocks, counts, parts).applyInArrow(run, f"{kinds}, c binary")
 
 
 def _met(blocks: DataFrame, answers: DataFrame, parts: int):
@@ -529,12 +540,12 @@ def _first_counts(blocks: DataFrame, ends, scratch: Scratch) -> tuple[np.ndarray
         for batch in batches:
             for row in batch.to_pylist():
                 block = Tokens(row)
-                for at, f, y in features(block, ends.value.classes):
-                    t = block.trains[at]
+                for _, f, y in features(block, ends.value.classes, ~block.held, 1 << 18):
                     for k in range(FEATURES):
-                        seen += np.bincount(f[t, k] * CLASSES + y[t], minlength=HASHES * CLASSES)
-                spelled = _unpack(row["spelled"], np.int32, len(CONTEXTS) * row["n_spelled"]).reshape(len(CONTEXTS), -1)
-                cells += np.bincount((spelled + first[:, None]).ravel(), minlength=LETTERS)
+                        seen += np.bincount(f[:, k] * CLASSES + y, minlength=HASHES * CLASSES)
+                once = np.flatnonzero((_unpack(row["c"], np.int64, len(block.words)) == 1) & (block.counts == 1))
+                for _, _, spelled in spellings([block.words[i] for i in once]):
+                    cells += np.bincount((spelled + first[:, None]).ravel(), minlength=LETTERS)
         yield _sliced(seen)
         yield _sliced(cells, SLICES)
 
@@ -556,10 +567,9 @@ def _gradient(blocks: DataFrame, turn: int, ends, weights: np.ndarray, scratch:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Tokens(row)
-                mine = block.trains & (block.part == turn)[block.doc]
                 total[:] = 0
-                for at, f, y in features(block, ends.value.classes):
-                    add_gradient(total, shared.value, ends.value.bias, f[mine[at]], y[mine[at]])
+                for _, f, y in features(block, ends.value.classes, ~block.held & (block.part == turn)):
+                    add_gradient(total, shared.value, ends.value.bias, f, y)
                 whole += np.rint(total.astype(float) * FIXED).astype(np.int64)
         yield _sliced(whole)
 
@@ -598,7 +608,7 @@ def score(docs: DataFrame, scratch: Scratch, ident: str, text: str = "text", rou
     seen, cells = _first_counts(counted, ends, scratch)
     letters = share(Letters(cells))
     weights = share(fit_classes(seen, model, lambda turn, w: _gradient(counted, turn, ends, w, scratch), rounds))
-    pairs = scratch.write(_pair_weights(counted.drop("spelled", "n_spelled"), pair_shards, ends, letters, prior), "pairs")
+    pairs = scratch.write(_pair_weights(counted, pair_shards, ends, letters, prior), "pairs")
     names = [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"`{ident}` {docs.schema[ident].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -609,11 +619,11 @@ def score(docs: DataFrame, scratch: Scratch, ident: str, text: str = "text", rou
         base = np.log10((c + 0.5) / (e.n + 0.5 * (e.v + 1)))
         before, code, of_token, _ = block.pairs()
         order, cells = _dealt(_shard(_pair_names(block, before, code, e.classes), pair_shards))
-        gain = _answers(right, order, cells, np.int16) / 512
+        gain = _answers(right, order, cells, np.int16) / 1024
         lp = e.shares(block, c, letters.value)[block.codes]
         inside = of_token >= 0
         lp[inside] += gain[of_token[inside]]
-        for at, f, y in features(block, e.classes, 1 << 13):
+        for at, f, y in features(block, e.classes, step=1 << 13):
             logits = _logits(weights.value, e.bias, f)
             lp[at] += logits[np.arange(len(y)), y] - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
         total = lambda x: np.bincount(block.doc, x, len(block.lengths))
@@ -623,7 +633,7 @@ def score(docs: DataFrame, scratch: Scratch, ident: str, text: str = "text", rou
         ]
         return pa.Table.from_arrays(columns, names=names)
 
-    return _met(counted.drop("spelled", "n_spelled"), pairs, parts).applyInArrow(run, schema)
+    return _met(counted, pairs, parts).applyInArrow(run, schema)
 
 
 def op2_lm_scoring(spark, sf_dir):

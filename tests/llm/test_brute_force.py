@@ -82,7 +82,8 @@ def plain_scores(docs):
             for x in xs:
                 own = (letters[x, b] + lm.SMOOTH * own) / (contexts[x] + lm.SMOOTH)
             p *= own
-        return p + ((1 - u) * c[w] / tok[k] if c[w] else 0.0)
+        p += (1 - u) * c[w] / tok[k] if c[w] else 0.0
+        return math.exp(round(math.log(p) * 512) / 512)
 
     feats, ys = {}, {}
     for d, words in docs.items():
@@ -131,7 +132,7 @@ def plain_scores(docs):
 
     for _ in range(60):
         mid = (low + high) / 2
-        more = 1 + np.bincount(at, own * np.expm1(solved(mid))) > np.exp(mid)
+        more = np.maximum(0, 1 - np.bincount(at, own)) + np.bincount(at, own * np.exp(solved(mid))) > np.exp(mid)
         low, high = np.where(more, mid, low), np.where(more, high, mid)
     fitted = {group: ({}, z) for group, z in zip(pairs, low)}
     for (i, w), theta, group in zip(keys, solved(low), [g for g, words in pairs.items() for _ in words]):
@@ -142,7 +143,7 @@ def plain_scores(docs):
         inner = 0.0
         for before, w in zip([b"", *words], words):
             theta, log_z = fitted.get((before, cls[ending(w)]), ({}, 0.0))
-            inner += math.log(q(w)) + (theta.get(w, 0.0) - log_z if w else 0.0)
+            inner += math.log(q(w)) + (round((theta.get(w, 0.0) - log_z) * 1024) / 1024 if w else 0.0)
         out[d] = (outer + inner) / math.log(10)
     return out
 
@@ -201,12 +202,12 @@ def test_endings_and_spelling_sum_to_one():
 def test_class_model_sums_to_one():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(lm_scoring.HASHES, lm_scoring.CLASSES)).astype(np.float32)
-    f = lm_scoring.history(rng.integers(0, 1 << 32, 50, dtype=np.uint32), rng.integers(0, 64, 50).astype(np.uint8), np.arange(50) % 7)
-    p = np.exp(lm_scoring._logits(w, np.zeros(64, np.float32), f))
+    f = lm_scoring.history(rng.integers(0, 1 << 32, 50, dtype=np.uint32), rng.integers(0, 32, 50).astype(np.uint8), np.arange(50) % 7)
+    p = np.exp(lm_scoring._logits(w, np.zeros(32, np.float32), f))
     assert np.allclose((p / p.sum(axis=1, keepdims=True)).sum(axis=1), 1, atol=1e-5)
     assert (f[::7] == f[0]).all()  # a document's start sees nothing of the one before
-    total, y = np.zeros((lm_scoring.HASHES, 64), np.float32), rng.integers(0, 64, 50)
-    lm_scoring.add_gradient(total, w, np.zeros(64, np.float32), f, y)
+    total, y = np.zeros((lm_scoring.HASHES, 32), np.float32), rng.integers(0, 32, 50)
+    lm_scoring.add_gradient(total, w, np.zeros(32, np.float32), f, y)
     want = np.zeros(total.shape)
     for i, k in enumerate(y):
         g = -p[i] / p[i].sum()
