@@ -81,23 +81,31 @@ def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True) if n else b"", kind)
 
 
+class Numbers(dict):
+    """Word -> its number, in the order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Block:
     """Collects texts as numbers of the block's own words; word 0 is the end."""
 
     def __init__(self):
-        self.number: dict[bytes, int] = {b"": 0}
+        self.number = Numbers({b"": 0})
         self.ids, self.held, self.part, self.lengths, self.codes, self.bytes = [], [], [], [], [], 0
 
     def add(self, doc_id, text: str | None) -> None:
-        number = self.number
         raw = text.encode().lower() if text else b""
-        codes = [number.setdefault(w, len(number)) for w in raw.split()]
-        codes.append(0)
+        words = raw.split()
+        words.append(b"")
+        codes = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
         self.ids.append(doc_id)
         self.held.append(held_out(doc_id))
         self.part.append(part_of(doc_id))
         self.lengths.append(len(codes))
-        self.codes.append(np.array(codes, np.int32))
+        self.codes.append(codes)
         self.bytes += len(raw)
 
     def row(self) -> dict:
@@ -224,26 +232,37 @@ class Letters:
         return np.log(p)
 
 
-def history(hashes: np.ndarray, classes: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Hashed features (tokens x FEATURES) of each token's history; place counts from 0 in each document."""
+def _rows_of(x: np.ndarray, factor: int) -> np.ndarray:
+    """Whole numbers to rows of the table of weights."""
+    with np.errstate(over="ignore"):
+        return ((x.astype(np.uint32) * np.uint32(factor)) >> np.uint32(33 - HASHES.bit_length())).astype(np.uint16)
+
+
+_PAIRED, _SKIPPED, _TRIPLE = (_rows_of(np.arange(1, n + 1), k) for n, k in ((CLASSES**2, 3266489917), (CLASSES**2, 668265263), (CLASSES**3, 374761393)))
+
+
+def word_rows(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of words as the word before, and as the one before that."""
+    return _rows_of(hashes, 2654435761), _rows_of(hashes, 2246822519)
 
-    def back(x, k):
-        out = np.zeros(len(x), np.uint64)
-        out[k:] = x[:-k] if k < len(x) else 0
-        out[place < k] = 0
+
+def history(one: np.ndarray, two: np.ndarray, classes: np.ndarray, starts: np.ndarray, end: tuple[int, int]) -> np.ndarray:
+    """Hashed features (FEATURES x tokens) of each token's history, from the tokens' ``word_rows`` and classes and the first tokens of documents;
+    before a document stand ends, whose rows are ``end``."""
+
+    def back(x, k, first):
+        out = np.empty_like(x)
+        out[k:] = x[: len(x) - k]
+        out[:k] = first
+        for j in range(k):
+            at = starts + j
+            out[at[at < len(x)]] = first
         return out
 
-    h, c = hashes.astype(np.uint64) + np.uint64(1), classes.astype(np.uint64) + np.uint64(1)
-    c1, c2, c3 = back(c, 1), back(c, 2), back(c, 3)
-    wide = np.uint64(CLASSES + 1)
-    with np.errstate(over="ignore"):
-        raw = (back(h, 1), back(h, 2), c1 * wide + c2, c1 * wide + c3, (c1 * wide + c2) * wide + c3)
-        out = np.empty((len(h), FEATURES), np.int64)
-        for k, x in enumerate(raw):
-            x = (x + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            out[:, k] = (x >> np.uint64(40)) % np.uint64(HASHES)
-    return out
+    c = classes.astype(np.uint16)
+    c1, c2, c3 = (back(c, k, END_CLASS) for k in (1, 2, 3))
+    pair = c1 * np.uint16(CLASSES) + c2
+    return np.stack([back(one, 1, end[0]), back(two, 2, end[1]), _PAIRED[pair], _SKIPPED[c1 * np.uint16(CLASSES) + c3], _TRIPLE[pair.astype(np.int32) * CLASSES + c3]])
 
 
 def features(block: Tokens, classes: np.ndarray, docs: np.ndarray | None = None, step: int = 1 << 16):
@@ -252,17 +271,21 @@ def features(block: Tokens, classes: np.ndarray, docs: np.ndarray | None = None,
     if docs is not None:
         inside = docs[block.doc]
         codes, place = codes[inside], place[inside]
+    one, two = word_rows(block.hashes)
+    starts = np.flatnonzero(place == 0)
     for at in range(0, len(codes), step):
-        part = slice(max(0, at - 3), at + step)
-        k = of_word[codes[part]]
-        f = history(block.hashes[codes[part]], k, place[part])
-        yield slice(at, at + step), f[at - part.start :], k[at - part.start :].astype(np.int64)
+        begin = max(0, at - 3)
+        part = codes[begin : at + step]
+        k = of_word[part]
+        first = starts[np.searchsorted(starts, begin) : np.searchsorted(starts, at + step)] - begin
+        f = history(one[part], two[part], k, first, (one[0], two[0]))
+        yield slice(at, at + step), f[:, at - begin :], k[at - begin :].astype(np.int32)
 
 
 def _logits(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    out = w[f[:, 0]]
+    out = w[f[0]]
     for k in range(1, FEATURES):
-        out += w[f[:, k]]
+        out += w[f[k]]
     out += bias
     out -= out.max(axis=1, keepdims=True)
     return out
@@ -271,12 +294,12 @@ def _logits(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
 def add_gradient(total: np.ndarray, w: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
     """Adds the gradient of the log probability of the classes y."""
     for at in range(0, len(y), BATCH):
-        fb, yb = f[at : at + BATCH], y[at : at + BATCH]
+        fb, yb = f[:, at : at + BATCH], y[at : at + BATCH]
         p = np.exp(_logits(w, bias, fb))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(yb)), yb] -= 1.0
-        flat = fb.T.ravel()
-        order = np.argsort(flat.astype(np.uint16), kind="stable")  # HASHES fits; sorted by radix
+        flat = fb.ravel()
+        order = np.argsort(flat, kind="stable")  # short numbers are sorted by radix
         rows = flat[order]
         begin = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
         total[rows[begin]] -= _row_sums(p[order % len(yb)], begin)
@@ -299,6 +322,14 @@ def _rows(kinds: dict, *rows: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
 
+def _wrap(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "big") + _pack(x)
+
+
+def _unwrap(raw: bytes) -> np.ndarray:
+    return _unpack(raw[8:], np.int64, int.from_bytes(raw[:8], "big"))
+
+
 _SLICE = {"slice": pa.int32(), "salt": pa.int32(), "data": pa.binary()}
 
 
@@ -307,7 +338,7 @@ def _sliced(table: np.ndarray, first: int = 0):
     from pyspark import TaskContext
 
     salt = TaskContext.get().partitionId() % 32
-    return _rows(_SLICE, *((first + i, salt, x.tobytes()) for i, x in enumerate(np.split(table.astype(np.int64).ravel(), SLICES))))
+    return _rows(_SLICE, *((first + i, salt, _wrap(x)) for i, x in enumerate(np.split(table.astype(np.int64).ravel(), SLICES))))
 
 
 def summed(parts: DataFrame, tables: int = 1) -> list[np.ndarray]:
@@ -317,13 +348,12 @@ def summed(parts: DataFrame, tables: int = 1) -> list[np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                x = np.frombuffer(raw, np.int64)
-                sums[s] = sums[s] + x if s in sums else x
-        yield _rows(_SLICE, *((s, 0, x.tobytes()) for s, x in sums.items()))
+                sums[s] = sums[s] + _unwrap(raw) if s in sums else _unwrap(raw)
+        yield _rows(_SLICE, *((s, 0, _wrap(x)) for s, x in sums.items()))
 
     schema = "slice int, salt int, data binary"
     got = {r.slice: r.data for r in parts.repartition("slice", "salt").mapInArrow(add, schema).repartition("slice").mapInArrow(add, schema).collect()}
-    whole = lambda i: np.concatenate([np.frombuffer(got[s], np.int64) for s in range(i * SLICES, (i + 1) * SLICES)])
+    whole = lambda i: np.concatenate([_unwrap(got[s]) for s in range(i * SLICES, (i + 1) * SLICES)])
     return [whole(i) if got else None for i in range(tables)]
 
 
@@ -542,7 +572,7 @@ def _first_counts(blocks: DataFrame, ends, scratch: Scratch) -> tuple[np.ndarray
                 block = Tokens(row)
                 for _, f, y in features(block, ends.value.classes, ~block.held, 1 << 18):
                     for k in range(FEATURES):
-                        seen += np.bincount(f[:, k] * CLASSES + y, minlength=HASHES * CLASSES)
+                        seen += np.bincount(f[k].astype(np.int32) * CLASSES + y, minlength=HASHES * CLASSES)
                 once = np.flatnonzero((_unpack(row["c"], np.int64, len(block.words)) == 1) & (block.counts == 1))
                 for _, _, spelled in spellings([block.words[i] for i in once]):
                     cells += np.bincount((spelled + first[:, None]).ravel(), minlength=LETTERS)

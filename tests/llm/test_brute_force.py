@@ -89,7 +89,8 @@ def plain_scores(docs):
     for d, words in docs.items():
         h = np.array([lm.xxhash.xxh3_64_intdigest(w) >> 32 for w in words], np.uint32)
         ys[d] = np.array([cls[ending(w)] for w in words])
-        feats[d] = lm.history(h, ys[d].astype(np.uint8), np.arange(len(words)))
+        rows = lm.word_rows(h)
+        feats[d] = lm.history(*rows, ys[d], np.array([0]), (rows[0][-1], rows[1][-1])).T
     seen = np.zeros((lm.HASHES, classes))
     for d in train:
         for f in feats[d].T:
@@ -202,17 +203,18 @@ def test_endings_and_spelling_sum_to_one():
 def test_class_model_sums_to_one():
     rng = np.random.default_rng(0)
     w = rng.normal(size=(lm_scoring.HASHES, lm_scoring.CLASSES)).astype(np.float32)
-    f = lm_scoring.history(rng.integers(0, 1 << 32, 50, dtype=np.uint32), rng.integers(0, 32, 50).astype(np.uint8), np.arange(50) % 7)
+    one, two = lm_scoring.word_rows(rng.integers(0, 1 << 32, 50, dtype=np.uint32))
+    f = lm_scoring.history(one, two, rng.integers(0, 32, 50).astype(np.uint8), np.arange(0, 50, 7), (5, 6))
     p = np.exp(lm_scoring._logits(w, np.zeros(32, np.float32), f))
     assert np.allclose((p / p.sum(axis=1, keepdims=True)).sum(axis=1), 1, atol=1e-5)
-    assert (f[::7] == f[0]).all()  # a document's start sees nothing of the one before
+    assert (f[:, ::7] == f[:, :1]).all() and (f[1, 1::7] == 6).all()  # a document's start sees nothing of the one before
     total, y = np.zeros((lm_scoring.HASHES, 32), np.float32), rng.integers(0, 32, 50)
     lm_scoring.add_gradient(total, w, np.zeros(32, np.float32), f, y)
     want = np.zeros(total.shape)
     for i, k in enumerate(y):
         g = -p[i] / p[i].sum()
         g[k] += 1
-        for row in f[i]:
+        for row in f[:, i]:
             want[row] += g
     assert np.allclose(total, want, atol=1e-4)
 
