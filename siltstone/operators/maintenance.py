@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +13,18 @@ MAX_CHUNKS = 32_768
 CHUNK_OVERHEAD, CONTAINER_OVERHEAD = 383, 12_351
 
 
-def classify(container_chunks: DataFrame, online: DataFrame) -> DataFrame:
-    """(container_id, chunks, live_chunks, bytes, state): RECLAIMABLE without live chunks, RETAINED with live ones only, else PARTIAL."""
+def classify(container_chunks: DataFrame, online: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(container_id, chunks, live_chunks, bytes, state): RECLAIMABLE without live chunks, RETAINED with live ones only, else PARTIAL.
+
+    bytes is the length of the container's file, from ``files`` (container_id, file_bytes); without it the chunks' logical bytes.
+    """
     live = container_chunks.join(online.select(*KEY).withColumn("live", F.lit(1)), KEY, "left")
     sums = live.groupBy("container_id").agg(F.count("*").alias("chunks"), F.coalesce(F.sum("live"), F.lit(0)).alias("live_chunks"), F.sum("logical_length").alias("bytes"))
     state = F.when(F.col("live_chunks") == 0, "RECLAIMABLE").when(F.col("live_chunks") < F.col("chunks"), "PARTIAL").otherwise("RETAINED")
-    return sums.withColumn("state", state)
+    sums = sums.withColumn("state", state)
+    if files is None:
+        return sums
+    return sums.drop("bytes").join(files.select("container_id", F.col("file_bytes").alias("bytes")), "container_id").select("container_id", "chunks", "live_chunks", "bytes", "state")
 
 
 def replacement_set(container_chunks: DataFrame, online: DataFrame, states: DataFrame) -> DataFrame:
@@ -48,7 +55,7 @@ def gc_plan(states: DataFrame, replacement: DataFrame) -> DataFrame:
 def priorities(pools: DataFrame) -> DataFrame:
     """Adds scrub and gc priorities: NORMAL from 90 % use; the collection also beyond 20 % of reclaimable bytes."""
     full = F.col("used") * 10 >= F.col("capacity") * 9
-    much = F.col("reclaimable") * 5 > F.col("container_bytes")
+    much = (F.col("container_bytes") != 0) & (F.col("reclaimable") * 5 > F.col("container_bytes"))
     return pools.withColumn("scrub", F.when(full, "NORMAL").otherwise("BACKGROUND")).withColumn("gc", F.when(full | much, "NORMAL").otherwise("BACKGROUND"))
 
 
@@ -59,6 +66,57 @@ def replacement_order(container_chunks: DataFrame, replacement: DataFrame, victi
     return first.select("f.container_id", "f.chunk_ordinal", *KEY)
 
 
+def victims(states: DataFrame, plan: DataFrame) -> DataFrame:
+    """(container_id): what a plan deletes: reclaimable containers, and partial ones if it collects them."""
+    return states.join(F.broadcast(plan.select("collect_partial"))).where("state = 'RECLAIMABLE' OR (state = 'PARTIAL' AND collect_partial)").select("container_id")  # one row
+
+
+def replacement_batches(copies: DataFrame, target: int = TARGET_BYTES, chunks: int = MAX_CHUNKS) -> DataFrame:
+    """Adds batch and place to the copies of ``replacement_order``, in the order of containers: a batch closes before it would exceed ``target`` bytes or
+    ``chunks`` chunks.
+
+    The rule is sequential, so it runs over one sorted partition with three carried numbers; the rows are those of a
+    collection's replaced chunks, without payload.
+    """
+    names = ["container_id", "chunk_ordinal", *KEY]
+
+    def run(batches):
+        batch_no, place, size = 0, 0, 0
+        for batch in batches:
+            at, places = [], []
+            for n in batch.column("logical_length").to_pylist():
+                if place and (size + n > target or place >= chunks):
+                    batch_no, place, size = batch_no + 1, 0, 0
+                at.append(batch_no)
+                places.append(place)
+                place, size = place + 1, size + n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(places, pa.int64())], names=[*names, "batch", "place"])
+
+    rows = copies.select(*names)
+    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields), "batch long, place long"])
+    return rows.coalesce(1).sortWithinPartitions("container_id", "chunk_ordinal").mapInArrow(run, schema)
+
+
+def collect_garbage(container_chunks: DataFrame, online: DataFrame, files: DataFrame, domain: str, generation: int) -> DataFrame:
+    """(container_id, chunk_ordinal, chunk_id, logical_length, origin): the containers after a collection. KEPT rows stay where they are; NEW rows are the needed
+    chunks of collected containers in containers with ids of their own; all other rows are gone."""
+    states = classify(container_chunks, online, files)
+    replaced = replacement_set(container_chunks, online, states)
+    plan = gc_plan(states, replaced)
+    gone = victims(states, plan)
+    kept = container_chunks.join(gone, "container_id", "left_anti").select("container_id", "chunk_ordinal", *KEY, F.lit("KEPT").alias("origin"))
+    partial = states.where("state = 'PARTIAL'").join(gone, "container_id", "left_semi").select("container_id")
+    packed = replacement_batches(replacement_order(container_chunks, replaced, partial))
+    ids = replacement_id(packed, domain, generation)
+    new = packed.drop("container_id").join(ids, "batch").select("container_id", F.col("place").alias("chunk_ordinal"), *KEY, F.lit("NEW").alias("origin"))
+    return kept.unionByName(new)
+
+
+def collection_faults(before: DataFrame, after: DataFrame, online: DataFrame) -> DataFrame:
+    """Online chunks that had a container before a collection and have none after it; must be empty, else nothing may be deleted."""
+    return online.join(before.select(*KEY), KEY, "left_semi").join(after.select(*KEY), KEY, "left_anti")
+
+
 def replacement_id(packed: DataFrame, domain: str, generation: int) -> DataFrame:
     """(batch, container_id): a deterministic id from the batch's chunk ids and lengths in order."""
     part = F.concat_ws(":", "chunk_id", "logical_length")

@@ -44,11 +44,27 @@ def record_bytes(payload, chunks):
     return F.ceil(whole / RECORD_ALIGN).cast("long") * RECORD_ALIGN
 
 
+def raw_record_bytes(length):
+    """Size of the raw record of one chunk."""
+    return record_bytes(length, F.lit(1))
+
+
+def raw_records(lengths):
+    """Size of the raw records of an array of chunk lengths, a record for each."""
+    return F.aggregate(lengths, F.lit(0).cast("long"), lambda n, x: n + raw_record_bytes(x))
+
+
 def payload_cap(raw, chunks):
-    """Largest payload with which a compressed record still wins: the raw record less the saving, less header and table."""
-    saving = F.greatest(F.lit(MIN_SAVING), F.ceil(record_bytes(raw, chunks) * ZSTD_PERCENT / 100).cast("long"))
-    room = F.floor((record_bytes(raw, chunks) - saving) / RECORD_ALIGN).cast("long") * RECORD_ALIGN
-    return F.greatest(F.lit(0).cast("long"), room - RECORD_HEADER - RECORD_CHUNK * chunks)
+    """Largest payload with which a compressed record of so many chunks still wins over their raw records (``raw``, all bytes): less the
+    saving, aligned, less header and table."""
+    percent = F.ceil(raw * ZSTD_PERCENT / 100).cast("long")
+    room = F.greatest(F.lit(0).cast("long"), raw - F.greatest(F.lit(MIN_SAVING).cast("long"), percent))
+    return F.greatest(F.lit(0).cast("long"), room - room % RECORD_ALIGN - RECORD_HEADER - RECORD_CHUNK * chunks)
+
+
+def record_win(raw, payload, chunks):
+    """Whether a compressed record, whole and aligned, replaces the raw records."""
+    return payload <= payload_cap(raw, chunks)
 
 
 def checkpoint_trigger(states: DataFrame) -> DataFrame:
@@ -62,9 +78,38 @@ def checkpoint_trigger(states: DataFrame) -> DataFrame:
 
 
 def handle_fence(events: DataFrame) -> DataFrame:
-    """(handle, accepted, completed, close_ready): a handle may close when all accepted operations are complete."""
-    sums = events.groupBy("handle").agg(F.count_if(F.col("op") == "accept").alias("accepted"), F.count_if(F.col("op") == "complete").alias("completed"))
-    return sums.withColumn("close_ready", F.col("accepted") == F.col("completed"))
+    """(handle, accepted, applied, refused, close_ready) from events (handle, seq, op, sequence) in the order of seq.
+
+    An acceptance takes the next sequence; a completion counts only for the sequence after the last one applied, and only if that has been
+    accepted. A handle may close when all accepted operations are applied. The fold is over one handle's events.
+    """
+    none = F.struct(F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("applied"), F.lit(0).cast("long").alias("refused"))
+
+    def step(state, e):
+        accept = (e.op == "accept").cast("long")
+        good = ((e.op == "complete") & (e["sequence"] == state.applied + 1) & (e["sequence"] <= state.accepted)).cast("long")
+        return F.struct((state.accepted + accept).alias("accepted"), (state.applied + good).alias("applied"), (state.refused + 1 - accept - good).alias("refused"))
+
+    lists = events.groupBy("handle").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "sequence"))).alias("e"))
+    return lists.select("handle", F.aggregate("e", none, step).alias("s")).select("handle", "s.*", (F.col("s.accepted") == F.col("s.applied")).alias("close_ready"))
+
+
+def phase_metrics(phases: DataFrame, *by: str) -> DataFrame:
+    """Additive wall and CPU time and bytes of checkpoint phases (phase, wall_ms, cpu_ms, bytes)."""
+    return phases.groupBy(*by, "phase").agg(F.count("*").alias("runs"), *[F.sum(c).alias(c) for c in ("wall_ms", "cpu_ms", "bytes")], F.max("wall_ms").alias("worst_ms"))
+
+
+def result_rows(runs: DataFrame) -> DataFrame:
+    """Rows (policy, logical_bytes, payload_bytes, exact_hit_bytes, ratio_ppm, line) of policy runs; ``line`` is the CSV row."""
+    ratio = F.when(F.col("logical_bytes") > 0, F.expr("payload_bytes * 1000000 DIV logical_bytes")).otherwise(0)
+    rows = runs.withColumn("ratio_ppm", ratio.cast("long"))
+    return rows.withColumn("line", F.concat_ws(",", "policy", "logical_bytes", "payload_bytes", "exact_hit_bytes", "ratio_ppm"))
+
+
+def reorder_excess(regions: DataFrame, most: int) -> DataFrame:
+    """Regions (object_id, ordinal, place) that a reordering moved further than ``most`` places; must be empty."""
+    moved = F.abs(F.col("place") - F.col("ordinal"))
+    return regions.withColumn("moved", moved).where(moved > most)
 
 
 def directory_page(names: DataFrame, cookie: int, size: int) -> DataFrame:

@@ -49,6 +49,16 @@ def candidates(prints: DataFrame, bucket: int = BUCKET, most: int = CANDIDATES)
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select("object_id", "chunk_id", "candidate_id", "distance", "rank")
 
 
+def index_faults(prints: DataFrame, postings: DataFrame) -> DataFrame:
+    """(chunk_id, slot, feature, fault) of a feature index (slot, feature, length, chunk_id) against the fingerprints: MISSING postings, and EXTRA ones that no chunk asks
+    for; must be empty."""
+    key = ["slot", "feature", "length", "chunk_id"]
+    want = prints.select("chunk_id", "length", F.posexplode("features").alias("slot", "feature")).select(*key).distinct()
+    have = postings.select(*key).distinct()
+    lost, extra = want.join(have, key, "left_anti"), have.join(want, key, "left_anti")
+    return lost.withColumn("fault", F.lit("MISSING")).unionByName(extra.withColumn("fault", F.lit("EXTRA"))).select("chunk_id", "slot", "feature", "fault")
+
+
 def delta_trials(found: DataFrame, payload: DataFrame, trials: int = 4) -> DataFrame:
     """(object_id, chunk_id, base_id, cost, accepted): the cheapest delta of each chunk among its nearest candidates.
 

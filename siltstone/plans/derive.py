@@ -5,6 +5,8 @@ Each entry: name -> (source table, select list). ``frame`` gives the DataFrame,
 
 from __future__ import annotations
 
+import re
+
 _LINES = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 DERIVED: dict[str, tuple[str, list[str]]] = {
@@ -52,7 +54,10 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "md5(CAST(o_orderkey AS STRING)) AS record_hash",
             "CASE WHEN o_orderkey % 173 = 0 THEN 'x' ELSE lag(md5(CAST(o_orderkey AS STRING))) OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) END AS previous_hash",
             "CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) * 10 AS BIGINT) AS mutation_cutoff",
+            "CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) + 100 - CASE WHEN o_orderkey % 389 = 0 THEN 7 ELSE 0 END AS BIGINT) AS reservation_end",
+            "CAST(row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) + 2 - CASE WHEN o_orderkey % 401 = 0 THEN 7 ELSE 0 END AS BIGINT) AS allocation_cursor",
             "CAST(o_orderkey % 307 <> 0 AS BOOLEAN) AS checksum_ok",
+            "CAST(o_orderkey % 419 = 0 AS BOOLEAN) AS torn",
         ],
     ),
     # Inodes by generation (the month of an order): mutation sequence, manifest.
@@ -90,11 +95,11 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "CAST(l_linenumber AS BIGINT) AS line",
             "CAST(4096 * (l_partkey % 50) AS BIGINT) AS source_size",
             "CAST(4096 * (l_suppkey % 60) AS BIGINT) AS target_size",
-            "CAST(4096 * (l_partkey % 13) + l_linenumber % 2 AS BIGINT) AS source_offset",
+            "CAST(CASE WHEN l_partkey % 37 = 0 THEN 9223372036854771712 ELSE 4096 * (l_partkey % 13) + (l_linenumber + l_suppkey) % 5 // 4 END AS BIGINT) AS source_offset",
             "CAST(4096 * (l_suppkey % 11) AS BIGINT) AS target_offset",
             "CAST(4096 * (l_orderkey % 20) AS BIGINT) AS length",
-            "CAST(4096 * (1 + l_linenumber % 2) - l_orderkey % 2 AS BIGINT) AS alignment",
-            "CAST(4096 * 16 AS BIGINT) AS maximum_length",
+            "CAST(4096 * (1 + l_linenumber % 2) - CASE WHEN l_orderkey % 9 = 0 THEN 1 ELSE 0 END AS BIGINT) AS alignment",
+            "CAST(CASE WHEN l_suppkey % 23 = 0 THEN 0 ELSE 4096 * 16 END AS BIGINT) AS maximum_length",
             "CAST(l_partkey % 3 = 0 AS BOOLEAN) AS same_file",
         ],
     ),
@@ -117,16 +122,43 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id * 31 % 900 AS BIGINT) END AS container_age_ms",
         ],
     ),
-    "pool_usage": ("customer", ["CAST(c_custkey AS BIGINT) AS pool_id", "CAST(800 + c_custkey % 200 AS BIGINT) AS used", "CAST(1000 AS BIGINT) AS capacity", "CAST(c_custkey % 400 AS BIGINT) AS reclaimable", "CAST(1000 AS BIGINT) AS container_bytes"]),
-    "records": ("lineitem", ["CAST(l_orderkey AS BIGINT) AS record_id", "CAST(l_linenumber AS BIGINT) AS line", "CAST(l_quantity * 4096 AS BIGINT) AS raw_bytes", "CAST(l_quantity * 4096 * (1 - l_discount * 2) AS BIGINT) AS payload_bytes", "CAST(1 + l_partkey % 8 AS BIGINT) AS chunks"]),
-    "fence_events": ("events", ["CAST(user_id AS BIGINT) AS handle", "CAST(event_id AS BIGINT) AS seq", "CASE WHEN event_type = 'purchase' OR event_id % 3 = 0 THEN 'complete' ELSE 'accept' END AS op"]),
+    "pool_usage": ("customer", ["CAST(c_custkey AS BIGINT) AS pool_id", "CAST(800 + c_custkey % 200 AS BIGINT) AS used", "CAST(1000 AS BIGINT) AS capacity", "CAST(c_custkey % 400 AS BIGINT) AS reclaimable", "CAST(CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 1000 END AS BIGINT) AS container_bytes"]),
+    "records": ("lineitem", ["CAST(l_orderkey AS BIGINT) AS record_id", "CAST(l_linenumber AS BIGINT) AS line", "CAST(l_quantity * 4096 AS BIGINT) AS raw_bytes", "CAST(floor(l_quantity * 4096 * (1 - l_discount * 2)) AS BIGINT) AS payload_bytes", "CAST(1 + l_partkey % 8 AS BIGINT) AS chunks"]),
+    "fence_events": ("events", ["CAST(user_id AS BIGINT) AS handle", "CAST(event_id AS BIGINT) AS seq", "CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'accept' END AS op", "CAST(row_number() OVER (PARTITION BY user_id, event_id % 3 = 0 ORDER BY event_id) + CASE WHEN event_id % 31 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sequence"]),
+    # Names and roots by generation (a month of orders).
+    "roots": (
+        "(SELECT DISTINCT year(o_orderdate) * 12 + month(o_orderdate) AS g FROM orders)",
+        [
+            "CAST(row_number() OVER (ORDER BY g) AS BIGINT) AS generation",
+            "CAST(100 * row_number() OVER (ORDER BY g) - CASE WHEN g % 17 = 0 THEN 150 ELSE 0 END AS BIGINT) AS mutation_sequence",
+            "CAST(40 * row_number() OVER (ORDER BY g) - CASE WHEN g % 19 = 0 THEN 75 ELSE 0 END AS BIGINT) AS reservation_end",
+            "CAST(30 * row_number() OVER (ORDER BY g) - 28 + CASE WHEN g % 23 = 0 THEN 45 ELSE 0 END AS BIGINT) AS allocation_cursor",
+        ],
+    ),
+    "root_inodes": (
+        "(SELECT DISTINCT l_partkey % 900 AS p, year(l_shipdate) * 12 + month(l_shipdate) AS g FROM lineitem)",
+        ["CAST(1 + dense_rank() OVER (ORDER BY g) AS BIGINT) AS generation", "CAST(p + 2 AS BIGINT) AS inode", "CAST(g * 10 + p - CASE WHEN p % 29 = 0 THEN 20 * (g % 3) ELSE 0 END AS BIGINT) AS mutation_sequence"],
+    ),
+    # Clones of ranges between the files of extents, some within one file.
+    "clones": (
+        "orders",
+        [
+            "CAST(o_orderkey AS BIGINT) AS clone_id", "CAST(o_orderkey AS BIGINT) AS source_file", "CAST(512 * (o_custkey % 20) AS BIGINT) AS source_offset",
+            "CAST(o_orderkey + o_custkey % 3 AS BIGINT) AS target_file", "CAST(512 * (o_custkey % 11) AS BIGINT) AS target_offset", "CAST(300 * (o_custkey % 30) AS BIGINT) AS length",
+        ],
+    ),
+    "phases": ("events", ["CAST(user_id % 9 AS BIGINT) AS checkpoint", "event_type AS phase", "CAST(event_id % 91 AS BIGINT) AS wall_ms", "CAST(event_id % 57 AS BIGINT) AS cpu_ms", "CAST(event_id % 4096 AS BIGINT) AS bytes"]),
     "accesses": ("events", ["CAST(user_id AS BIGINT) AS cache", "event_type AS kind", "CAST(event_id % 4 <> 0 AS BOOLEAN) AS hit", "CAST(event_id * 17 % 1000 AS BIGINT) AS latency_ms"]),
 }
 
 
 def frame(spark, sf_dir: str, name: str):
     table, columns = DERIVED[name]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
+    columns = [c.replace(" // ", " DIV ") for c in columns]
+    if not table.startswith("("):
+        return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
+    inner = re.sub(r"FROM (\w+)\)", lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`)", table)
+    return spark.sql(f"SELECT {', '.join(columns)} FROM {inner}")
 
 
 def cte(*names: str) -> str:

@@ -7,23 +7,35 @@ from pyspark.sql import functions as F
 from siltstone.functions.cdc import CdcProfile
 from siltstone.operators import encoding, packing, reduction, replay, segments, similarity
 from siltstone.operators.chunking import objects
+from siltstone.plans import rule_queries
 from siltstone.plans.derive import cte, frame
 from siltstone.policy import Policy
 
 #: A profile for documents of a few kilobytes.
 SMALL = CdcProfile(sequence=3, skip_trigger=30, skip_bytes=64, least=256, most=4096)
+#: One whose chunks are large enough for a delta to save its least number of bytes.
+DELTA = CdcProfile(sequence=3, skip_trigger=30, skip_bytes=64, least=8192, most=65536)
 
 
 def _documents(s, d):
     return objects(s.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
 
 
+def _edited(s, d):
+    """All documents and a changed copy of each: a word in the middle is replaced, and a run of blanks follows."""
+    docs = _documents(s, d)
+    half = F.floor(F.octet_length("bytes") / 2).cast("int")
+    left, right = F.substring("bytes", F.lit(1), half), F.substring("bytes", half + 9, F.octet_length("bytes"))
+    blanks = F.encode(F.repeat(F.lit(" "), F.lit(1024)), "UTF-8")
+    return docs.unionByName(docs.select((F.col("object_id") + (1 << 40)).alias("object_id"), F.concat(left, F.encode(F.lit("(edited)"), "UTF-8"), right, blanks).alias("bytes")))
+
+
 def _chunks(s, d):
     return segments.content_chunks(_documents(s, d), SMALL, 512)
 
 
-def _report(preset):
-    return lambda s, d: reduction.reduce(_documents(s, d), Policy.preset(preset, profile=SMALL)).report()
+def _report(preset, source=_documents):
+    return lambda s, d: reduction.reduce(source(s, d), Policy.preset(preset, profile=SMALL)).report()
 
 
 def _candidates(s, d):
@@ -31,7 +43,7 @@ def _candidates(s, d):
 
 
 def _delta(s, d):
-    chunks = _chunks(s, d).where("kind = 'DATA'")
+    chunks = segments.content_chunks(_edited(s, d), DELTA, 512).where("kind = 'DATA'")
     payload = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", "bytes", F.col("length").alias("independent_bytes"))
     return similarity.delta_trials(similarity.candidates(similarity.fingerprints(chunks)), payload)
 
@@ -59,11 +71,11 @@ QUERIES = {
     "similarity_candidates": _candidates,
     "delta_trials": _delta,
     "zstd_regions": _regions,
-    "incompressibility_gate": lambda s, d: encoding.gate(_documents(s, d).withColumn("chunks", F.lit(1))).groupBy("decision").agg(F.count("*").alias("regions")),
+    "incompressibility_gate": lambda s, d: encoding.gate(rule_queries.gate_regions(s, d)).groupBy("decision").agg(F.count("*").alias("regions")),
     "proof_cache_replay": lambda s, d: replay.replay(_trace(s, d), ["s3fifo", "sieve"], [192 * 10, 192 * 40]),
     "greedy_regions": _packing,
     "reduction_exact": _report("exact"),
-    "reduction_all": _report("all"),
+    "reduction_all": _report("all", _edited),
 }
 
 ORACLES = {

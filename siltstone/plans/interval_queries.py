@@ -58,12 +58,13 @@ f AS (SELECT *, CASE WHEN lag(seq) OVER k = seq AND lag(b) OVER k = a THEN 0 ELS
 r AS (SELECT *, sum(n) OVER (PARTITION BY file_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM f)
 SELECT file_id, seq, min(a) AS range_start, max(b) AS range_end FROM r GROUP BY file_id, run, seq""",
     "truncate": cte("extents", "ranges") + f""", z AS (SELECT file_id, range_end AS new_size FROM ranges), ends AS (SELECT file_id, max({_E}) AS fe FROM extents GROUP BY 1)
-SELECT file_id, logical_offset, least({_E}, new_size) - logical_offset AS length, CASE WHEN kind = 'DATA' AND {_E} > new_size THEN 'SLICE' ELSE kind END AS kind FROM extents JOIN z USING (file_id) WHERE logical_offset < new_size
-UNION ALL SELECT file_id, coalesce(fe, 0), new_size - coalesce(fe, 0), 'HOLE' FROM z LEFT JOIN ends USING (file_id) WHERE new_size > coalesce(fe, 0)""",
+SELECT file_id, logical_offset, least({_E}, new_size) - logical_offset AS length, CASE WHEN kind = 'DATA' AND {_E} > new_size THEN 'SLICE' ELSE kind END AS kind, chunk_id, chunk_offset, chunk_length FROM extents JOIN z USING (file_id) WHERE logical_offset < new_size
+UNION ALL SELECT file_id, coalesce(fe, 0), new_size - coalesce(fe, 0), 'HOLE', NULL, 0, 0 FROM z LEFT JOIN ends USING (file_id) WHERE new_size > coalesce(fe, 0)""",
     "clone_contract": cte("clone_requests") + """
-SELECT CASE WHEN alignment < 4096 OR bit_count(alignment) <> 1 THEN 'BAD_ALIGNMENT' WHEN length = 0 THEN 'EMPTY' WHEN length > maximum_length THEN 'TOO_LONG'
-  WHEN source_offset % alignment <> 0 OR target_offset % alignment <> 0 OR length % alignment <> 0 THEN 'UNALIGNED'
-  WHEN source_offset + length > source_size THEN 'SOURCE_RANGE' WHEN target_offset + length > target_size THEN 'TARGET_RANGE'
+SELECT CASE WHEN length = 0 OR alignment < 4096 OR bit_count(alignment) <> 1 OR maximum_length = 0 THEN 'INVALID_PARAMETER' WHEN length > maximum_length THEN 'CLONE_TOO_LARGE'
+  WHEN source_offset % alignment <> 0 OR target_offset % alignment <> 0 OR length % alignment <> 0 THEN 'MISALIGNED'
+  WHEN CAST(source_offset AS HUGEINT) + length > 9223372036854775807 OR CAST(target_offset AS HUGEINT) + length > 9223372036854775807 THEN 'INVALID_PARAMETER'
+  WHEN CAST(source_offset AS HUGEINT) + length > source_size THEN 'SOURCE_OUT_OF_BOUNDS' WHEN target_offset + length > target_size THEN 'TARGET_NOT_PRESIZED'
   WHEN same_file AND source_offset < target_offset + length AND target_offset < source_offset + length THEN 'OVERLAP' ELSE 'OK' END AS status,
   count(*) AS requests, min(request_id) AS first_request FROM clone_requests GROUP BY 1""",
     "manifest_choice": cte("manifests") + """

@@ -4,21 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunking
+from siltstone.operators import chunking, dedup
 
 
 def fixed_chunk_dedup(spark, sf_dir):
     """Chunks, exact hits and their bytes by language, over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
     chunks = chunking.with_chunk_id(chunking.fixed_chunks(chunking.objects(docs, "doc_id", "text", "lang"), 4096)).drop("bytes")
-    place = F.struct("object_id", "ordinal")
-    owners = chunks.groupBy("chunk_id", "length").agg(F.min(place).alias("owner"))
-    marked = chunks.join(owners, ["chunk_id", "length"]).withColumn("hit", place != F.col("owner"))
+    marked, hit = dedup.recipe(chunks), F.col("exact_hit")
     return marked.groupBy("lang").agg(
         F.count("*").alias("chunks"),
-        F.count_if("hit").alias("exact_hits"),
+        F.count_if(hit).alias("exact_hits"),
         F.sum(F.col("length").cast("bigint")).alias("logical_bytes"),
-        F.sum(F.when(F.col("hit"), F.col("length")).otherwise(0).cast("bigint")).alias("exact_hit_bytes"),
+        F.sum(F.when(hit, F.col("length")).otherwise(0).cast("bigint")).alias("exact_hit_bytes"),
     )
 
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import cdc
-from siltstone.operators import dedup, encoding, files, generations, intervals, maintenance, packing, reduction, replay, report, segments, similarity
+from siltstone.operators import dedup, encoding, files, generations, index, intervals, maintenance, packing, reduction, replay, report, segments, similarity
 from siltstone.plans import registry
 from siltstone.policy import PRESETS, Policy
 from siltstone.sources import store
@@ -373,6 +373,155 @@ def test_report_rules(spark):
     assert tuple(one.first()) == (True, False, False, True)
 
 
+def test_contents_after_set_length(spark):
+    """Bytes beyond a shorter length never come back, whatever is written later; committed bytes lie beneath."""
+    draw = random.Random(9)
+    writes, lengths, dense = [], [], {f: bytearray(b"base" * 10) for f in range(3)}
+    for seq in range(80):
+        f = draw.randrange(3)
+        if draw.random() < 0.3:
+            n = draw.randrange(120)
+            lengths.append((f, seq, n))
+            dense[f] = dense[f][:n] + bytearray(max(0, n - len(dense[f])))
+        else:
+            at, data = draw.randrange(100), bytes(draw.randrange(1, 256) for _ in range(draw.randrange(1, 30)))
+            writes.append((f, seq, at, data))
+            dense[f] += bytearray(max(0, at + len(data) - len(dense[f])))
+            dense[f][at : at + len(data)] = data
+    base = spark.createDataFrame([(f, 0, b"base" * 10) for f in range(3)], "file_id long, range_start long, bytes binary")
+    seen = {f: bytearray(200) for f in range(3)}
+    got = files.contents(spark.createDataFrame(writes, "file_id long, seq long, range_start long, bytes binary"), spark.createDataFrame(lengths, "file_id long, seq long, length long"), base)
+    for r in got.collect():
+        seen[r.file_id][r.range_start : r.range_end] = bytes(r.bytes)
+    assert {f: bytes(x[: len(dense[f])]) for f, x in seen.items()} == {f: bytes(x) for f, x in dense.items()}
+
+
+def test_name_operations(spark):
+    ops = [(1, "CREATE", 1, "a", 10, None, None, False), (2, "CREATE", 1, "a", 11, None, None, False), (3, "LOOKUP", 1, "b", None, None, None, False), (4, "RENAME", 1, "b", 9, 1, "c", False), (5, "CREATE", 1, "d", 12, None, None, False), (6, "RENAME", 1, "a", 10, 1, "d", True), (7, "RENAME", 1, "a", 10, 1, "d", False), (8, "UNLINK", 1, "a", 10, None, None, False), (9, "UNLINK", 1, "d", 10, None, None, False), (10, "OPEN", None, None, 10, None, None, False), (11, "OPEN", None, None, 12, None, None, False), (12, "RELEASE", None, None, 12, None, None, False)]
+    df = spark.createDataFrame(ops, "seq long, op string, parent long, name string, inode long, new_parent long, new_name string, no_replace boolean")
+    got = {r.seq: r.result for r in files.results(df.where("seq < 10")).collect()}
+    assert [got[i] for i in range(1, 10)] == ["OK", "EXISTS", "NO_ENTRY", "NO_ENTRY", "OK", "EXISTS", "OK", "NO_ENTRY", "OK"]
+    assert [r.inode for r in files.orphans(df).collect()] == [10]
+
+
+def test_rewrite_and_read_against_bytes(spark):
+    """Splices, truncations and reads of recipes give what they give on bytes."""
+    draw = random.Random(12)
+    payload = {f"c{i}": bytes(draw.randrange(256) for _ in range(40)) for i in range(6)}
+    extents, dense = [], {}
+    for f in range(6):
+        at, data = 0, b""
+        for k in range(8):
+            kind, n, c = draw.choice(["DATA", "SLICE", "HOLE", "FILL"]), draw.randrange(1, 30), draw.choice(sorted(payload))
+            skip = draw.randrange(0, 40 - n) if kind == "SLICE" else 0
+            n = 40 if kind == "DATA" else n
+            extents.append((f, k, at, n, kind, c if kind in ("DATA", "SLICE") else None, skip, 40, 7))
+            data += payload[c][skip : skip + n] if kind in ("DATA", "SLICE") else bytes([7 if kind == "FILL" else 0]) * n
+            at += n
+        dense[f] = data
+    ext = spark.createDataFrame(extents, "file_id long, ordinal long, logical_offset long, length long, kind string, chunk_id string, chunk_offset long, chunk_length long, fill_value int")
+    chunks = spark.createDataFrame(list(payload.items()), "chunk_id string, bytes binary")
+    whole = spark.createDataFrame([(f, 0, 1000) for f in dense], "file_id long, range_start long, range_end long")
+    fill = lambda e: e.withColumn("fill_value", F.lit(7))
+    read = lambda e, r=whole: {x.file_id: bytes(x.bytes) for x in intervals.read_bytes(e, r, chunks).collect()}
+    assert read(ext) == dense
+    cut = {f: draw.randrange(len(b) + 40) for f, b in dense.items()}
+    shorter = intervals.truncate(ext, spark.createDataFrame(list(cut.items()), "file_id long, new_size long"))
+    assert read(fill(shorter)) == {f: b[: cut[f]].ljust(cut[f], b"\0") for f, b in dense.items()}
+    edits = {f: sorted(draw.sample(range(len(b)), 2)) for f, b in dense.items()}
+    new = spark.createDataFrame([(f, 0, 5, "FILL", None, 0, 0) for f in dense], "file_id long, logical_offset long, length long, kind string, chunk_id string, chunk_offset long, chunk_length long")
+    spliced = intervals.rewrite(ext, spark.createDataFrame([(f, a, z) for f, (a, z) in edits.items()], "file_id long, range_start long, range_end long"), new, resize=True)
+    assert read(fill(spliced)) == {f: b[: edits[f][0]] + b"\7" * 5 + b[edits[f][1] :] for f, b in dense.items()}
+    same = intervals.rewrite(ext, spark.createDataFrame([(0, 3, 8), (1, 3, 9)], "file_id long, range_start long, range_end long"), new)
+    got = read(fill(same))
+    assert got[0] == dense[0][:3] + b"\7" * 5 + dense[0][8:] and got[1] == dense[1]
+    lost = intervals.read_bytes(ext, whole, chunks.where("chunk_id <> 'c1'"))
+    assert {r.file_id for r in lost.collect() if r.bytes is None} == {f for f, _, _, _, _, c, *_ in extents if c == "c1"}
+
+
+def test_cascade_is_step_by_step_compaction(spark):
+    rows = [(f"k{i % 9}", 100, f"c{i % 4}", 0, 0, i, level, family, "ACTIVE" if i % 3 else "REMOVED") for i, (level, family) in enumerate([(0, 1), (0, 2), (0, 3), (1, 4), (1, 5), (1, 6)] * 7)]
+    schema = "chunk_id string, logical_length long, container_id string, record_offset long, chunk_ordinal long, generation long, level long, family long, transition string"
+    entries, new = spark.createDataFrame(rows, schema), spark.createDataFrame([("k1", 100, "c9", 0, 0, 99, 0, 0, "ACTIVE")], schema)
+    got = sorted(map(tuple, index.publish(entries, new, 10).collect()))
+    now = entries.unionByName(new.withColumn("level", F.lit(0).cast("long")).withColumn("family", F.lit(10).cast("long")))
+    for generation in range(11, 20):
+        chosen = index.compaction_selection(index.families(now)).cache()
+        if chosen.isEmpty():
+            break
+        now = index.compact(now, chosen, generation).cache()
+    assert got == sorted(map(tuple, now.select(*entries.columns).collect())) and generation > 12
+    with pytest.raises(ValueError, match="COUNT"):
+        index.compact(entries, entries.select("level", "family").where("family = 1").distinct(), 50)
+    with pytest.raises(ValueError, match="TARGET"):
+        index.compact(entries, entries.select("level", "family").distinct(), 3)
+
+
+def test_lookup_is_never_complete_when_full(spark):
+    rows = [(k, 1, f"c{i:03}", 0, 0, i, 0, "ACTIVE") for k, n in (("a", 63), ("b", 64), ("c", 65)) for i in range(n)] + [("c", 1, "c001", 0, 0, 900, 0, "REMOVED")]
+    entries = spark.createDataFrame(rows, "chunk_id string, logical_length long, container_id string, record_offset long, chunk_ordinal long, generation long, level long, transition string")
+    got = {r.chunk_id: (r.n, r.c) for r in index.lookup(entries).groupBy("chunk_id").agg(F.count("*").alias("n"), F.bool_and("complete").alias("c")).collect()}
+    assert got == {"a": (63, True), "b": (64, False), "c": (64, False)}
+    assert {r.chunk_id: r.candidates for r in index.resolve(entries).collect()}["c"] == "c064:0:0,c063:0:0"
+
+
+def test_transition_rules(spark):
+    roots = spark.createDataFrame([(1, 0, 10, 2), (2, 5, 20, 8), (3, 9, 20, 8), (4, 8, 30, 9), (5, 9, 25, 9), (6, 9, 30, 8), (7, 9, 40, 35)], "generation long, mutation_sequence long, reservation_end long, allocation_cursor long")
+    inodes = spark.createDataFrame([(2, 3, 1), (2, 7, 4), (3, 3, 1), (3, 5, 2), (4, 3, 0), (5, 3, 0), (5, 8, 1), (6, 3, 0), (7, 3, 0), (7, 9, 1)], "generation long, inode long, mutation_sequence long")
+    got = sorted((r.generation, r.fault, r.inode or 0) for r in generations.transition_faults(roots, inodes).collect())
+    assert got == [(3, "REUSED_INODE", 5), (4, "INODE_BACK", 3), (4, "MUTATION_BACK", 0), (5, "RESERVATION_BACK", 0), (5, "REUSED_INODE", 8), (6, "ALLOCATION_BACK", 0), (7, "BEYOND_RESERVATION", 0)]
+    assert sorted(r.generation for r in generations.valid_prefix(roots, inodes).collect()) == [1, 2]
+    log = spark.createDataFrame([(1, 1, 1, None, "a", True, 1, 5, 2, False), (1, 2, 2, "a", "b", True, 1, 4, 2, False), (2, 1, 1, None, "a", True, 1, 5, 2, False), (2, 2, 2, "a", "b", True, 2, 5, 2, True)], "log_id long, position long, generation long, previous_hash string, record_hash string, checksum_ok boolean, mutation_cutoff long, reservation_end long, allocation_cursor long, torn boolean")
+    assert {r.log_id: (r.valid_records, r.tail) for r in generations.log_tail(log).collect()} == {1: (1, "BROKEN_CHAIN"), 2: (1, "TORN")}
+
+
+def test_slots_of_one_length_must_have_the_same_bytes(spark):
+    schema = "log_id long, first_generation long, last_generation long, records long, last_hash string, first_hash string, bytes_hash string, tail string"
+    a = spark.createDataFrame([(1, 1, 5, 5, "h", "f", "x", "CLEAN"), (2, 1, 5, 5, "h", "f", "x", "TORN"), (3, 1, 5, 5, "h", "f", "x", "CLEAN"), (4, None, None, 0, None, None, "", "TORN"), (5, None, None, 0, None, None, "", "CLEAN")], schema)
+    b = spark.createDataFrame([(1, 1, 5, 5, "h", "f", "x", "TORN"), (2, 1, 5, 5, "h", "f", "x", "CLEAN"), (3, 1, 5, 5, "h", "f", "y", "CLEAN"), (4, 1, 5, 5, "h", "f", "x", "CLEAN"), (5, 1, 5, 5, "h", "f", "x", "CLEAN")], schema)
+    assert {r.log_id: r.slot for r in generations.select_slot(a, b).collect()} == {1: "A", 2: "B", 3: "CONFLICT", 4: "BROKEN", 5: "B"}
+
+
+def test_fence_and_contract(spark):
+    events = [(1, 1, "accept", 1), (1, 2, "accept", 2), (1, 3, "complete", 2), (1, 4, "complete", 1), (1, 5, "complete", 2), (1, 6, "complete", 3), (2, 1, "complete", 1), (2, 2, "accept", 1)]
+    got = {r.handle: (r.accepted, r.applied, r.refused, r.close_ready) for r in report.handle_fence(spark.createDataFrame(events, "handle long, seq long, op string, sequence long")).collect()}
+    assert got == {1: (2, 2, 2, True), 2: (1, 0, 1, False)}
+    k = 4096
+    top = (1 << 63) - k
+    base = dict(source_size=8 * k, target_size=8 * k, source_offset=0, target_offset=0, length=k, alignment=k, maximum_length=16 * k, same_file=False)
+    cases = [({}, "OK"), ({"length": 0}, "INVALID_PARAMETER"), ({"alignment": 2048}, "INVALID_PARAMETER"), ({"alignment": 12288}, "INVALID_PARAMETER"), ({"maximum_length": 0}, "INVALID_PARAMETER"), ({"length": 17 * k}, "CLONE_TOO_LARGE"), ({"source_offset": 1}, "MISALIGNED"), ({"source_offset": top}, "INVALID_PARAMETER"), ({"target_offset": top}, "INVALID_PARAMETER"), ({"source_offset": 8 * k}, "SOURCE_OUT_OF_BOUNDS"), ({"target_offset": 8 * k}, "TARGET_NOT_PRESIZED"), ({"same_file": True}, "OVERLAP"), ({"same_file": True, "target_offset": k}, "OK")]
+    rows = [(i, *(base | change).values()) for i, (change, _) in enumerate(cases)]
+    got = intervals.clone_contract(spark.createDataFrame(rows, "i int, source_size long, target_size long, source_offset long, target_offset long, length long, alignment long, maximum_length long, same_file boolean")).collect()
+    assert [r.status for r in sorted(got, key=lambda r: r.i)] == [want for _, want in cases]
+
+
+def test_payload_cap_counts_each_raw_record(spark):
+    rows = spark.createDataFrame([([100000],), ([50000, 50000],), ([4096] * 10,), ([100],)], "lengths array<long>")
+    got = rows.select(report.payload_cap(report.raw_records("lengths"), F.size("lengths")).alias("cap")).collect()
+    want = []
+    for lengths in ([100000], [50000, 50000], [4096] * 10, [100]):
+        raw = sum(-(-(n + 192) // 64) * 64 for n in lengths)
+        room = max(0, raw - max(4096, -(-raw * 3 // 100)))
+        want.append(max(0, room - room % 64 - 128 - 64 * len(lengths)))
+    assert [r.cap for r in got] == want
+
+
+def test_collection_loses_nothing(spark):
+    chunks = [(f"c{i // 4}", i % 4, f"k{i}", 1000) for i in range(40)]
+    online = [(f"k{i}", 1000) for i in range(40) if i % 4 == 1 or i < 8]
+    schema = "container_id string, chunk_ordinal long, chunk_id string, logical_length long"
+    before, need = spark.createDataFrame(chunks, schema), spark.createDataFrame(online, "chunk_id string, logical_length long")
+    sizes = before.groupBy("container_id").agg(F.lit(50000).cast("long").alias("file_bytes"))
+    after = maintenance.collect_garbage(before, need, sizes, "d", 3)
+    rows = after.collect()
+    assert {r.container_id for r in rows if r.origin == "KEPT"} == {"c0", "c1"} and sorted(r.chunk_id for r in rows if r.origin == "NEW") == sorted(f"k{i}" for i in range(8, 40) if i % 4 == 1)
+    assert maintenance.collection_faults(before, after, need).isEmpty()
+    assert maintenance.collection_faults(before, after.where("origin = 'KEPT'"), need).count() == 8
+    order = spark.createDataFrame([("c1", i, f"k{i}", 400) for i in range(7)], schema)
+    got = {r.chunk_ordinal: (r.batch, r.place) for r in maintenance.replacement_batches(order, 1000, 5).collect()}
+    assert [got[i] for i in range(7)] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0)]
+
+
 def _plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
