@@ -83,7 +83,10 @@ def run(spark, sf_dir) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
+        before = list(Scratch.open)
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        for used in [x for x in Scratch.open if x not in before]:
+            used.close()  # the stage's own tables; its result is written
         if k:
             scratch.drop(STAGES[k - 1][0])
     return docs

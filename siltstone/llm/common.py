@@ -32,10 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def packed(docs: DataFrame, keep, *columns) -> DataFrame:
+    """The kept columns as one struct ``_keep`` beside columns under names of our own, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), *columns)
+
+
+def unpacked(rows: DataFrame, keep, *own: str) -> DataFrame:
+    """The kept columns again, and the operator's own; a kept column with the name of an own one gives way to it."""
+    return rows.select(*[F.col(f"_keep.`{c}`") for c in keep if c not in own], *own)
+
+
+def unused(keep, name: str) -> str:
+    """The name, with underscores before it until none of the kept columns has it."""
+    while name in keep:
+        name = f"_{name}"
+    return name
+
+
 class Scratch:
-    """Parquet tables in the shared folder. They cut lineage and survive the loss of executors; they go when the session's JVM ends, or on ``drop``."""
+    """Parquet tables in the shared folder. They cut lineage and survive the loss of executors; they go on ``drop`` or ``close``, or when the session's JVM ends."""
+
+    #: Those that are open, in the order of their making.
+    open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        Scratch.open.append(self)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
@@ -53,6 +74,11 @@ class Scratch:
             self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def close(self) -> None:
+        """Removes all tables; nothing that reads them may be used any more."""
+        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.root), True)
+        Scratch.open.remove(self)
+
     def drop(self, *names: str) -> None:
         for name in names:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)

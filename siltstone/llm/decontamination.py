@@ -18,7 +18,8 @@ a hot window is split by adaptive execution. Documents are read whole; only hits
 
 Defined cases: null or empty texts have no windows and are clean; an empty benchmark leaves all clean; items shorter than a window are one
 window of their own length; items of fewer than ``LITERAL`` words count where their exact whole text stands, with case and punctuation, between
-word boundaries; items without a word are left out; repeated rows repeat in the result.
+word boundaries; items without a word are left out; repeated rows repeat in the result; of runs of one length that with unchanged slots counts (ties); very long
+texts are read whole; ids of items that are not whole numbers are given as texts; a kept column with the name of one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from siltstone.llm.common import documents
+from siltstone.llm.common import documents, packed, unpacked, unused
 
 WINDOW = 8
 LITERAL = 5
@@ -273,11 +275,12 @@ class Benchmark:
         return (best, best_changed) if best >= min(SPAN, len(own)) else (0, False)
 
 
-_OWN = {"contaminated": pa.bool_(), "n_items": pa.int32(), "items": pa.list_(pa.int64()), "most_words": pa.int32(), "reparameterised": pa.bool_()}
-_OWN_SQL = "contaminated boolean, n_items int, items array<long>, most_words int, reparameterised boolean"
+_OWN = ("contaminated", "n_items", "items", "most_words", "reparameterised")
+#: Ids of items are whole numbers, or texts.
+_IDS = {"bigint": pa.int64(), "string": pa.string()}
 
 
-def _columns(found: list[list[tuple[int, int, bool]]]) -> list[pa.Array]:
+def _columns(found: list[list[tuple[int, int, bool]]], kind: str) -> list[pa.Array]:
     values = (
         [bool(f) for f in found],
         [len(f) for f in found],
@@ -285,7 +288,7 @@ def _columns(found: list[list[tuple[int, int, bool]]]) -> list[pa.Array]:
         [max((x[1] for x in f), default=0) for f in found],
         [any(x[2] for x in f) for f in found],
     )
-    return [pa.array(v, k) for v, k in zip(values, _OWN.values())]
+    return [pa.array(v, k) for v, k in zip(values, (pa.bool_(), pa.int32(), pa.list_(_IDS[kind]), pa.int32(), pa.bool_()))]
 
 
 def _slabs(texts: list[str | None]):
@@ -298,9 +301,10 @@ def _slabs(texts: list[str | None]):
     yield begin, len(texts)
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], *keep: str, text: str) -> DataFrame:
-    rows = docs.select(*keep, text)
-    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]), _OWN_SQL])
+def _scan(docs: DataFrame, items: list[tuple[int, str]], kind: str, *keep: str, text: str) -> DataFrame:
+    rows = docs.select(*keep, F.col(text).alias(unused(keep, "_text")))
+    own = f"contaminated boolean, n_items int, items array<{kind}>, most_words int, reparameterised boolean"
+    schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]), own])
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
@@ -311,7 +315,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], *keep: str, text: str)
             for lo, hi in _slabs(texts):
                 for i in index.candidates(texts[lo:hi], coder):
                     found[lo + i] = index.find(texts[lo + i])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_columns(found)], names=[*b.schema.names[:-1], *_OWN])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *_columns(found, kind)], names=[*b.schema.names[:-1], *_OWN])
 
     return rows.mapInArrow(run, schema)
 
@@ -341,7 +345,7 @@ def _windows(df: DataFrame, *ids: str, literal: tuple[int, ...] = ()) -> DataFra
     return df.mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, items: DataFrame, *keep: str, text: str) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, kind: str, *keep: str, text: str) -> DataFrame:
     """The same by a shuffle join on window hashes, for a benchmark of any size. A text's result depends on the text alone."""
     texts = docs.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"])
     items = items.withColumn("_ik", F.sha2("text", 256))
@@ -358,31 +362,34 @@ def _joined(docs: DataFrame, items: DataFrame, *keep: str, text: str) -> DataFra
                 for hit in Benchmark([(item, own)]).find(t):
                     keys.append(k)
                     hits.append(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.bool_())))], names=["_k", "item", "n", "changed"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([h[i] for h in hits], t) for i, t in enumerate((_IDS[kind], pa.int32(), pa.bool_())))], names=["_k", "item", "n", "changed"])
 
-    hits = both.mapInArrow(run, "_k string, item long, n int, changed boolean")
+    hits = both.mapInArrow(run, f"_k string, item {kind}, n int, changed boolean")
     hits = hits.groupBy("_k", "item").agg(F.max_by(F.struct("n", "changed"), F.struct("n", ~F.col("changed"))).alias("b")).select("_k", "item", "b.*")
     found = hits.groupBy("_k").agg(F.array_sort(F.collect_list("item")).alias("items"), F.max("n").alias("most_words"), F.bool_or("changed").alias("reparameterised"))
-    out = docs.select(*keep, F.sha2(F.col(text), 256).alias("_k")).join(found, "_k", "left").withColumn("n_items", F.coalesce(F.size("items"), F.lit(0)))
-    none = F.array().cast("array<bigint>")
-    return out.select(
-        *keep,
+    out = packed(docs, keep, F.sha2(F.col(text), 256).alias("_k")).join(found, "_k", "left")
+    none = F.array().cast(f"array<{kind}>")
+    out = out.select(
+        "_keep",
         F.col("items").isNotNull().alias("contaminated"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).alias("n_items"),
         F.coalesce("items", none).alias("items"),
         F.coalesce("most_words", F.lit(0)).alias("most_words"),
         F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     )
+    return unpacked(out, keep, *_OWN)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *keep: str, text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Rows (keep, contaminated, n_items, items, most_words, reparameterised), one for each row of ``docs``."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    keep = tuple(c for c in keep if c not in _OWN)
+    kind = "bigint" if isinstance(benchmark.schema["item_id"].dataType, IntegralType) else "string"
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast(kind).alias("item_id"), "text")
     words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\w+")))).first()[0] or 0
     if words > max_broadcast:
-        return _joined(docs, items, *keep, text=text)
+        return _joined(docs, items, kind, *keep, text=text)
     got = [(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()]  # bounded by the check above
-    return _scan(docs, got, *keep, text=text)
+    return _scan(docs, got, kind, *keep, text=text)
 
 
 def op10_decontamination(spark, sf_dir):

@@ -8,7 +8,8 @@ lists and the word table are bounded by the templates, which are parameters, not
 
 Base phrases are found exactly beside it and their labels always stay.
 
-Defined cases: a null or empty text has no words, no labels and score 0; texts are read whole; repeated rows repeat in the result.
+Defined cases: a null or empty text has no words, no labels and score 0; very long texts are read whole; repeated rows repeat in the result; labels are
+sets, so ties between places do not matter; an empty table gives no rows; a kept column with the name of one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents
+from siltstone.llm.common import documents, unused
 
 #: The base phrases with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -137,8 +138,9 @@ def scan_licenses(docs: DataFrame, *keep: str, text: str = "text", templates=tup
     """Rows (keep, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     frequency, n_docs = frequencies(docs, text, templates)
     phrases = dict(PHRASES if phrases is None else phrases)
-    rows = docs.select(*keep, text)
     own = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    names = [x.split()[0] for x in own.split(", ")]
+    rows = docs.select(*(c for c in keep if c not in names), F.col(text).alias(unused(keep, "_text")))
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]), own])
 
     def run(batches):

@@ -44,7 +44,7 @@ ROUNDS = 2
 START, PSEUDO, RATE = 0.2, 5.0, 0.5
 #: Precision of the inner weights' prior, and gradient steps.
 PRIOR, STEPS = 0.1, 12
-BATCH = 4096
+BATCH = 1 << 15
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
 #: Shards at least; more where words or pairs need them.
@@ -283,38 +283,28 @@ def features(block: Tokens, classes: np.ndarray, docs: np.ndarray | None = None,
 
 
 def _logits(w: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    out = w[f[0]]
+    """Weights start below START * log of all tokens and move by ROUNDS at most, so sums stay far from the range of exp; clipped to be sure."""
+    rows = f.astype(np.intp)
+    out = w.take(rows[0], axis=0)
     for k in range(1, FEATURES):
-        out += w[f[k]]
+        out += w.take(rows[k], axis=0)
     out += bias
-    out -= out.max(axis=1, keepdims=True)
-    return out
+    return np.clip(out, -80.0, 80.0, out=out)
 
 
 def add_gradient(total: np.ndarray, w: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
     """Adds the gradient of the log probability of the classes y."""
+    sums, ones = np.zeros((CLASSES, HASHES)), np.ones(CLASSES, np.float32)
     for at in range(0, len(y), BATCH):
         fb, yb = f[:, at : at + BATCH], y[at : at + BATCH]
         p = np.exp(_logits(w, bias, fb))
-        p /= p.sum(axis=1, keepdims=True)
+        p /= (p @ ones)[:, None]
         p[np.arange(len(yb)), yb] -= 1.0
-        flat = fb.ravel()
-        order = np.argsort(flat, kind="stable")  # short numbers are sorted by radix
-        rows = flat[order]
-        begin = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
-        total[rows[begin]] -= _row_sums(p[order % len(yb)], begin)
-
-
-def _row_sums(x: np.ndarray, begin: np.ndarray, layers: int = 8) -> np.ndarray:
-    """Sums of the runs of rows of x that begin at ``begin``: short runs a layer at a time, the few long ones alone."""
-    size = np.diff(np.append(begin, len(x)))
-    out = x[begin]
-    for d in range(1, layers):
-        at = np.flatnonzero(size > d)
-        out[at] += x[begin[at] + d]
-    for i in np.flatnonzero(size > layers):
-        out[i] += x[begin[i] + layers : begin[i] + size[i]].sum(axis=0)
-    return out
+        of_class = np.ascontiguousarray(p.T, dtype=np.float64)
+        for rows in fb.astype(np.intp):
+            for k in range(CLASSES):
+                sums[k] += np.bincount(rows, of_class[k], HASHES)
+    total -= sums.T
 
 
 def _rows(kinds: dict, *rows: tuple) -> pa.RecordBatch:
@@ -655,7 +645,7 @@ def score(docs: DataFrame, scratch: Scratch, ident: str, text: str = "text", rou
         lp[inside] += gain[of_token[inside]]
         for at, f, y in features(block, e.classes, step=1 << 13):
             logits = _logits(weights.value, e.bias, f)
-            lp[at] += logits[np.arange(len(y)), y] - np.log(np.exp(logits).sum(axis=1, dtype=np.float64))
+            lp[at] += logits[np.arange(len(y)), y] - np.log(np.exp(logits) @ np.ones(CLASSES, np.float32))
         total = lambda x: np.bincount(block.doc, x, len(block.lengths))
         columns = [
             left.column("ids").combine_chunks().flatten(), pa.array(block.held), pa.array(block.lengths), pa.array(total(c[block.codes] > 0).astype(np.int64)),

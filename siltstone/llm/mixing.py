@@ -9,7 +9,8 @@ Blocks come from a hash of the document and draws from a hash of the block, so r
 log(rows) / log(block size) levels; each level is one shuffle of the rows that still hold a fraction.
 
 Defined cases: a null text has size 0 and gives no words; a null source is a source of its own, the last; repeated rows are documents of
-their own; an empty table gives no rows; where all sizes are 0 every target is 0.
+their own, and which of them is taken is a tie that changes no result; very long texts only count their words; an empty table gives no rows; where all sizes
+are 0 every target is 0; a kept column with the name of one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents
+from siltstone.llm.common import Scratch, documents, packed, unpacked
 
 #: Weights of the sources in turn.
 WEIGHTS = (5, 2, 1)
@@ -81,6 +82,17 @@ def pivot(size: np.ndarray, p: np.ndarray, seed: int) -> np.ndarray:
     return p
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Adds key: the row's name with a number, gapless from 0, among equal rows. They are numbered file by file (``_file``), so that no task holds all copies of one row."""
+    before = Window.partitionBy("_h").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_h", "_file").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    counts = counts.withColumnsRenamed({"_h": "_ch", "_file": "_cf"})
+    place = F.row_number().over(Window.partitionBy("_h", "_file").orderBy("size")) - 1
+    numbered = rows.withColumn("_place", place).join(counts, (F.col("_h") == F.col("_ch")) & (F.col("_file") == F.col("_cf")))
+    key = F.unhex(F.md5(F.concat(F.hex("_h"), F.lit(":"), (F.col("_start") + F.col("_place")).cast("string")).cast("binary")))
+    return numbered.withColumn("key", key).drop("_file", "_place", "_start", "_ch", "_cf")
+
+
 def settle(rows: DataFrame, last: bool) -> DataFrame:
     """One level of the tree: rows (block, key, size, p) with new p. Blocks are read one after the other in sorted partitions."""
     cols = ["block", "key", "size", "p"]
@@ -90,7 +102,7 @@ def settle(rows: DataFrame, last: bool) -> DataFrame:
 
         def close():
             block, parts = held["block"], held["rows"]
-            key = np.concatenate([x[0] for x in parts])
+            key = pa.concat_arrays([x[0] for x in parts])
             size = np.concatenate([x[1] for x in parts])
             p = np.concatenate([x[2] for x in parts])
             seed = xxhash.xxh64_intdigest(f"{block}")
@@ -98,11 +110,12 @@ def settle(rows: DataFrame, last: bool) -> DataFrame:
             if last:
                 for i in np.flatnonzero((p > 0.0) & (p < 1.0)):
                     p[i] = float(np.random.default_rng(seed + 1).random() < p[i])
-            return pa.RecordBatch.from_arrays([pa.array([block] * len(key), pa.string()), pa.array(key), pa.array(size), pa.array(p)], names=cols)
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(key), pa.string()), key, pa.array(size), pa.array(p)], names=cols)
 
         for batch in batches:
             block = batch.column(0).to_numpy(zero_copy_only=False)
-            key, size, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            key = batch.column(1)
+            size, p = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1), len(block)]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -116,21 +129,21 @@ def settle(rows: DataFrame, last: bool) -> DataFrame:
             yield close()
 
     dealt = rows.select(*cols).repartition("block").sortWithinPartitions("block", "size", "key")
-    return dealt.mapInArrow(run, "block string, key long, size long, p double")
+    return dealt.mapInArrow(run, "block string, key binary, size long, p double")
 
 
 def mix(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", source: str = "source", share: float = 1.0, weights=WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """Rows (keep, size, source_size, target, copies), one for each row of ``docs``; ``keep`` holds the id first."""
-    base = docs.select(*keep, F.col(source).alias("_source"), word_count(text).alias("size"), F.xxhash64(F.col(keep[0]), F.col(text)).alias("_h"))
-    base = scratch.write(base, "base")
+    # 128 bits name a row's id and text; numbers tell equal ones apart.
+    same = F.unhex(F.md5(F.to_json(F.struct(F.col(f"`{keep[0]}`").cast("string").alias("i"), F.md5(F.col(text).cast("binary")).alias("t"))).cast("binary")))
+    base = packed(docs, keep, F.col(source).alias("_source"), word_count(text).alias("size"), same.alias("_h"))
+    base = scratch.write(base, "base").withColumn("_file", F.input_file_name())
     sizes = scratch.write(base.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")), "sizes")
     plan = scratch.write(targets(sizes, share, weights, most).withColumnRenamed("source", "_s"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = base.join(plan, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumn("rate", rate)
     rows = rows.withColumn("sure", F.floor("rate").cast("long")).withColumn("p", F.col("rate") - F.col("sure"))
-    # Equal rows differ by a number within their hash; each hash has few rows, copies of one id and text.
-    rows = rows.withColumn("key", F.xxhash64("_h", F.row_number().over(Window.partitionBy("_h").orderBy("size")).cast("long")))
-    rows = scratch.write(rows, "rows")
+    rows = scratch.write(_keyed(rows), "rows")
     tag = F.coalesce(F.concat(F.lit("s"), F.col("_source")), F.lit("n"))
     todo = rows.where("p > 0 AND p < 1 AND size > 0").select(tag.alias("tag"), "key", "size", "p", F.ceil(F.col("source_rows") / block).alias("blocks"))
     todo = scratch.write(todo, "todo-0")
@@ -151,7 +164,9 @@ def mix(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", sourc
         settled = settled.unionByName(x)
     settled = settled.select("key", F.col("p").alias("extra"))
     out = rows.join(settled, "key", "left")
-    return out.select(*keep, "size", "source_size", "target", (F.col("sure") + F.coalesce(F.col("extra"), F.lit(0.0))).cast("long").alias("copies"))
+    scratch.drop("base")
+    out = out.withColumn("copies", (F.col("sure") + F.coalesce(F.col("extra"), F.lit(0.0))).cast("long"))
+    return unpacked(out, keep, "size", "source_size", "target", "copies")
 
 
 def op7_mixing(spark, sf_dir):

@@ -2,14 +2,16 @@
 
 Texts become sets of word n-grams. Equal sets form a class; from there on one representative of each class works. A representative's MinHash
 signature is cut into bands; band and row counts are chosen for a target recall at the threshold (``bands_for``). Band hashes are shuffled,
-and representatives that share a band hash are connected through the bucket, never as pairs, into candidate components. Within a
-component all candidate pairs (those that share a band) are verified on full n-gram sets, in square tiles of bounded size, so that a
-component of thousands of near copies is spread over tasks and every link between different texts is found. A tile returns link counts
+and representatives that share a band hash are connected through the bucket, never as pairs, into candidate components. A component is dealt into
+blocks, and two blocks meet in a square tile of bounded size, to which only members go that share a bucket with a member of the other block; there
+all candidate pairs (those that share a band) are verified on full n-gram sets. So a component of thousands of near copies is spread over tasks, a long chain
+of texts that each resemble the next costs rows in proportion to its length, and every link between different texts is found. A tile returns link counts
 and a spanning forest of its links, not the links themselves. Components of verified links are the result's classes.
 
 Defined cases: words are runs of letters and digits in lower case; a text of 1 to n - 1 words has one n-gram, all its words; a text
-without words, or null, is a class of its own by its text's hash and links only to equal texts; repeated rows count as copies; an
-empty table gives no rows. Null ids are allowed; a class is named by its smallest id.
+without words, or null, is a class of its own by its text's hash and links only to equal texts; repeated rows count as copies; very long texts are
+read whole; a similarity of exactly the threshold links (ties); an empty table gives no rows. Null ids are allowed; a class is named by its smallest
+id; a kept column with the name of one of the operator's own gives way to it. An n-gram set is named by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, components, documents
+from siltstone.llm.common import Scratch, components, documents, packed, unpacked
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -38,13 +40,15 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
-    """(bands, rows): the most selective banding, with the most rows, that reaches the recall within the hashes allowed."""
-    best = (most, 1)
+    """(bands, rows): the most selective banding, with the most rows, that reaches the recall within the hashes allowed; an error if none does."""
+    best = None
     for rows in range(1, most + 1):
         share = threshold**rows
         bands = math.ceil(math.log(1 - recall) / math.log1p(-share)) if 0 < share < 1 else 1 if share else most + 1
         if bands * rows <= most:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes do not reach a recall of {recall} at a similarity of {threshold}")
     return best
 
 
@@ -111,10 +115,10 @@ def _with_grams(texts: DataFrame, n: int) -> DataFrame:
             sets = [ngrams(t, n).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
 
-    return texts.select("node", "t").mapInArrow(run, "node long, grams binary")
+    return texts.select("node", "t").mapInArrow(run, "node binary, grams binary")
 
 
-def _roots(parent: dict[int, int], x: int) -> int:
+def _roots(parent: dict, x):
     while parent[x] != x:
         parent[x] = parent[parent[x]]
         x = parent[x]
@@ -153,15 +157,15 @@ def verify_tile(left, right, same: bool, threshold: float):
 
 
 def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
-    """tiles: sorted rows (tile, same, side, node, keys, grams, weight) -> (kind, a, b): link counts (0, node, n) and edges (1, a, b)."""
+    """tiles: sorted rows (tile, same, side, node, keys, grams, weight) -> (a, b, n): link counts (node, null, n) and edges (a, b, null)."""
 
     def close(same, rows):
         left = [r for s, r in rows if s == 0]
         right = left if same else [r for s, r in rows if s == 1]
         links, edges = verify_tile(left, right, same, threshold)
-        out = [*((0, node, n) for node, n in links.items()), *((1, a, b) for a, b in edges)]
-        kinds, xs, ys = zip(*out) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["kind", "a", "b"])
+        out = [*((node, None, n) for node, n in links.items()), *((a, b, None) for a, b in edges)]
+        xs, ys, counts = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary()), pa.array(counts, pa.int64())], names=["a", "b", "n"])
 
     def run(batches):
         now, same, rows = None, False, []
@@ -175,7 +179,7 @@ def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
         if rows:
             yield close(same, rows)
 
-    return tiles.mapInArrow(run, "kind int, a long, b long")
+    return tiles.mapInArrow(run, "a binary, b binary, n long")
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE) -> DataFrame:
@@ -185,45 +189,58 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     their number; n_links: number of other documents with a Jaccard similarity of ``threshold`` or more.
     """
     bands, rows = bands_for(threshold, recall)
-    ident = keep[0]
     key = F.unhex(F.md5(F.col(text).cast("binary")))
-    rows_of = scratch.write(_prepare(docs.select(*keep, key.alias("_k"), text), n, bands, rows), "prepared")
-    slim = rows_of.select(*keep, "_k", "c")
+    rows_of = packed(docs, keep, F.col(f"`{keep[0]}`").alias("id"), key.alias("k"), F.col(text).alias("t"))
+    rows_of = scratch.write(_prepare(rows_of, n, bands, rows), "prepared")
     # Ids and numbers of copies by set; equal texts have equal sets. Hot sets are combined before the shuffle.
-    sets = rows_of.groupBy("c").agg(F.min(ident).alias("copy_id"), F.count("*").alias("n_copies"), F.min("_k").alias("k"))
-    sets = scratch.write(sets.withColumn("node", F.xxhash64("c")), "sets")
-    distinct = rows_of.where("size(keys) > 0").select("c", "_k", "keys").dropDuplicates(["c"])
-    banded = scratch.write(distinct.join(sets.select("c", "node"), "c").select("node", "keys"), "banded")
+    sets = rows_of.groupBy(F.col("c").alias("node")).agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.min("k").alias("k"))
+    sets = scratch.write(sets, "sets")
+    banded = scratch.write(rows_of.where("size(keys) > 0").select(F.col("c").alias("node"), "keys").dropDuplicates(["node"]), "banded")
     entries = banded.select("node", F.posexplode("keys").alias("band", "h"))
     buckets = scratch.write(entries.groupBy("band", "h").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"), "buckets")
     star = entries.join(buckets, ["band", "h"]).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = components(star, scratch, "candidates")
-    groups = scratch.write(groups, "groups")
+    groups = scratch.write(components(star, scratch, "candidates"), "groups")
     # Places within a component: hashed blocks of about ``tile`` members.
     counts = groups.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / tile).cast("int")).drop("m")
     block = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
-    members = groups.join(counts, "root").select("node", "root", "blocks", block.alias("block"))
+    members = scratch.write(groups.join(counts, "root").select("node", "root", "blocks", block.alias("block")), "members")
+    scratch.drop("groups")
     # Only representatives with a candidate get their n-grams, from one text each.
     wanted = members.select("node").join(sets.select("node", "k", F.col("n_copies").alias("weight")), "node")
     texts = docs.select(key.alias("k"), F.col(text).alias("t")).join(wanted.select("k", "node"), "k").dropDuplicates(["k", "node"])
-    members = members.join(banded, "node").join(_with_grams(texts, n), "node").join(wanted.select("node", "weight"), "node")
+    with_grams = members.join(banded, "node").join(_with_grams(texts, n), "node").join(wanted.select("node", "weight"), "node").join(_reach(members, entries, buckets), "node")
     # Block i meets blocks i..: side 0 in its own row of tiles, side 1 in the tiles of smaller blocks.
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"))))
-    dealt = members.withColumn("at", pairs).select(
-        F.concat_ws(":", "root", "at.x", "at.y").alias("tile"),
+    pairs = F.explode(F.transform("reach", lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"))))
+    dealt = with_grams.withColumn("at", pairs).select(
+        F.concat_ws(":", F.hex("root"), "at.x", "at.y").alias("tile"),
         (F.col("at.x") == F.col("at.y")).alias("same"),
         (F.col("block") != F.col("at.x")).cast("int").alias("side"),
         "node", "keys", "grams", "weight",
     )
     tiles = dealt.repartition("tile").sortWithinPartitions("tile")
     found = scratch.write(_verify(tiles, threshold), "found")
-    links = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
-    roots = components(found.where("kind = 1").select("a", "b"), scratch, "links")
-    named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
+    scratch.drop("banded", "buckets", "members")
+    links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    roots = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "links")
+    named = sets.drop("k").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
     named = scratch.write(named, "named")
+    scratch.drop("sets", "found")
     class_ids = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(class_ids, "root").select("c", "class_id", "copy_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
-    return slim.join(named, "c").select(*keep, "class_id", "copy_id", "n_copies", "n_links")
+    named = named.join(class_ids, "root").select(F.col("node").alias("c"), "class_id", "copy_id", "n_copies", (F.coalesce("links", F.lit(0)) + F.col("n_copies") - 1).alias("n_links"))
+    return unpacked(rows_of.select("_keep", "c").join(named, "c"), keep, "class_id", "copy_id", "n_copies", "n_links")
+
+
+def _reach(members: DataFrame, entries: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, reach): the blocks of its component in which a member shares a bucket; of components of one block that block."""
+    several = members.where("blocks > 1").select("node", "block")
+    placed = entries.join(several, "node").join(buckets.select("band", "h"), ["band", "h"])
+    # A bucket's blocks, and those with two members or more, which a member's own block must be.
+    blocks = placed.groupBy("band", "h", "block").agg(F.count("*").alias("m"))
+    blocks = blocks.groupBy("band", "h").agg(F.collect_list(F.struct("block", "m")).alias("there"))  # a component's blocks at most
+    others = F.transform(F.filter("there", lambda x: (x.block != F.col("block")) | (x.m > 1)), lambda x: x.block)
+    seen = placed.join(blocks, ["band", "h"]).select("node", others.alias("others"))
+    seen = seen.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("reach"))  # an array for each band
+    return members.where("blocks = 1").select("node", F.array(F.lit(0)).alias("reach")).unionByName(seen)
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):

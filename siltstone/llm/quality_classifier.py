@@ -10,7 +10,8 @@ texts, are joined with the rates. A broadcast holds the two weight vectors only
 
 Defined cases: a null or empty text has no evidence and gets its site's rate; null hosts and paths are sites of their own; labels of no
 document are ignored, several labels of one document count by their largest value; without labels of both kinds a model gives no evidence; an
-empty table gives no rows; repeated rows repeat in the result.
+empty table gives no rows; repeated rows repeat in the result; ids of any type match labels by their text; a posterior on the border counts as good and
+as toxic (ties); very long texts are read whole; a kept column with the name of one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents
+from siltstone.llm.common import Scratch, documents, packed, unpacked
 
 #: Documents of the labelled sample at most: those of the smallest hashes.
 MAX_LABELLED = 20000
@@ -100,8 +101,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, min_do
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_labelled: int = MAX_LABELLED):
     """The two models (quality, toxic) from at most ``max_labelled`` labelled documents."""
-    truth = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
-    here = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    truth = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
+    here = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text).alias("text"))  # ids of any type
     # Hash order makes the sample the same for any partitioning; the ids are chosen before any text moves.
     chosen = truth.join(here.select("doc_id").distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     sample = here.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))  # max_labelled rows
@@ -111,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_labell
             found = [features(t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "quality", "toxic", "x"])
 
-    got = sample.mapInArrow(run, "doc_id long, quality int, toxic int, x binary").toArrow()
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    got = sample.mapInArrow(run, "doc_id string, quality int, toxic int, x binary").toArrow()
+    order = np.argsort(np.array(got.column("doc_id").to_pylist(), dtype=str), kind="stable")
     rows = [np.frombuffer(got.column("x")[int(i)].as_py(), np.int32) for i in order]
     models = []
     for name in ("quality", "toxic"):
@@ -166,7 +167,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, *keep: str, t
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     models = train(docs, labels, keep[0], text)
-    scored = evidence(docs.select(*keep, host.alias("_host"), path.alias("_path"), F.col(text).alias("_text")), models, *keep, "_host", "_path", text="_text")
+    scored = evidence(packed(docs, keep, host.alias("_host"), path.alias("_path"), F.col(text).alias("_text")), models, "_keep", "_host", "_path", text="_text")
     prior = {"quality": models[0][2], "toxic": models[1][2]}
     for kind, p in prior.items():
         scored = scored.withColumn(f"p_{kind}", _sigmoid(F.col(f"e_{kind}") + _logit(F.lit(p))))
@@ -186,8 +187,9 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, *keep: str, t
     rates = scratch.write(rates, "rates")
     joined = scored.join(rates, F.col("_host").eqNullSafe(F.col("_rh")) & F.col("_path").eqNullSafe(F.col("_rp")))
     post = {k: _sigmoid(F.col(f"e_{k}") + _logit(F.col(f"r_{k}"))) for k in prior}
-    out = joined.select(*keep, *[p.alias(f"p_{k}") for k, p in post.items()])
-    return out.withColumn("kept", (F.col("p_quality") >= BAD) & (F.col("p_toxic") < TOXIC))
+    out = joined.select("_keep", *[p.alias(f"p_{k}") for k, p in post.items()])
+    out = out.withColumn("kept", (F.col("p_quality") >= BAD) & (F.col("p_toxic") < TOXIC))
+    return unpacked(out, keep, "p_quality", "p_toxic", "kept")
 
 
 def op8_quality_classifier(spark, sf_dir):

@@ -8,7 +8,9 @@ power of two, so a quantile is at most 1/16 too low. Sketches merge by adding co
 sources' sketches, and Spark's partial aggregation builds them before the shuffle: a hot source costs a few hundred rows a task.
 
 Defined cases: a null text has no words and fails the base rules; null language or source form a group of their own; groups with few
-documents take the thresholds of their language, languages with few take those of all documents; an empty table gives no rows.
+documents take the thresholds of their language, languages with few take those of all documents; a measure on a fence is inside (ties); repeated rows
+count and repeat; a very long text is measured whole, its words in one row; an empty table gives no rows; a kept column with the name of one of the operator's
+own gives way to it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from siltstone.llm.common import WHITE, Scratch, documents
+from siltstone.llm.common import WHITE, Scratch, documents, packed, unpacked
 
 SYMBOLS = "#*$%&|<>"
 #: Documents that a group needs for thresholds of its own.
@@ -122,7 +124,7 @@ def thresholds(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def apply_rules(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Rows (keep, counts, base_failed, kept): a document is kept if it passes the base rules and lies within its group's fences."""
-    narrow = measured(docs.select(*keep, F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text")
+    narrow = measured(packed(docs, keep, F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))).drop("text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     narrow = narrow.withColumn("base_failed", base).withColumns({f"m_{k}": c for k, c in measure_columns().items()})
     narrow = scratch.write(narrow, "measures")
@@ -132,7 +134,8 @@ def apply_rules(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text
     inside = F.lit(True)
     for k in MEASURES:
         inside = inside & F.col(f"m_{k}").between(F.col(f"low_{k}"), F.col(f"high_{k}"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("t_lang", "t_source", *[f"{s}_{k}" for k in MEASURES for s in ("low", "high")])
+    joined = joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    return unpacked(joined, keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", *[f"m_{k}" for k in MEASURES], "kept")
 
 
 def op5_quality_rules(spark, sf_dir):

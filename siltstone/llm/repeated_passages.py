@@ -23,7 +23,7 @@ fingerprint is a polynomial hash modulo 2^64 with random letters and multiplier;
 
 Defined cases: a null or empty text has 0 bytes and stays as it is (the checksum of no bytes); texts shorter than ``LENGTH`` lose nothing;
 very long texts are parsed whole, in slabs; repeated rows are occurrences of their own, so two equal rows of LENGTH bytes or more are removed
-in both; ties between triggers go to the last; an empty table gives no rows; other columns are not touched, whatever their names.
+in both; ties between triggers go to the last; an empty table gives no rows; a kept column with the name of one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents, join_counted
+from siltstone.llm.common import Scratch, documents, join_counted, packed, unpacked
 
 LENGTH = 200
 ROLL = 16
@@ -305,8 +305,9 @@ def _cut_out(rows: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (keep, n_bytes, n_removed, n_spans, kept), one for each row of ``docs``; kept is null where nothing is removed."""
     found = repeated_texts(docs, scratch, text, length).withColumnRenamed("k", "_k")
-    rows = docs.select(*keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_k"))
-    return rows.join(found, "_k", "left").select(*keep, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept")
+    rows = packed(docs, keep, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("_k"))
+    rows = rows.join(found, "_k", "left").select("_keep", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), "kept")
+    return unpacked(rows, keep, "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op6_repeated_passages(spark, sf_dir):

@@ -13,7 +13,8 @@ group. Ranks come from counts of hashed buckets (``common.ranked``). Only loads
 over an eighth of a shard, 16 k at most, reach the driver.
 
 Defined cases: a null text has no bytes (size 8, checksum 0) and no links; repeated rows are linked and each gets a slot; null ids are
-allowed; an empty table gives no rows.
+allowed; of equal rows any may come first (ties); texts of any length cost a checksum; an empty table gives no rows; a kept column with the name of
+one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents, ranked
+from siltstone.llm.common import Scratch, documents, packed, ranked, unpacked
 
 SHARDS = 24
 #: Classes of priority in which a shard accepts proposals.
@@ -93,12 +94,15 @@ def propagate(cells: DataFrame, room: list[int], scratch: Scratch) -> DataFrame:
 def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", shards: int = SHARDS) -> DataFrame:
     """Rows (keep, size, text_crc32, shard, slot), one for each row of ``docs``; ``keep`` holds the id first."""
     t = F.col(text)
-    base = docs.select(
-        *keep,
+    ident = F.col(f"`{keep[0]}`")
+    base = packed(
+        docs,
+        keep,
+        ident.alias("id"),
         (F.coalesce(F.octet_length(t), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(t, F.lit("")).cast("binary")).alias("text_crc32"),
         F.unhex(F.md5(t.cast("binary"))).alias("g"),
-        F.xxhash64(F.col(keep[0])).alias("h"),
+        F.xxhash64(ident).alias("h"),
     )
     base = scratch.write(base, "base")
     rows = base.count()
@@ -116,18 +120,18 @@ def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", sha
     known = F.broadcast(spark.createDataFrame([(g,) for g, _ in few], "g binary"))
     cells = base.join(known, "g", "left_anti").join(linked.where(~large), "g").groupBy("g", F.col("shard0").alias("shard")).agg(F.count("*").alias("n"))
     settled = propagate(scratch.write(cells, "cells"), room, scratch)
-    columns = [*keep, "size", "text_crc32", "g", "shard0"]
+    columns = ["_keep", "id", "size", "text_crc32", "g", "shard0"]
     cuts = F.broadcast(spark.createDataFrame(cut, "g binary, begin long, end long, target int"))  # 17 rows for each shard at most
     heads = F.broadcast(spark.createDataFrame([(g,) for g in {c[0] for c in cut}], "g binary"))
     at_home = base.join(known, "g", "left_anti").join(settled, "g", "left").select(*columns, "target")
     at_home = at_home.unionByName(base.join(F.broadcast(spark.createDataFrame(whole, "g binary, target int")), "g").select(*columns, "target"))
-    order = [keep[0], "size", "text_crc32"]
+    order = ["id", "size", "text_crc32"]
     parts = ranked(base.join(heads, "g", "left_semi").select(*columns), "g", None, order, rows, "r", bucket_rows=max(1, min(20000, rows // shards // 64)))
     parts = parts.join(cuts.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("r") >= F.col("begin")) & (F.col("r") < F.col("end"))).select(*columns, "target")
     placed = at_home.unionByName(parts) if cut else at_home
-    placed = placed.withColumn("at", F.coalesce("target", "shard0")).withColumn("is_linked", F.col("target").isNotNull()).select(*keep, "size", "text_crc32", "g", "at", "is_linked")
-    placed = scratch.write(ranked(scratch.write(placed, "placed"), "at", "is_linked", [keep[0], "size", "text_crc32", "g"], rows // shards, "r"), "ranked")
-    scratch.drop("placed")
+    placed = placed.withColumn("at", F.coalesce("target", "shard0")).withColumn("is_linked", F.col("target").isNotNull()).select("_keep", "id", "size", "text_crc32", "g", "at", "is_linked")
+    placed = scratch.write(ranked(scratch.write(placed, "placed"), "at", "is_linked", ["id", "size", "text_crc32", "g"], rows // shards, "r"), "ranked")
+    scratch.drop("placed", "base", "linked")
     have = {r["at"]: r.n for r in placed.groupBy("at").agg(F.count("*").alias("n")).collect()}  # one row for each shard
     have = [have.get(s, 0) for s in range(shards)]
     # Rows beyond a shard's share get a common rank and fill the other shards' gaps in turn.
@@ -143,7 +147,8 @@ def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", sha
     placed = placed.withColumn("common", F.when(~stays, common))
     placed = placed.withColumn("to", F.when(stays, at).otherwise(F.size(F.filter(numbers(gaps[1:]), lambda x: x <= F.col("common")))))
     slot = F.when(stays, rank).otherwise(F.col("common") - pick(gaps[:-1], F.col("to")) + pick(have, F.col("to")))
-    return placed.select(*keep, "size", "text_crc32", F.col("to").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    placed = placed.select("_keep", "size", "text_crc32", F.col("to").cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return unpacked(placed, keep, "size", "text_crc32", "shard", "slot")
 
 
 def op3_sharding(spark, sf_dir):

@@ -8,7 +8,8 @@ chunk in a table of bounded size. A chunk that may hold a special token is encod
 White space cannot be inside a pre-token, no normalisation step looks across it, and special tokens hold none; so the sum over chunks is
 the count of the whole text. Narrow: no shuffle, each Arrow batch is counted where it is read.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; very long texts are counted whole; repeated rows repeat in the result.
+Defined cases: a null or empty text has 0 bytes and 0 tokens; very long texts are counted whole; repeated rows repeat in the result; there are no ties; an
+empty table gives no rows; a kept column with the name of one of the operator's own gives way to it.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import json
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from siltstone.llm.common import documents
+from siltstone.llm.common import documents, unused
 
 LIMIT = 2048
 #: Entries kept in a worker's table of chunks before it starts anew.
@@ -101,7 +103,8 @@ class Counter:
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, *keep: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """Rows (keep, n_bytes, n_tokens, over_limit), one for each row of ``docs``."""
-    rows = docs.select(*keep, text)
+    keep = [c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit")]
+    rows = docs.select(*keep, F.col(text).alias(unused(keep, "_text")))
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields[:-1]), "n_bytes long", "n_tokens long", "over_limit boolean"])
 
     def run(batches):

@@ -438,7 +438,26 @@ def test_near_duplicates(spark, sf_docs):
     assert {k: got[k].class_id for k in sets} == roots
 
 
+def test_chains_cost_rows_in_proportion(spark):
+    """A chain of texts, each like the next only: few rows are dealt to tiles, and all links are found."""
+    words, texts = [f"w{i}" for i in range(3000)], []
+    texts = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sizes = []
+    verify = near_duplicates._verify
+    near_duplicates._verify = lambda tiles, threshold: (sizes.append(tiles.count()), verify(tiles, threshold))[1]
+    try:
+        rows = near_duplicates.near_duplicates(docs, Scratch(spark, "t"), "doc_id", tile=8).collect()
+    finally:
+        near_duplicates._verify = verify
+    links, roots = jaccard_links({k: set(near_duplicates.ngrams(t).tolist()) for k, t in texts}, 0.8)
+    assert {r.doc_id: r.n_links for r in rows} == {k: links[k] for k, _ in texts} and {r.doc_id: r.class_id for r in rows} == roots
+    assert sizes[0] < 12 * len(texts)  # all blocks with all others would be 75 rows a text
+
+
 def test_banding_reaches_recall():
+    with pytest.raises(ValueError, match="recall"):
+        near_duplicates.bands_for(0.05, 0.9999)
     for t, r in ((0.8, 0.9999), (0.5, 0.95), (0.9, 0.999)):
         bands, rows = near_duplicates.bands_for(t, r)
         assert 1 - (1 - t**rows) ** bands >= r and bands * rows <= near_duplicates.MAX_HASHES
