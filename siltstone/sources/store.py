@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.generations import decode_log
@@ -56,13 +56,40 @@ class Store:
         row = self.log().where("valid").orderBy(F.col("generation").desc()).select("generation", "path", "record_hash").first()
         return (row.generation, row.path, row.record_hash) if row else None
 
+    def _file(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def claim(self, generation: int) -> None:
+        """Takes the right to write a generation; an error where another publisher has it. A claim that a dead process left goes by ``release``."""
+        fs, target = self._file(f"{self.root}/claims/{generation:012d}")
+        fs.mkdirs(target.getParent())
+        if not fs.createNewFile(target):
+            raise RuntimeError(f"another publisher writes generation {generation}")
+
+    def release(self, generation: int) -> None:
+        fs, target = self._file(f"{self.root}/claims/{generation:012d}")
+        fs.delete(target, False)
+
     def publish(self, table: DataFrame, cutoff: int = 0, fail_before_log: bool = False) -> int:
-        """Writes a table and makes it the current generation. ``fail_before_log`` stops where a crash would hurt most."""
+        """Writes a table and makes it the current generation. ``fail_before_log`` stops where a crash would hurt most.
+
+        The input is evaluated once: its rows are counted as they are written, and the files must hold as many.
+        """
         last = self.current()
         generation, before = (last[0] + 1, last[2]) if last else (1, None)
-        path = f"{self.root}/data/{generation:012d}-{uuid.uuid4().hex}"
-        table.write.parquet(path)
-        if self.spark.read.parquet(path).count() != table.count():
+        self.claim(generation)
+        try:
+            if self.current() != last:
+                raise RuntimeError(f"another publisher has written generation {generation}")
+            return self._publish(table, generation, before, cutoff, fail_before_log)
+        finally:
+            self.release(generation)
+
+    def _publish(self, table: DataFrame, generation: int, before: str | None, cutoff: int, fail_before_log: bool) -> int:
+        path, written = f"{self.root}/data/{generation:012d}-{uuid.uuid4().hex}", Observation()
+        table.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        if self.spark.read.parquet(path).count() != written.get["rows"]:
             raise OSError(f"{path} does not hold what was written")
         if fail_before_log:
             raise RuntimeError("stopped before the log record")

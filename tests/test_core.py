@@ -337,6 +337,16 @@ def test_store(spark, tmp_path):
     assert len(got) == 2 and all(r.verified for r in got)
 
 
+def test_store_has_one_publisher(spark, tmp_path):
+    held = store.Store(spark, f"file://{tmp_path}/one")
+    held.publish(spark.range(3))
+    held.claim(2)
+    with pytest.raises(RuntimeError, match="another publisher"):
+        held.publish(spark.range(4))
+    held.release(2)
+    assert held.publish(spark.range(5)) == 2 and held.read().count() == 5
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"0123456789")
     got = store.read_range(store.objects_from_files(spark, str(tmp_path)), 2, 4).collect()
