@@ -94,7 +94,7 @@ def replacement_batches(copies: DataFrame, target: int = TARGET_BYTES, chunks: i
 
     rows = copies.select(*names)
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields), "batch long, place long"])
-    return rows.coalesce(1).sortWithinPartitions("container_id", "chunk_ordinal").mapInArrow(run, schema)
+    return rows.coalesce(1).sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 def collect_garbage(container_chunks: DataFrame, online: DataFrame, files: DataFrame, domain: str, generation: int) -> DataFrame:

@@ -331,7 +331,7 @@ SELECT level, family, count(*) AS entries, max(generation) AS newest, count(*) F
 p AS (SELECT family, chunk_id, i, CAST(0 AS BIGINT) AS part, n AS total, n FROM k WHERE i = 1
   UNION ALL SELECT k.family, k.chunk_id, k.i, CASE WHEN total >= 500 THEN part + 1 ELSE part END, CASE WHEN total >= 500 THEN k.n ELSE total + k.n END, k.n FROM p JOIN k ON k.family = p.family AND k.i = p.i + 1)
 SELECT family, part AS partition, CAST(sum(n) AS BIGINT) AS entries, min(chunk_id) AS low, max(chunk_id) AS high FROM p GROUP BY family, part""",
-    "replacement_batches": cte("container_chunks", "required").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_LIVE}, q AS ({_FIRST}), y AS (SELECT f.c AS container_id, logical_length AS n, row_number() OVER (ORDER BY f) AS i FROM q),
+    "replacement_batches": cte("container_chunks", "required").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_LIVE}, q AS ({_FIRST}), y AS (SELECT f.c AS container_id, logical_length AS n, row_number() OVER (ORDER BY f, chunk_id, logical_length) AS i FROM q),
 p AS (SELECT i, container_id, n, CAST(0 AS BIGINT) AS batch, n AS total, 1 AS k FROM y WHERE i = 1
   UNION ALL SELECT y.i, y.container_id, y.n, CASE WHEN total + y.n > 1048576 OR k >= 100 THEN batch + 1 ELSE batch END, CASE WHEN total + y.n > 1048576 OR k >= 100 THEN y.n ELSE total + y.n END, CASE WHEN total + y.n > 1048576 OR k >= 100 THEN 1 ELSE k + 1 END FROM p JOIN y ON y.i = p.i + 1)
 SELECT batch, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS bytes, min(container_id) AS first FROM p GROUP BY batch""",
