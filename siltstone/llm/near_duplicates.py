@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, components, documents, packed, unpacked
+from siltstone.llm.common import Scratch, components, documents, join_counted, packed, unpacked
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -203,12 +203,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     # Places within a component: hashed blocks of about ``tile`` members.
     counts = groups.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / tile).cast("int")).drop("m")
     block = F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")
-    members = scratch.write(groups.join(counts, "root").select("node", "root", "blocks", block.alias("block")), "members")
-    scratch.drop("groups")
-    # Only representatives with a candidate get their n-grams, from one text each.
-    wanted = members.select("node").join(sets.select("node", "k", F.col("n_copies").alias("weight")), "node")
-    texts = docs.select(key.alias("k"), F.col(text).alias("t")).join(wanted.select("k", "node"), "k").dropDuplicates(["k", "node"])
-    with_grams = members.join(banded, "node").join(_with_grams(texts, n), "node").join(wanted.select("node", "weight"), "node").join(_reach(members, entries, buckets), "node")
+    members = groups.join(counts, "root").select("node", "root", "blocks", block.alias("block"))
+    members = members.join(banded, "node").join(sets.select("node", "k", F.col("n_copies").alias("weight")), "node")
+    members = scratch.write(members, "members")
+    scratch.drop("groups", "banded")
+    # Only representatives with a candidate get their n-grams, from one text each; copies of a hot one are combined where they are.
+    texts = join_counted(docs.select(key.alias("k"), F.col(text).alias("t")), members.select("k", "node", "weight"), ["k"], "weight").dropDuplicates(["k", "node"])
+    with_grams = members.join(_with_grams(texts, n), "node").join(_reach(members, buckets), "node")
     # Block i meets blocks i..: side 0 in its own row of tiles, side 1 in the tiles of smaller blocks.
     pairs = F.explode(F.transform("reach", lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"))))
     dealt = with_grams.withColumn("at", pairs).select(
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     )
     tiles = dealt.repartition("tile").sortWithinPartitions("tile")
     found = scratch.write(_verify(tiles, threshold), "found")
-    scratch.drop("banded", "buckets", "members")
+    scratch.drop("buckets", "members")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "links")
     named = sets.drop("k").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
@@ -230,10 +231,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     return unpacked(rows_of.select("_keep", "c").join(named, "c"), keep, "class_id", "copy_id", "n_copies", "n_links")
 
 
-def _reach(members: DataFrame, entries: DataFrame, buckets: DataFrame) -> DataFrame:
+def _reach(members: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, reach): the blocks of its component in which a member shares a bucket; of components of one block that block."""
-    several = members.where("blocks > 1").select("node", "block")
-    placed = entries.join(several, "node").join(buckets.select("band", "h"), ["band", "h"])
+    several = members.where("blocks > 1").select("node", "block", F.posexplode("keys").alias("band", "h"))
+    placed = several.join(buckets.select("band", "h"), ["band", "h"])
     # A bucket's blocks, and those with two members or more, which a member's own block must be.
     blocks = placed.groupBy("band", "h", "block").agg(F.count("*").alias("m"))
     blocks = blocks.groupBy("band", "h").agg(F.collect_list(F.struct("block", "m")).alias("there"))  # a component's blocks at most

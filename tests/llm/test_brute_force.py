@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -455,6 +456,38 @@ def test_chains_cost_rows_in_proportion(spark):
     assert sizes[0] < 12 * len(texts)  # all blocks with all others would be 75 rows a text
 
 
+def made(spark, since: int, node: str, metric: str) -> int:
+    """The sum of a metric over the nodes of plans, run since an execution, whose description matches."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    time.sleep(1)  # its listener runs behind
+    total, runs = 0, store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(since, runs.size())):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for x in (nodes.apply(i) for i in range(nodes.size())):
+            found = [m for m in (x.metrics().apply(i) for i in range(x.metrics().size())) if m.name() == metric]
+            if found and re.search(node, re.sub(r"#\d+L?", "", x.desc())) and (value := values.get(found[0].accumulatorId())).isDefined():
+                total += int(re.sub(r"\D.*", "", value.get().replace(",", ""), flags=re.S))
+    return total
+
+
+def test_large_groups_cost_rows_in_proportion(spark):
+    """Joins on names of sets make a few rows for each different text of a component of many blocks, not one for each band; copies of a hot text are combined where they are."""
+    words = [f"w{i}" for i in range(200)]
+    different = [(i, " ".join(w if j != i else "changed" for j, w in enumerate(words))) for i in range(150)]
+    docs = spark.createDataFrame(different + [(1000 + i, different[7][1]) for i in range(1500)], "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    begun = spark._jsparkSession.sharedState().statusStore().executionsList().size()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = near_duplicates.near_duplicates(docs, Scratch(spark, "t"), "doc_id", tile=8).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {(r.class_id, r.n_links) for r in rows} == {(0, 1649)} and {r.n_copies for r in rows if r.copy_id == 7} == {1501} and len(rows) == 1650
+    assert 0 < made(spark, begun, r"^\w+Join \[node\], \[node\]", "number of output rows") < 10 * len(different)
+    assert made(spark, begun, r"^Exchange hashpartitioning\(k,", "shuffle records written") < 1500  # fewer than the copies
+
+
 def test_banding_reaches_recall():
     with pytest.raises(ValueError, match="recall"):
         near_duplicates.bands_for(0.05, 0.9999)
