@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,8 @@ START, PSEUDO, RATE = 0.2, 5.0, 0.5
 #: Precision of the inner weights' prior, and gradient steps.
 PRIOR, STEPS = 0.1, 12
 BATCH = 1 << 15
+#: Pairs that are fitted together; a group is not cut.
+SLAB = 1 << 14
 #: Bytes of text of a block.
 BLOCK_BYTES = 8 << 20
 #: Shards at least; more where words or pairs need them.
@@ -81,41 +85,48 @@ def _unpack(raw: bytes, kind, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True) if n else b"", kind)
 
 
-class Numbers(dict):
-    """Word -> its number, in the order of appearance."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 class Block:
-    """Collects texts as numbers of the block's own words; word 0 is the end."""
+    """Collects texts; as a row they are numbers of the block's own words, in the order of appearance; word 0 is the end."""
 
     def __init__(self):
-        self.number = Numbers({b"": 0})
-        self.ids, self.held, self.part, self.lengths, self.codes, self.bytes = [], [], [], [], [], 0
-
-    def add(self, doc_id, text: str | None) -> None:
-        raw = text.encode().lower() if text else b""
-        words = raw.split()
-        words.append(b"")
-        codes = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
-        self.ids.append(doc_id)
-        self.held.append(held_out(doc_id))
-        self.part.append(part_of(doc_id))
-        self.lengths.append(len(codes))
-        self.codes.append(codes)
-        self.bytes += len(raw)
+        self.ids, self.held, self.part, self.texts, self.bytes = [], [], [], [], 0
+
+    def add(self, ids: list, texts: pa.Array, n_bytes: int) -> None:
+        self.ids += ids
+        self.held += map(held_out, ids)
+        self.part += map(part_of, ids)
+        self.texts.append(texts)
+        self.bytes += n_bytes
 
     def row(self) -> dict:
-        words = b"\n".join(list(self.number)[1:])
+        texts = pc.ascii_lower(pc.fill_null(pa.concat_arrays(self.texts), ""))
+        split = pc.ascii_split_whitespace(texts)  # with empty words at the borders of a text
+        numbered = pa.concat_arrays([pa.array([""], texts.type), split.flatten()]).dictionary_encode()
+        found = numbered.indices.to_numpy()[1:]
+        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        lengths = np.bincount(doc[found > 0], minlength=len(texts)) + 1
+        codes, inside = np.zeros(lengths.sum(), np.int32), np.ones(lengths.sum(), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        codes[inside] = found[found > 0]
+        of_block = pa.LargeListArray.from_arrays(pa.array([1, len(numbered.dictionary)], pa.int64()), numbered.dictionary)
+        words = pc.binary_join(of_block, pa.scalar("\n", texts.type))[0].as_buffer()
         return {
-            "ids": self.ids, "held": self.held, "part": self.part, "lengths": self.lengths, "codes": _pack(np.concatenate(self.codes)),
-            "words": pa.compress(words, "zstd", asbytes=True), "n_bytes": len(words), "n_words": len(self.number),
+            "ids": self.ids, "held": self.held, "part": self.part, "lengths": lengths.tolist(), "codes": _pack(codes),
+            "words": pa.compress(words, "zstd", asbytes=True), "n_bytes": words.size, "n_words": len(numbered.dictionary),
         }
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, which of them each key is); cheaper than np.unique, whose sort is stable."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.diff(keys, prepend=keys[:1]) != 0
+    new[:1] = True
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return keys[new], order[new], which
+
+
 _BLOCK = {
     "held": pa.list_(pa.bool_()), "part": pa.list_(pa.int32()), "lengths": pa.list_(pa.int64()), "codes": pa.binary(), "words": pa.binary(), "n_bytes": pa.int64(), "n_words": pa.int64(),
 }
@@ -138,8 +149,13 @@ def tokenised(docs: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_B
 
         for batch in batches:
             id_type = batch.schema.types[0]
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                block.add(doc_id, t.as_py())
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_string())
+            total = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()))
+            at = 0
+            while at < len(ids):  # up to the text that fills the block
+                to = min(len(ids), max(at + 1, int(np.searchsorted(total, total[at] + block_bytes - block.bytes))))
+                block.add(ids[at:to], texts.slice(at, to - at), int(total[to] - total[at]))
+                at = to
                 if block.bytes >= block_bytes:
                     yield close()
                     n, block = n + 1, Block()
@@ -150,21 +166,42 @@ def tokenised(docs: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_B
 
 
 class Tokens:
-    """A block's arrays: codes, documents and places of its tokens; names and endings of its words."""
+    """A block's arrays: codes, documents and places of its tokens; names and endings of its words. What a step does not ask for is not made."""
 
     def __init__(self, row: dict):
         self.lengths = np.array(row["lengths"], np.int64)
         self.codes = _unpack(row["codes"], np.int32, int(self.lengths.sum()))
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.place = np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.held, self.part = np.array(row["held"], bool), np.array(row["part"], np.int32)
-        self.trains = ~self.held[self.doc]
         raw = pa.decompress(row["words"], row["n_bytes"], "zstd", asbytes=True) if row["n_bytes"] else b""
         self.words = [b"", *(raw.split(b"\n") if raw else [])]
-        self.names = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        self.hashes = (self.names >> np.uint64(32)).astype(np.uint32)
-        self.endings = endings(self.words)
-        self.counts = np.bincount(self.codes[self.trains], minlength=len(self.words)).astype(np.int64)
+
+    @cached_property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.lengths)), self.lengths)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        return np.arange(len(self.codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    @cached_property
+    def trains(self) -> np.ndarray:
+        return ~self.held[self.doc]
+
+    @cached_property
+    def names(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return (self.names >> np.uint64(32)).astype(np.uint32)
+
+    @cached_property
+    def endings(self) -> np.ndarray:
+        return endings(self.words)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.codes[self.trains], minlength=len(self.words)).astype(np.int64)
 
     def pairs(self):
         """(before, code, which pair each token is, -1 for ends, training count) of the block's distinct pairs of neighbours; a text's first word comes after word 0."""
@@ -172,7 +209,7 @@ class Tokens:
         before[1:] = self.codes[:-1]
         before[self.place == 0] = 0
         inside = np.flatnonzero(self.codes)
-        keys, which = np.unique(before[inside] * len(self.words) + self.codes[inside], return_inverse=True)
+        keys, _, which = distinct(before[inside] * len(self.words) + self.codes[inside])
         of_token = np.full(len(self.codes), -1, np.int64)
         of_token[inside] = which
         n = np.bincount(which[self.trains[inside]], minlength=len(keys)).astype(np.int32)
@@ -359,7 +396,7 @@ def _shard(names: np.ndarray, shards: int) -> np.ndarray:
 
 def _dealt(shard: np.ndarray):
     """(order by shard, [(shard, part of that order)])"""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")  # 16 bits are sorted by counting
     cuts = np.append(np.flatnonzero(np.diff(shard[order], prepend=-1)), len(order))
     return order, [(int(shard[order[a]]), slice(a, b)) for a, b in zip(cuts, cuts[1:])]
 
@@ -385,7 +422,7 @@ def _word_counts(blocks: DataFrame, shards: int) -> DataFrame:
         col = lambda k, kind: [np.frombuffer(x, kind) for x in table.column(k).to_pylist()]
         names, counts, ends = col("names", np.uint64), col("counts", np.int32), col("endings", np.uint16)
         shard = table.column("shard")[0].as_py()
-        _, first, which = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+        _, first, which = distinct(np.concatenate(names))
         total = np.bincount(which, np.concatenate(counts)).astype(np.int64)
         of = np.concatenate(ends)[first]
         known = total > 0
@@ -470,22 +507,39 @@ def fit_pairs(group: np.ndarray, n: np.ndarray, q: np.ndarray, prior: float = PR
     Gradient steps on all groups at once, from weights that give each pair its share alone. A group's curvature, a diagonal less a product, is
     undone in sums over the group.
     """
-    if not len(group):
-        return np.zeros(0)
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(group))))
-    sums = lambda x: np.add.reduceat(x, starts)[number]
-    of_group, seen = sums(n).astype(float), n > 0
-    weight = np.log(np.where(seen, n, 1) / (of_group + 1) / q) * seen
-    others = np.maximum(0.0, 1 - sums(q * seen))  # words never seen in the group
-    log_z = lambda: np.log(others + sums(q * seen * np.exp(weight)))
+    out, starts = np.zeros(len(group)), np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.append(starts, len(group)))
+    cuts = np.append(np.unique(starts[np.searchsorted(starts, np.arange(0, len(group), SLAB), "right") - 1]), len(group)) if len(group) else starts
+    for a, b in zip(cuts, cuts[1:]):  # whole groups, whose tables stay in the cache
+        here = slice(*np.searchsorted(starts, (a, b)))
+        out[a:b] = _fit_slab(np.repeat(np.arange(here.stop - here.start), sizes[here]), n[a:b], q[a:b], prior, steps)
+    return out
+
+
+def _fit_slab(of: np.ndarray, n: np.ndarray, q: np.ndarray, prior: float, steps: int) -> np.ndarray:
+    """``fit_pairs`` of groups numbered from 0. A pair that training has not seen has no weight, and a group without any has Z = 1."""
+    log_z, seen = np.zeros(of[-1] + 1), np.flatnonzero(n > 0)
+    if not len(seen):
+        return log_z[of]
+    groups, n, q = of[seen], n[seen].astype(float), q[seen]
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    number = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(groups))))
+    sums = lambda x: np.add.reduceat(x, starts)
+    of_group, others = sums(n)[number], np.maximum(0.0, 1 - sums(q))  # words never seen in the group
+    weight = np.log(n / (of_group + 1) / q)
     for _ in range(steps):
-        p = q * np.exp(weight - log_z()) * seen
+        p = q * np.exp(weight)
+        p /= (others + sums(p))[number]
         mass = of_group * p
-        alone = (n - mass - prior * weight) / (mass + prior)
-        step = alone + mass / (mass + prior) * sums(p * alone) / (1 - sums(p * mass / (mass + prior)))
-        weight = (weight + np.clip(step, -4.0, 4.0)) * seen
-    return weight - log_z()
+        curve = mass + prior
+        alone = (n - mass - prior * weight) / curve
+        share = mass / curve
+        step = alone + share * (sums(p * alone) / (1 - sums(p * share)))[number]
+        weight += np.clip(step, -4.0, 4.0, out=step)
+    log_z[groups[starts]] = np.log(others + sums(q * np.exp(weight)))
+    out = -log_z[of]
+    out[seen] += weight
+    return out
 
 
 _PAIR = {"shard": pa.int32(), "block": pa.string(), "groups": pa.binary(), "words": pa.binary(), "q": pa.binary(), "counts": pa.binary()}
@@ -512,7 +566,7 @@ def _pair_weights(blocks: DataFrame, shards: int, ends, letters, prior: float) -
         col = lambda k, kind: [np.frombuffer(x, kind) for x in table.column(k).to_pylist()]
         groups, words = col("groups", np.uint32), np.concatenate(col("words", np.uint32))
         keys = np.concatenate(groups).astype(np.uint64) << np.uint64(32) | words
-        keys, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        keys, first, which = distinct(keys)
         counts = [_unpack(x, np.int32, len(g)) for x, g in zip(table.column("counts").to_pylist(), groups)]
         n = np.bincount(which, np.concatenate(counts))
         q = np.exp(np.concatenate(col("q", np.int16))[first] / 512)

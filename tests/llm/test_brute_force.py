@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -188,6 +189,40 @@ def test_inner_model_sums_to_one():
     assert p[0] == pytest.approx(n[0] / n[group == group[0]].sum(), rel=0.01)
 
 
+def test_pairs_are_fitted_in_slabs():
+    """The tables of the fit stay small whatever the number of pairs, and a pair's weight is that of its group alone."""
+    rng = np.random.default_rng(1)
+    group = np.sort(np.append(rng.integers(0, 90000, 300000), np.full(30000, 500)))
+    n, q = rng.integers(0, 3, len(group)), rng.random(len(group)) / 1e6
+    tracemalloc.start()
+    gain = lm_scoring.fit_pairs(group, n, q)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * gain.nbytes  # 11.7 times with all pairs at once
+    for g in (group[0], 500, 501, *rng.choice(group, 50), group[-1]):
+        at = group == g
+        assert gain[at] == pytest.approx(lm_scoring.fit_pairs(group[at], n[at], q[at]), abs=1e-12)
+    assert lm_scoring.fit_pairs(group[:0], n[:0], q[:0]).tolist() == []
+
+
+def test_blocks_number_words(spark):
+    """Blocks hold the words that a byte-wise split gives, whatever a block's size."""
+    texts = [None, "", " \t\n\v\f\r", "a A\x0bb\x1cc É\x85é\xa0x \u2003y", " lead", "trail\r\n", "x" * 5000, "", "İ ſ K b a", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    plain = {k: [*(t or "").encode().lower().split(), b""] for k, t in enumerate(texts)}
+    for size, blocks in ((1, 7), (40, 3), (1 << 20, 1)):
+        rows, got = lm_scoring.tokenised(docs, "doc_id", "text", size).collect(), {}
+        for r in rows:
+            block = lm_scoring.Tokens(r.asDict())
+            words = [block.words[c] for c in block.codes]
+            cuts = np.cumsum(block.lengths)
+            got |= {k: words[b - m : b] for k, b, m in zip(r.ids, cuts, block.lengths)}
+            assert len(set(block.words)) == len(block.words) == r.n_words
+            assert list(dict.fromkeys(block.codes[block.codes > 0].tolist())) == list(range(1, r.n_words))
+        assert got == plain and [k for r in rows for k in r.ids] == list(plain)
+        assert len(rows) == blocks
+
+
 def test_endings_and_spelling_sum_to_one():
     words = [b"", b"a", b"ab", b"abc", b"xyzab"]
     assert lm_scoring.endings(words).tolist() == [0xFFFF, 97, 97 * 256 + 98, 98 * 256 + 99, 97 * 256 + 98]
