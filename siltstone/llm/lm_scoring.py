@@ -101,9 +101,11 @@ class Block:
     def row(self) -> dict:
         texts = pc.ascii_lower(pc.fill_null(pa.concat_arrays(self.texts), ""))
         split = pc.ascii_split_whitespace(texts)  # with empty words at the borders of a text
-        numbered = pa.concat_arrays([pa.array([""], texts.type), split.flatten()]).dictionary_encode()
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), pc.list_value_length(split).to_numpy())
+        split = pa.concat_arrays([pa.array([""], texts.type), split.flatten()])
+        numbered = split.dictionary_encode()
+        del split
         found = numbered.indices.to_numpy()[1:]
-        doc = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
         lengths = np.bincount(doc[found > 0], minlength=len(texts)) + 1
         codes, inside = np.zeros(lengths.sum(), np.int32), np.ones(lengths.sum(), bool)
         inside[np.cumsum(lengths) - 1] = False
@@ -120,11 +122,13 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys in order, a place of each, which of them each key is); cheaper than np.unique, whose sort is stable."""
     order = np.argsort(keys)
     keys = keys[order]
-    new = np.diff(keys, prepend=keys[:1]) != 0
-    new[:1] = True
-    which = np.empty(len(keys), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return keys[new], order[new], which
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys, first = keys[new], order[new]
+    number, which = np.cumsum(new), np.empty(len(new), np.int64)
+    number -= 1
+    which[order] = number
+    return keys, first, which
 
 
 _BLOCK = {
@@ -161,6 +165,7 @@ def tokenised(docs: DataFrame, ident: str, text: str, block_bytes: int = BLOCK_B
                     n, block = n + 1, Block()
         if block.ids:
             yield close()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return docs.select(ident, text).mapInArrow(run, f"block string, ids array<{kind}>, {_BLOCK_SQL}")
 
