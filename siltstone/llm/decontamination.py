@@ -238,9 +238,12 @@ class Benchmark:
                         if key[1] == kind:
                             runs[key, k, i - j] = runs.get((key, k, i - j), False) or strong
         best: dict[int, tuple[int, bool]] = {}
+        stands: dict[str | None, bool] = {None: True}  # of each short item, looked for once and not on each diagonal
         for (key, k, shift), strong in runs.items():
             *item, need, short = self.items[key][k]
-            if short is not None and not _stands(short, text):
+            if short not in stands:
+                stands[short] = _stands(short, text)
+            if not stands[short]:
                 continue
             n, changed = self.run(words, kinds[key[1]][0], item, shift, 0 if strong else need)
             if n:

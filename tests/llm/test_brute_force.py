@@ -523,6 +523,17 @@ def test_large_groups_cost_rows_in_proportion(spark):
     assert made(spark, begun, r"^Exchange hashpartitioning\(k,", "shuffle records written") < 1500  # fewer than the copies
 
 
+def test_short_items_are_looked_for_once(monkeypatch):
+    """A short item whose words' forms stand at thousands of places of a text costs one search of the text."""
+    asked, stands = [], decontamination._stands
+    monkeypatch.setattr(decontamination, "_stands", lambda item, text: asked.append(item) or stands(item, text))
+    text = " ".join(f"word{i % 977} of{i % 13}" for i in range(2000))
+    index = decontamination.Benchmark([(1, "of"), (2, "of1")])
+    found = index.find(text)
+    assert [item for item, *_ in found] == [2] and len(asked) == len(set(asked)) <= 2
+    assert [item for item, *_ in index.find(text + " of")] == [1, 2]
+
+
 def test_banding_reaches_recall():
     with pytest.raises(ValueError, match="recall"):
         near_duplicates.bands_for(0.05, 0.9999)
