@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from siltstone.llm.common import documents, packed, unpacked, unused
+from siltstone.llm.common import documents, packed, slices, unpacked, unused
 
 WINDOW = 8
 LITERAL = 5
@@ -312,7 +312,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], kind: str, *keep: str,
 
     def run(batches):
         index, coder = Benchmark(shared.value), Coder()
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(b.num_columns - 1).to_pylist()
             found: list = [[] for _ in texts]
             for lo, hi in _slabs(texts):
@@ -329,7 +329,7 @@ def _windows(df: DataFrame, *ids: str, literal: tuple[int, ...] = ()) -> DataFra
     schema = ", ".join(["h long", "literal int", *(f"`{x.name}` {x.dataType.simpleString()}" for x in df.select(*ids).schema.fields)])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             hs, kinds, at = [], [], []
             for i, t in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 words, *forms = templates(t)
@@ -359,7 +359,7 @@ def _joined(docs: DataFrame, items: DataFrame, kind: str, *keep: str, text: str)
     both = pairs.join(items, ["item_id", "_ik"]).join(texts, "_k").select("_k", "item_id", "text", "_t")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keys, hits = [], []
             for k, item, own, t in zip(*(c.to_pylist() for c in b.columns)):
                 for hit in Benchmark([(item, own)]).find(t):

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, components, documents, join_counted, packed, unpacked
+from siltstone.llm.common import BATCH_ROWS, Scratch, components, documents, join_counted, packed, slices, unpacked
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -96,7 +96,7 @@ def _prepare(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1]), "c binary, keys array<long>"])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             names, keys = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 grams = ngrams(t, n)
@@ -111,7 +111,7 @@ def _with_grams(texts: DataFrame, n: int) -> DataFrame:
     """(node, grams) of rows (node, t)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [ngrams(t, n).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
 
@@ -169,7 +169,7 @@ def _verify(tiles: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         now, same, rows = None, False, []
-        for batch in batches:
+        for batch in slices(batches):
             for tile, eq, side, node, keys, grams, weight in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and tile != now:
                     yield close(same, rows)
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
     bands, rows = bands_for(threshold, recall)
     key = F.unhex(F.md5(F.col(text).cast("binary")))
     rows_of = packed(docs, keep, F.col(f"`{keep[0]}`").alias("id"), key.alias("k"), F.col(text).alias("t"))
-    rows_of = scratch.write(_prepare(rows_of, n, bands, rows), "prepared")
+    rows_of = scratch.write(_prepare(rows_of, n, bands, rows), "prepared", BATCH_ROWS)
     # Ids and numbers of copies by set; equal texts have equal sets. Hot sets are combined before the shuffle.
     sets = rows_of.groupBy(F.col("c").alias("node")).agg(F.min("id").alias("copy_id"), F.count("*").alias("n_copies"), F.min("k").alias("k"))
     sets = scratch.write(sets, "sets")
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "
         "node", "keys", "grams", "weight",
     )
     tiles = dealt.repartition("tile").sortWithinPartitions("tile")
-    found = scratch.write(_verify(tiles, threshold), "found")
+    found = scratch.write(_verify(tiles, threshold), "found", BATCH_ROWS)
     scratch.drop("buckets", "members")
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"), scratch, "links")

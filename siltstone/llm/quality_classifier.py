@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Scratch, documents, packed, unpacked
+from siltstone.llm.common import BATCH_ROWS, Scratch, documents, packed, slices, unpacked
 
 #: Documents of the labelled sample at most: those of the smallest hashes.
 MAX_LABELLED = 20000
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text: str, max_labell
     sample = here.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "toxic").agg(F.min("text").alias("text"))  # max_labelled rows
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [features(t) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "quality", "toxic", "x"])
 
@@ -131,7 +131,7 @@ def evidence(docs: DataFrame, models, *keep: str, text: str = "text") -> DataFra
 
     def run(batches):
         (wq, bq), (wt, bt) = shared.value
-        for b in batches:
+        for b in slices(batches):
             q, t = [], []
             for x in b.column(b.num_columns - 1).to_pylist():
                 f = features(x)
@@ -171,7 +171,7 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, *keep: str, t
     prior = {"quality": models[0][2], "toxic": models[1][2]}
     for kind, p in prior.items():
         scored = scored.withColumn(f"p_{kind}", _sigmoid(F.col(f"e_{kind}") + _logit(F.lit(p))))
-    scored = scratch.write(scored, "scored")
+    scored = scratch.write(scored, "scored", BATCH_ROWS)
     sums = [F.count("*").alias("n"), *[F.sum(f"p_{k}").alias(f"s_{k}") for k in prior]]
     paths = scratch.write(scored.groupBy("_host", "_path").agg(*sums), "paths")
     hosts = scratch.write(paths.groupBy("_host").agg(F.sum("n").alias("n"), *[F.sum(f"s_{k}").alias(f"s_{k}") for k in prior]), "hosts")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ from siltstone.llm.common import Scratch, documents, packed, ranked, unpacked
 SHARDS = 24
 #: Classes of priority in which a shard accepts proposals.
 BINS = 1024
+_TYPES = {"g": pa.binary(), "begin": pa.int64(), "end": pa.int64(), "target": pa.int32()}
 
 
 def place(sizes: list[int], room: list[int]) -> list[list[tuple[int, int]]]:
@@ -53,6 +55,12 @@ def _starts(pieces: list[tuple[int, int]]) -> list[int]:
     return [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
 
 
+def _few(spark, rows: list[tuple], *names: str) -> DataFrame:
+    """A table of few rows. Made from Arrow, it starts no Python workers."""
+    columns = zip(*rows) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, _TYPES[n]) for n, c in zip(names, columns)], names=[*names]))
+
+
 def propagate(cells: DataFrame, room: list[int], scratch: Scratch) -> DataFrame:
     """(g, target) for the groups that settle. cells: (g, shard, n), the members of a group by shard; room: rows that each shard still takes."""
     settled, i = None, 0
@@ -117,14 +125,14 @@ def shard(docs: DataFrame, scratch: Scratch, *keep: str, text: str = "text", sha
     cut = [(g, r, r + n, s) for (g, _), p in zip(few, placed) if len(p) > 1 for r, (s, n) in zip(_starts(p), p)]
     base = base.withColumn("shard0", F.pmod("h", F.lit(shards)).cast("int"))
     spark = docs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(g,) for g, _ in few], "g binary"))
+    known = F.broadcast(_few(spark, [(g,) for g, _ in few], "g"))
     cells = base.join(known, "g", "left_anti").join(linked.where(~large), "g").groupBy("g", F.col("shard0").alias("shard")).agg(F.count("*").alias("n"))
     settled = propagate(scratch.write(cells, "cells"), room, scratch)
     columns = ["_keep", "id", "size", "text_crc32", "g", "shard0"]
-    cuts = F.broadcast(spark.createDataFrame(cut, "g binary, begin long, end long, target int"))  # 17 rows for each shard at most
-    heads = F.broadcast(spark.createDataFrame([(g,) for g in {c[0] for c in cut}], "g binary"))
+    cuts = F.broadcast(_few(spark, cut, "g", "begin", "end", "target"))  # 17 rows for each shard at most
+    heads = F.broadcast(_few(spark, [(g,) for g in {c[0] for c in cut}], "g"))
     at_home = base.join(known, "g", "left_anti").join(settled, "g", "left").select(*columns, "target")
-    at_home = at_home.unionByName(base.join(F.broadcast(spark.createDataFrame(whole, "g binary, target int")), "g").select(*columns, "target"))
+    at_home = at_home.unionByName(base.join(F.broadcast(_few(spark, whole, "g", "target")), "g").select(*columns, "target"))
     order = ["id", "size", "text_crc32"]
     parts = ranked(base.join(heads, "g", "left_semi").select(*columns), "g", None, order, rows, "r", bucket_rows=max(1, min(20000, rows // shards // 64)))
     parts = parts.join(cuts.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("r") >= F.col("begin")) & (F.col("r") < F.col("end"))).select(*columns, "target")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -669,3 +670,35 @@ def test_pipeline(spark):
     final = corpus_pipeline.sharding(spark, now, SF).collect()
     assert sorted(r.doc_id for r in final) == sorted(k for k, n in copies.items() for _ in range(n))
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in final)
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "tiles", "decontamination"])
+def test_workers_hold_slices(spark, monkeypatch, stage):
+    """However many texts a batch has, a worker unfolds few at once, and its results do not hold the batch."""
+    seen = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, run, schema: seen.append(run) or df)
+    text, n = "one two three four five six seven eight " * 40, 6000
+    docs = spark.createDataFrame([(1, text)], "id long, t string")
+    if stage == "quality":
+        quality_classifier.evidence(docs, [(np.zeros(1 << quality_classifier.BITS, np.float32), 0.0, 0.5)] * 2, "id", "t", text="t")
+    elif stage == "near_duplicates":
+        near_duplicates._prepare(docs, 5, 24, 5)
+    elif stage == "tiles":
+        near_duplicates._with_grams(docs.select(F.col("id").alias("node"), "t"), 5)
+    else:
+        decontamination._scan(docs, [(1, "nine ten eleven twelve")], "bigint", "id", text="t")
+    texts = [pa.array([text] * n)] * (2 if stage == "quality" else 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), *texts], names=["id", "t", "u"][: 1 + len(texts)])
+    rows, begun = [], pa.total_allocated_bytes()
+    for out in seen[0](iter([batch])):
+        rows += out.column(0).to_pylist()
+        assert out.num_rows <= common.SLICE
+        assert pa.total_allocated_bytes() - begun < batch.nbytes / 2
+    assert rows == list(range(n))
+
+
+def test_small_tables_start_no_workers(spark):
+    for rows in ([], [(b"a", 0, 5, 3), (b"b", 1, 9, 0)]):
+        few = sharding._few(spark, rows, "g", "begin", "end", "target")
+        assert few.schema.simpleString() == "struct<g:binary,begin:bigint,end:bigint,target:int>"
+        assert "RDD" not in few._jdf.queryExecution().toString() and [tuple(r) for r in few.collect()] == rows
