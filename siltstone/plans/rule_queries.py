@@ -12,6 +12,8 @@ from siltstone.plans.interval_queries import _E
 from siltstone.plans.state_queries import _NEW, _ON, _ST, _TRANSITIONS, _families, _files, _states
 
 _PIECE = 512
+#: A region of a whole source holds about so many bytes at most, a window of the engine.
+SOURCE_BYTES = 64 << 20
 
 
 def _chunks(s, d):
@@ -137,11 +139,16 @@ def _checksums(s, d):
 
 
 def gate_regions(s, d):
-    """Large regions, whole sources, and random ones: each outcome of the gate occurs."""
+    """Large regions, whole sources, and random ones: each outcome of the gate occurs. A source of over ``SOURCE_BYTES`` is dealt over several regions by its documents."""
     docs = s.read.parquet(f"{d}/documents.parquet")
-    text = docs.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("t"))
+    # The noise of a source is seeded with the length of its texts, joined; a column of its own, as a lambda would work it out anew for each hash.
+    sums = docs.groupBy("source").agg((F.coalesce(F.sum(F.length("text")), F.lit(0)) + F.greatest(F.count("text") - 1, F.lit(0))).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    large = sums.where(F.col("size") > SOURCE_BYTES).select(F.col("source").alias("_source"), F.ceil(F.col("size") / SOURCE_BYTES).alias("parts"))  # a row for each SOURCE_BYTES at most
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")), F.lit(0)).alias("part")
+    dealt = docs.join(F.broadcast(large), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", part, "text")
+    text = dealt.groupBy("source", "part").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("t"))
     plain = text.select(F.concat(F.lit("text-"), F.coalesce("source", F.lit(""))).alias("region"), F.encode("t", "UTF-8").alias("bytes"))
-    noise = text.select(F.concat(F.lit("noise-"), F.coalesce("source", F.lit(""))).alias("region"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: F.sha2(F.concat_ws(":", F.length("t"), "source", i).cast("binary"), 256)), "")).alias("bytes"))
+    noise = sums.select(F.concat(F.lit("noise-"), F.coalesce("source", F.lit(""))).alias("region"), F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4999)), lambda i: F.sha2(F.concat_ws(":", "n", "source", i).cast("binary"), 256)), "")).alias("bytes"))
     small = docs.select(F.concat(F.lit("small-"), F.col("doc_id")).alias("region"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("bytes"))
     rows = plain.unionByName(noise).unionByName(small).withColumn("chunks", F.lit(1))
     return rows.where("octet_length(bytes) > 0")
