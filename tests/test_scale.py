@@ -2,6 +2,7 @@
 
 import hashlib
 
+from siltstone.operators import similarity
 from siltstone.plans import rule_queries
 
 
@@ -20,3 +21,45 @@ def test_gate_regions_are_bounded(spark, tmp_path, monkeypatch):
     cut = rule_queries.gate_regions(spark, str(tmp_path)).where("region LIKE 'text-%'").collect()
     assert sorted(t for r in cut for t in bytes(r.bytes).decode().split("\n")) == sorted(t for x in texts.values() for t in x)
     assert max(len(r.bytes) for r in cut) < len("\n".join(texts["big"])) / 2 and {r.region for r in cut} == {"text-big", "text-", "text-one"}
+
+
+def test_candidates_of_a_hot_bucket(spark):
+    """A bucket offers its smallest ids, each once, whatever its size and however often an object holds a chunk."""
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for o in range(300):
+        for _ in range(rng.randint(1, 3)):
+            c = rng.randrange(200)
+            rows += [(o, f"{c * 7919 % 1000:03d}", 100 + c % 2, [f"f{c % 3}", f"g{c % 5}"], [rng_word(c, k) for k in range(8)])] * rng.randint(1, 2)
+    rng.shuffle(rows)
+    prints = spark.createDataFrame(rows, "object_id long, chunk_id string, length long, features array<string>, sketch array<long>")
+    buckets, first, sketch, want = {}, {}, {}, {}
+    for o, c, n, features, s in rows:
+        sketch[c] = s
+        first[c] = min(o, first.get(c, o))
+        for slot, f in enumerate(features):
+            buckets.setdefault((slot, n, f), set()).add(c)
+    for o, c, n, features, s in rows:
+        near = set()
+        for slot, f in enumerate(features):
+            near |= set(sorted(x for x in buckets[slot, n, f] if first[x] < o and x != c)[:5])
+        far = {x: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(s, sketch[x])) for x in near}
+        want[o, c] = [(x, far[x], k + 1) for k, x in enumerate(sorted(near, key=lambda x: (far[x], x))[:3])]
+    got = {k: [] for k in want}
+    for r in similarity.candidates(prints, 5, 3).orderBy("rank").collect():
+        got[r.object_id, r.chunk_id].append((r.candidate_id, r.distance, r["rank"]))
+    assert got == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = similarity.candidates(prints.repartition(3), 5, 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(again) == sum(map(len, want.values())) and all((r.candidate_id, r.distance, r["rank"]) in want[r.object_id, r.chunk_id] for r in again)
+    plan = similarity.candidates(prints)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # no pairs of a bucket's rows
+
+
+def rng_word(c, k):
+    return int.from_bytes(hashlib.sha256(f"{c}:{k}".encode()).digest()[:8], "big", signed=True)
