@@ -1,8 +1,13 @@
 """Steps that must stay bounded as tables grow, and results that must not depend on how they are bounded."""
 
 import hashlib
+import random
 
-from siltstone.operators import similarity
+from hypothesis import given
+from hypothesis import strategies as st
+
+from siltstone.functions import cdc
+from siltstone.operators import segments, similarity
 from siltstone.plans import rule_queries
 
 
@@ -25,8 +30,6 @@ def test_gate_regions_are_bounded(spark, tmp_path, monkeypatch):
 
 def test_candidates_of_a_hot_bucket(spark):
     """A bucket offers its smallest ids, each once, whatever its size and however often an object holds a chunk."""
-    import random
-
     rng = random.Random(5)
     rows = []
     for o in range(300):
@@ -63,3 +66,40 @@ def test_candidates_of_a_hot_bucket(spark):
 
 def rng_word(c, k):
     return int.from_bytes(hashlib.sha256(f"{c}:{k}".encode()).digest()[:8], "big", signed=True)
+
+
+@given(st.binary(max_size=60), st.lists(st.tuples(st.integers(0, 59), st.integers(0, 255)), max_size=30))
+def test_delta_size(base, changes):
+    target = bytearray(base)
+    for at, x in changes:
+        if at < len(target):
+            target[at] = x
+    assert cdc.delta_size(base, bytes(target)) == cdc.delta_cost(cdc.delta_runs(base, bytes(target)))
+
+
+def test_workers_hand_on_small_batches(spark, monkeypatch):
+    """A worker holds what it makes from a bounded number of bytes, and prints made beside the chunks are those of their bytes."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(i, rng.randbytes(3000)) for i in range(3000)] + [(5000, b""), (5001, None), (5002, b"a" * 4000)]
+    batch = pa.RecordBatch.from_pydict({"object_id": pa.array([r[0] for r in rows], pa.int64()), "bytes": pa.array([r[1] for r in rows], pa.binary())})
+    objects = spark.createDataFrame(rows, "object_id long, bytes binary")
+    profile = cdc.CdcProfile(3, 30, 64, 256, 4096)
+    kept = []
+    monkeypatch.setattr(type(objects), "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    segments.content_chunks(objects.select("object_id", "bytes"), profile, 512)
+    made = list(kept[0]([batch]))
+    monkeypatch.undo()
+    assert max(b.num_rows for b in made) < 2 * segments.FLUSH_ROWS and max(b.nbytes for b in made) < 2 * segments.FLUSH_BYTES and len(made) < 50
+    assert b"".join(x.as_py() or b"" for b in made for x in b.column("bytes")) == b"".join(x or b"" for i, x in rows if i != 5002)
+    some = objects.where("object_id % 100 = 2")
+    beside = similarity.fingerprints(segments.content_chunks(some, profile, 512, with_bytes=False, prints=True))
+    apart = similarity.fingerprints(segments.content_chunks(some, profile, 512).where("kind = 'DATA'"))
+    assert beside.count() == apart.count() > 0 and beside.exceptAll(apart).isEmpty()
+
+
+def test_byte_ranges(spark):
+    objects = spark.createDataFrame([(1, b"abcdef"), (2, b"ghij"), (3, b"klm")], "object_id long, bytes binary")
+    ranges = spark.createDataFrame([(1, 0, 2, "x"), (1, 4, 2, "y"), (3, 1, 1, "z")], "object_id long, input_offset long, raw_bytes long, name string")
+    assert {r.name: bytes(r.bytes) for r in segments.byte_ranges(objects, ranges).collect()} == {"x": b"ab", "y": b"ef", "z": b"l"}
