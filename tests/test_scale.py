@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import re
 
 from hypothesis import given
 from hypothesis import strategies as st
 
 from siltstone.functions import cdc
-from siltstone.operators import segments, similarity
+from siltstone.operators import reduction, segments, similarity
 from siltstone.plans import rule_queries
+from siltstone.policy import Policy
 
 
 def test_gate_regions_are_bounded(spark, tmp_path, monkeypatch):
@@ -103,3 +105,15 @@ def test_byte_ranges(spark):
     objects = spark.createDataFrame([(1, b"abcdef"), (2, b"ghij"), (3, b"klm")], "object_id long, bytes binary")
     ranges = spark.createDataFrame([(1, 0, 2, "x"), (1, 4, 2, "y"), (3, 1, 1, "z")], "object_id long, input_offset long, raw_bytes long, name string")
     assert {r.name: bytes(r.bytes) for r in segments.byte_ranges(objects, ranges).collect()} == {"x": b"ab", "y": b"ef", "z": b"l"}
+
+
+def test_reduction_keeps_no_payload(spark):
+    """What a reduction keeps between its steps has no bytes of objects, and each object's bytes move once for its regions."""
+    rng = random.Random(3)
+    base = rng.randbytes(60000)
+    objects = spark.createDataFrame([(0, base), (1, base[:30000] + b"x" + base[30001:]), (2, b"abc" * 9000)], "object_id long, bytes binary")
+    done = reduction.reduce(objects, Policy.preset("all", profile=cdc.CdcProfile(6, 50, 256, 8192, 16384)))
+    plan = done.report()._jdf.queryExecution().optimizedPlan().toString()
+    kept = re.findall(r"InMemoryRelation \[(.*?)\]", plan)
+    assert kept and not any(re.search(r"\bbytes#|\bpayload#", x) for x in kept)
+    assert done.deltas.where("accepted").count() == 1 and {r.object_id: bytes(r.bytes) for r in done.restore().collect()} == {r.object_id: bytes(r.bytes) for r in objects.collect()}
