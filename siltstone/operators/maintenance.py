@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,26 +77,67 @@ def replacement_batches(copies: DataFrame, target: int = TARGET_BYTES, chunks: i
     """Adds batch and place to the copies of ``replacement_order``, in the order of containers: a batch closes before it would exceed ``target`` bytes or
     ``chunks`` chunks.
 
-    The rule is sequential, so it runs over one sorted partition with three carried numbers; the rows are those of a
-    collection's replaced chunks, without payload.
+    The rule is sequential, but it needs lengths only: containers are sorted side by side and their lengths, eight bytes a row, go through one
+    task, which finds the batch, place and bytes that each container begins with. From there containers are packed side by side again.
     """
     names = ["container_id", "chunk_ordinal", *KEY]
+    rows = copies.select(*names).repartition("container_id").sortWithinPartitions(*names)
+    kind = rows.schema["container_id"].dataType.simpleString()
+
+    def step(lengths, batch_no, place, size):
+        """(batch, place) of each length, and the state behind them."""
+        at, places = [], []
+        for n in lengths:
+            if place and (size + n > target or place >= chunks):
+                batch_no, place, size = batch_no + 1, 0, 0
+            at.append(batch_no)
+            places.append(place)
+            place, size = place + 1, size + n
+        return at, places, (batch_no, place, size)
+
+    def lengths(batches):
+        part = 0
+        for batch in batches:
+            # Runs of one container; a container's later parts have higher numbers.
+            ids, sizes = batch.column(0), batch.column(3).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), len(ids)] if len(ids) else []
+            spans = list(zip(edges, edges[1:]))
+            packed = [sizes[x:y].astype("<i8").tobytes() for x, y in spans]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([x for x, _ in spans], pa.int64())), pa.array(range(part, part + len(spans)), pa.int64()), pa.array(packed, pa.binary())], names=["container_id", "part", "lengths"])
+            part += len(spans)
+
+    def states(batches):
+        state, last = (0, 0, 0), None
+        for batch in batches:
+            out = []
+            for c, packed in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if c != last or last is None:
+                    out.append((c, *state))
+                last, state = c, step(np.frombuffer(packed.as_py(), "<i8").tolist(), *state)[2]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.types[0]), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["container_id", "_batch", "_place", "_size"])
 
     def run(batches):
-        batch_no, place, size = 0, 0, 0
+        state, last = None, None
         for batch in batches:
-            at, places = [], []
-            for n in batch.column("logical_length").to_pylist():
-                if place and (size + n > target or place >= chunks):
-                    batch_no, place, size = batch_no + 1, 0, 0
-                at.append(batch_no)
-                places.append(place)
-                place, size = place + 1, size + n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(places, pa.int64())], names=[*names, "batch", "place"])
-
-    rows = copies.select(*names)
+            ids, sizes = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            begins = list(zip(*(batch.column(k).to_pylist() for k in (4, 5, 6))))
+            at, places, k = [], [], 0
+            while k < len(ids):
+                if state is None or ids[k] != last:
+                    last, state = ids[k], begins[k]
+                end = k
+                while end < len(ids) and ids[end] == last:
+                    end += 1
+                a, p, state = step(sizes[k:end], *state)
+                at, places, k = at + a, places + p, end
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(at, pa.int64()), pa.array(places, pa.int64())], names=[*names, "batch", "place"])
+
+    narrow = rows.mapInArrow(lengths, f"container_id {kind}, part long, lengths binary")
+    begin = narrow.repartition(1).sortWithinPartitions("container_id", "part").mapInArrow(states, f"container_id {kind}, _batch long, _place long, _size long")
     schema = ", ".join([*(f"`{x.name}` {x.dataType.simpleString()}" for x in rows.schema.fields), "batch long, place long"])
-    return rows.coalesce(1).sortWithinPartitions(*names).mapInArrow(run, schema)
+    dealt = copies.select(*names).repartition("container_id").join(begin, "container_id")
+    return dealt.select(*names, "_batch", "_place", "_size").repartition("container_id").sortWithinPartitions(*names).mapInArrow(run, schema)
 
 
 def collect_garbage(container_chunks: DataFrame, online: DataFrame, files: DataFrame, domain: str, generation: int) -> DataFrame:

@@ -6,9 +6,10 @@ import re
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siltstone.functions import cdc
-from siltstone.operators import reduction, segments, similarity
+from siltstone.operators import maintenance, reduction, segments, similarity
 from siltstone.plans import rule_queries
 from siltstone.policy import Policy
 
@@ -116,4 +117,29 @@ def test_reduction_keeps_no_payload(spark):
     plan = done.report()._jdf.queryExecution().optimizedPlan().toString()
     kept = re.findall(r"InMemoryRelation \[(.*?)\]", plan)
     assert kept and not any(re.search(r"\bbytes#|\bpayload#", x) for x in kept)
-    assert done.deltas.where("accepted").count() == 1 and {r.object_id: bytes(r.bytes) for r in done.restore().collect()} == {r.object_id: bytes(r.bytes) for r in objects.collect()}
+    alone = reduction.reduce(objects, Policy.preset("delta", profile=done.policy.profile))
+    assert [(r.object_id, r.cost) for r in alone.deltas.where("accepted").collect()] == [(1, 36 + 9)]
+    assert {r.object_id: bytes(r.bytes) for r in done.restore().collect()} == {r.object_id: bytes(r.bytes) for r in objects.collect()}
+
+
+def test_batches_are_packed_side_by_side(spark):
+    """Containers go on from the state that those before them leave; only lengths pass through one task."""
+    rng = random.Random(11)
+    rows = [(f"c{rng.randrange(40)}", rng.randrange(1000), f"k{i}", rng.choice([10, 400, 900, 1500])) for i in range(3000)]
+    copies = spark.createDataFrame(rows, "container_id string, chunk_ordinal long, chunk_id string, logical_length long")
+    want, batch, place, size = [], 0, 0, 0
+    for row in sorted(rows):
+        if place and (size + row[3] > 5000 or place >= 7):
+            batch, place, size = batch + 1, 0, 0
+        want.append((*row, batch, place))
+        place, size = place + 1, size + row[3]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = maintenance.replacement_batches(copies.repartition(5), 5000, 7)
+        assert sorted(map(tuple, packed.collect())) == sorted(want)
+        assert packed.groupBy(F.spark_partition_id()).count().count() > 1
+        assert maintenance.replacement_batches(copies.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
