@@ -26,7 +26,9 @@ def newest_wins(entries: DataFrame, key: list[str] | None = None) -> DataFrame:
 
 
 def run_sorted(entries: DataFrame, partitions: int) -> DataFrame:
-    """Entries in the order of a run: ranges of chunk ids by partition, sorted within. No chunk id is in two partitions."""
+    """Entries in the order of a run: ranges of chunk ids by partition, sorted within. No chunk id is in two partitions. There are ``partitions`` of them, and
+    more where they would hold over PARTITION_ENTRIES on average."""
+    partitions = max(partitions, -(-entries.count() // PARTITION_ENTRIES))
     return entries.repartitionByRange(partitions, "chunk_id").sortWithinPartitions(*LOCATION)
 
 
