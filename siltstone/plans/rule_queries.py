@@ -209,12 +209,14 @@ def _fallback(s, d):
 def _approximate(s, d):
     """Distinct users by event type, and whether the sketch is within 5 %."""
     e = s.read.parquet(f"{d}/events.parquet")
-    sums = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("near"), F.countDistinct("user_id").alias("users"))
+    # Apart from each other: beside a distinct count a sketch would be kept for each user.
+    near = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.01).alias("near")).withColumnRenamed("event_type", "_type")
+    sums = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users")).join(near, F.col("event_type").eqNullSafe(F.col("_type")))
     return sums.select("event_type", "users", (F.abs(F.col("near") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("close"))
 
 
 def _run(s, d):
-    """A run of four ranges: whether each partition is sorted and no chunk id is in two."""
+    """A run of at least four ranges: whether each partition is sorted and no chunk id is in two."""
     run = index.run_sorted(_entries(s, d).select(*index.LOCATION, "generation"), 4).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
     by = Window.partitionBy("p").orderBy("i")
     marked = run.withColumn("sorted", F.coalesce(F.lag("chunk_id").over(by) <= F.col("chunk_id"), F.lit(True)))

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import cdc
-from siltstone.operators import maintenance, reduction, segments, similarity
+from siltstone.operators import index, maintenance, reduction, segments, similarity
 from siltstone.plans import rule_queries
 from siltstone.policy import Policy
 
@@ -143,3 +143,29 @@ def test_batches_are_packed_side_by_side(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_approximate_distinct_keeps_one_sketch_a_type(spark, tmp_path):
+    rows = [(i, i % 50, None if i % 3 == 0 else "view") for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = rule_queries.QUERIES["approximate_distinct"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == [("view", 50, True), (None, 50, True)]
+    for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert "approx_count_distinct" not in line or "user_id" not in line.split("[")[1].split("]")[0]  # no sketch for each user
+
+
+def test_runs_get_more_ranges_with_more_entries(spark, monkeypatch):
+    entries = spark.range(4000).selectExpr("md5(CAST(id % 900 AS STRING)) AS chunk_id", "id AS logical_length", "'c' AS container_id", "id AS record_offset", "id AS chunk_ordinal")
+    assert index.run_sorted(entries, 4).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(index, "PARTITION_ENTRIES", 100)
+    parts = index.run_sorted(entries, 4).rdd.map(lambda r: r.chunk_id).glom().collect()
+    assert len(parts) == 40 and max(map(len, parts)) < 400 and all(p == sorted(p) for p in parts)
+    assert sum(len(set(p)) for p in parts) == 900 and sum(map(len, parts)) == 4000
+
+
+def test_index_faults_need_no_join(spark):
+    prints = spark.createDataFrame([("a", 1, ["x", "y"]), ("a", 1, ["x", "y"]), ("b", None, ["z"])], "chunk_id string, length long, features array<string>")
+    postings = spark.createDataFrame([(0, "x", 1, "a"), (0, "x", 1, "a"), (2, "y", 1, "a")], "slot int, feature string, length long, chunk_id string")
+    got = similarity.index_faults(prints, postings)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, "y", "MISSING"), ("a", 2, "y", "EXTRA"), ("b", 0, "z", "MISSING")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
