@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import cdc
-from siltstone.operators import index, maintenance, reduction, segments, similarity
+from siltstone.operators import index, maintenance, reduction, replay, segments, similarity
 from siltstone.plans import rule_queries
 from siltstone.policy import Policy
 
@@ -169,3 +169,18 @@ def test_index_faults_need_no_join(spark):
     got = similarity.index_faults(prints, postings)
     assert sorted(map(tuple, got.collect())) == [("a", 1, "y", "MISSING"), ("a", 2, "y", "EXTRA"), ("b", 0, "z", "MISSING")]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_replay_of_packed_blocks(spark, monkeypatch):
+    """The trace reaches a replay whole and in order, in blocks: its task sorts no events."""
+    rng = random.Random(2)
+    events = [(s, rng.choice(["PUBLISHED", "LOOKUP", "EXACT_REUSE"]), rng.randrange(60), rng.randrange(1000)) for s in range(5000)]
+    trace = spark.createDataFrame(rng.sample(events, len(events)), "seq long, kind string, key long, verify_bytes long")
+    monkeypatch.setattr(replay, "BLOCK_ROWS", 64)
+    got = {(r.policy, r.budget): r for r in replay.replay(trace, ["s3fifo", "sieve"], [1920, 5760]).collect()}
+    assert len(got) == 4
+    for (policy, budget), r in got.items():
+        assert {c: r[c] for c in replay.COUNTS} == replay.replay_events([e[1:] for e in events], policy, budget)
+    plan = replay.replay(trace, ["sieve"], [1920])._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("verify_bytes" in x for x in plan.split("\n") if "policy ASC" in x or "policy#" in x and "Sort" in x) and plan.count("MapInArrow") == 2
+    assert replay.replay(trace.limit(0), ["sieve"], [1920]).count() == 0
