@@ -99,12 +99,26 @@ def rewrite(extents: DataFrame, edits: DataFrame, new: DataFrame, resize: bool =
     span = F.col("range_end") - F.col("range_start")
     good = (F.col("range_start") >= 0) & (span >= 0) & (F.col("range_end") <= F.col("file_end")) & ((span > 0) | (F.col("new_length") > 0))
     sized = sized.where(good if resize else good & (span == F.col("new_length"))).withColumn("shift", F.col("new_length") - span)
-    left = slice_extents(extents, sized.select("file_id", F.lit(0).cast("long").alias("range_start"), F.col("range_start").alias("range_end"))).select(*_RECIPE)
-    right = slice_extents(extents, sized.select("file_id", F.col("range_end").alias("range_start"), F.col("file_end").alias("range_end"))).select(*_RECIPE)
-    right = right.join(sized.select("file_id", "shift"), "file_id").withColumn("logical_offset", F.col("logical_offset") + F.col("shift")).select(*_RECIPE)
     inside = new.join(sized.select("file_id", "range_start"), "file_id").withColumn("logical_offset", F.col("logical_offset") + F.col("range_start")).select(*_RECIPE)
-    untouched = extents.join(sized.select("file_id"), "file_id", "left_anti").select(*_RECIPE)
-    return left.unionByName(inside).unionByName(right).unionByName(untouched)
+    # One pass over the extents: what lies before the range, and behind it, of those in an edited file; the others as they are.
+    met = extents.join(sized.select("file_id", "range_start", "range_end", "file_end", "shift"), "file_id", "left")
+    before = (F.col("logical_offset") < F.col("range_start")) & (_end() > 0)
+    behind = (F.col("logical_offset") < F.col("file_end")) & (_end() > F.col("range_end"))
+    zero = F.lit(0).cast("long")
+    parts = F.array_compact(F.array(
+        F.when(F.col("shift").isNull(), _piece(F.col("logical_offset"), _end(), zero)),
+        F.when(before, _piece(F.greatest("logical_offset", zero), F.least(_end(), F.col("range_start")), zero)),
+        F.when(behind, _piece(F.greatest("logical_offset", "range_end"), F.least(_end(), F.col("file_end")), F.col("shift"))),
+    ))
+    kept = met.select("file_id", F.explode(parts).alias("e"), "chunk_id", "chunk_length").select("file_id", "e.*", "chunk_id", "chunk_length").select(*_RECIPE)
+    return kept.unionByName(inside)
+
+
+def _piece(start, end, shift):
+    """The part of an extent from ``start`` to ``end``, moved by ``shift``; a part of a chunk is a SLICE."""
+    cut = (start > F.col("logical_offset")) | (end < _end())
+    kind = F.when((F.col("kind") == "DATA") & cut, F.lit("SLICE")).otherwise(F.col("kind"))
+    return F.struct((start + shift).alias("logical_offset"), (end - start).alias("length"), kind.alias("kind"), (F.col("chunk_offset") + start - F.col("logical_offset")).alias("chunk_offset"))
 
 
 def read_pieces(extents: DataFrame, ranges: DataFrame, payload: DataFrame) -> DataFrame:

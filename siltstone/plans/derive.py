@@ -152,14 +152,27 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def frame(spark, sf_dir: str, name: str):
+#: Bytes of a table, as Spark's statistics have them, for which a dealt table gets one more partition.
+DEAL_BYTES = 1 << 20
+
+
+def frame(spark, sf_dir: str, name: str, deal: str | None = None):
+    """The table; ``deal`` names the column by which its windows go, of many values: a larger table is dealt by it to more partitions, so that what a task sorts
+    does not grow with the table, whatever the session's number of partitions is."""
     table, columns = DERIVED[name]
     columns = [c.replace(" // ", " DIV ") for c in columns]
     if not table.startswith("("):
-        return spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*columns)
+        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        parts = -(-int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // DEAL_BYTES) if deal else 0
+        return (rows.repartition(parts, deal) if parts > spark.sparkContext.defaultParallelism else rows).selectExpr(*columns)
     inner = re.sub(r"FROM (\w+)\)", lambda m: f"FROM parquet.`{sf_dir}/{m[1]}.parquet`)", table)
     return spark.sql(f"SELECT {', '.join(columns)} FROM {inner}")
 
 
+def extents(spark, sf_dir: str):
+    """The extents with their offsets, dealt by file."""
+    return frame(spark, sf_dir, "extents", "l_orderkey")
+
+
 def cte(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS (SELECT {', '.join(DERIVED[n][1])} FROM {DERIVED[n][0]})" for n in names)

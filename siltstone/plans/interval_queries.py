@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.operators import intervals as iv
-from siltstone.plans.derive import cte, frame
+from siltstone.plans.derive import cte, extents, frame
 
 _E = "logical_offset + length"
 _CUT = f"greatest(logical_offset, range_start) AS s, least({_E}, range_end) AS e"
 _HIT = f"logical_offset < range_end AND {_E} > range_start"
 
 QUERIES = {
-    "extent_partition_check": lambda s, d: iv.partition_check(frame(s, d, "extents")),
-    "range_read_extents": lambda s, d: iv.range_read(frame(s, d, "extents"), frame(s, d, "ranges")).select("file_id", "ordinal", "logical_offset", "length", "kind"),
-    "slice_extents": lambda s, d: iv.slice_extents(frame(s, d, "extents"), frame(s, d, "ranges")),
-    "allocated_in_range": lambda s, d: iv.allocated_in_range(frame(s, d, "extents"), frame(s, d, "ranges")),
-    "scan_summary": lambda s, d: iv.scan_summary(frame(s, d, "extents")),
+    "extent_partition_check": lambda s, d: iv.partition_check(extents(s, d)),
+    "range_read_extents": lambda s, d: iv.range_read(extents(s, d), frame(s, d, "ranges")).select("file_id", "ordinal", "logical_offset", "length", "kind"),
+    "slice_extents": lambda s, d: iv.slice_extents(extents(s, d), frame(s, d, "ranges")),
+    "allocated_in_range": lambda s, d: iv.allocated_in_range(extents(s, d), frame(s, d, "ranges")),
+    "scan_summary": lambda s, d: iv.scan_summary(extents(s, d)),
     "coalesce_ranges": lambda s, d: iv.coalesce_ranges(frame(s, d, "dirty")),
     "lww_overlay": lambda s, d: iv.overlay(frame(s, d, "writes")),
-    "truncate": lambda s, d: iv.truncate(frame(s, d, "extents"), frame(s, d, "ranges").select("file_id", F.col("range_end").alias("new_size"))),
+    "truncate": lambda s, d: iv.truncate(extents(s, d), frame(s, d, "ranges").select("file_id", F.col("range_end").alias("new_size"))),
     "clone_contract": lambda s, d: iv.clone_contract(frame(s, d, "clone_requests")).groupBy("status").agg(F.count("*").alias("requests"), F.min("request_id").alias("first_request")),
     "manifest_choice": lambda s, d: iv.manifest_choice(frame(s, d, "manifests")).select("file_id", "choice"),
-    "splice": lambda s, d: iv.splice(frame(s, d, "extents"), frame(s, d, "ranges").withColumn("new_length", F.lit(700).cast("long"))).groupBy("file_id").agg(F.max(F.col("logical_offset") + F.col("length")).alias("new_size"), F.count("*").alias("extents"), F.sum("length").alias("covered")),
-    "recipe_leaves": lambda s, d: iv.leaves(frame(s, d, "extents")).groupBy("file_id", "window", "leaf").agg(F.count("*").alias("extents"), F.sum("length").alias("bytes")),
-    "rechunk_ranges": lambda s, d: iv.rechunk_ranges(frame(s, d, "ranges"), frame(s, d, "extents"), 4096),
+    "splice": lambda s, d: iv.splice(extents(s, d), frame(s, d, "ranges").withColumn("new_length", F.lit(700).cast("long"))).groupBy("file_id").agg(F.max(F.col("logical_offset") + F.col("length")).alias("new_size"), F.count("*").alias("extents"), F.sum("length").alias("covered")),
+    "recipe_leaves": lambda s, d: iv.leaves(extents(s, d)).groupBy("file_id", "window", "leaf").agg(F.count("*").alias("extents"), F.sum("length").alias("bytes")),
+    "rechunk_ranges": lambda s, d: iv.rechunk_ranges(frame(s, d, "ranges"), extents(s, d), 4096),
     "range_difference": lambda s, d: iv.subtract_ranges(frame(s, d, "dirty"), frame(s, d, "writes").select("file_id", "range_start", "range_end")),
 }
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, dedup, encoding, generations, index, maintenance, report, similarity
 from siltstone.operators import intervals as iv
-from siltstone.plans.derive import cte, frame
+from siltstone.plans.derive import cte, extents, frame
 from siltstone.plans.interval_queries import _E
 from siltstone.plans.state_queries import _NEW, _ON, _ST, _TRANSITIONS, _families, _files, _states
 
@@ -244,11 +244,11 @@ def _names(s, d):
 
 QUERIES = {
     "read_bytes": _read,
-    "cloned_extents": lambda s, d: iv.cloned_extents(frame(s, d, "extents"), frame(s, d, "clones")),
-    "clone_status": lambda s, d: iv.clone_range(frame(s, d, "extents"), frame(s, d, "clones")).select("clone_id", "status"),
-    "rewrite_range": lambda s, d: _digest(iv.rewrite(frame(s, d, "extents"), frame(s, d, "ranges"), _new(s, d))),
-    "splice_range": lambda s, d: _digest(iv.rewrite(frame(s, d, "extents"), frame(s, d, "ranges"), _new(s, d), resize=True)),
-    "append_extents": lambda s, d: _digest(iv.append(frame(s, d, "extents").drop("ordinal"), _new(s, d))),
+    "cloned_extents": lambda s, d: iv.cloned_extents(extents(s, d), frame(s, d, "clones")),
+    "clone_status": lambda s, d: iv.clone_range(extents(s, d), frame(s, d, "clones")).select("clone_id", "status"),
+    "rewrite_range": lambda s, d: _digest(iv.rewrite(extents(s, d), frame(s, d, "ranges"), _new(s, d))),
+    "splice_range": lambda s, d: _digest(iv.rewrite(extents(s, d), frame(s, d, "ranges"), _new(s, d), resize=True)),
+    "append_extents": lambda s, d: _digest(iv.append(extents(s, d).drop("ordinal"), _new(s, d))),
     "layered_read": _layers,
     "restore_objects": _restored,
     "index_insert": lambda s, d: dedup.insert_no_replace(_owner_index(s, d).where("owner_object % 2 = 0"), _chunks(s, d).select("chunk_id", "length", F.col("lang").alias("place"))).select("chunk_id", "length"),
@@ -256,7 +256,7 @@ QUERIES = {
     "lookup_fallback": _fallback,
     "reuse_opportunity": lambda s, d: dedup.reuse_opportunity(_chunks(s, d).drop("bytes"), "lang"),
     "object_digests": lambda s, d: dedup.object_digest(_chunks(s, d).drop("bytes")),
-    "matrix_rollup": lambda s, d: report.rollup(frame(s, d, "extents").withColumn("w", F.col("ordinal") % 3), "kind", "w"),
+    "matrix_rollup": lambda s, d: report.rollup(extents(s, d).withColumn("w", F.col("ordinal") % 3), "kind", "w"),
     "index_rebuild": lambda s, d: index.rebuild(frame(s, d, "container_chunks").withColumn("record_offset", F.col("chunk_ordinal") * 64), 5).groupBy("container_id").agg(F.count("*").alias("entries"), F.sum("record_offset").alias("offsets"), F.max("generation").alias("generation")),
     "run_build": _run,
     "compact_families": _compacted,
@@ -273,7 +273,7 @@ QUERIES = {
     "root_faults": lambda s, d: generations.root_faults(frame(s, d, "roots"), frame(s, d, "root_inodes")),
     "name_faults": _names,
     "plan_is_current": _plan_current,
-    "reorder_excess": lambda s, d: report.reorder_excess(report.reorder_rank(frame(s, d, "extents").select(F.col("file_id").alias("object_id"), "ordinal", F.lit(0).alias("window"), F.col("chunk_id").alias("features"))), 3).select("object_id", "ordinal", "moved"),
+    "reorder_excess": lambda s, d: report.reorder_excess(report.reorder_rank(extents(s, d).select(F.col("file_id").alias("object_id"), "ordinal", F.lit(0).alias("window"), F.col("chunk_id").alias("features"))), 3).select("object_id", "ordinal", "moved"),
     "phase_metrics": lambda s, d: report.phase_metrics(frame(s, d, "phases"), "checkpoint"),
     "result_rows": lambda s, d: report.result_rows(frame(s, d, "records").groupBy(F.col("chunks").cast("string").alias("policy")).agg(F.sum("raw_bytes").alias("logical_bytes"), F.sum("payload_bytes").alias("payload_bytes"), F.sum(F.col("line") * 512).alias("exact_hit_bytes"))),
     "location_faults": _locations,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import cdc
 from siltstone.operators import index, maintenance, reduction, replay, segments, similarity
-from siltstone.plans import rule_queries
+from siltstone.plans import derive, rule_queries
 from siltstone.policy import Policy
 
 
@@ -184,3 +184,20 @@ def test_replay_of_packed_blocks(spark, monkeypatch):
     plan = replay.replay(trace, ["sieve"], [1920])._jdf.queryExecution().optimizedPlan().toString()
     assert not any("verify_bytes" in x for x in plan.split("\n") if "policy ASC" in x or "policy#" in x and "Sort" in x) and plan.count("MapInArrow") == 2
     assert replay.replay(trace.limit(0), ["sieve"], [1920]).count() == 0
+
+
+def test_larger_tables_are_dealt_to_more_partitions(spark, monkeypatch):
+    """What a window of the extents sorts in one task is bounded by the table's size in all, not by the session's number of partitions."""
+    folder = "/root/testdata/sf0.001"
+    few = {tuple(r) for r in derive.extents(spark, folder).collect()}
+    monkeypatch.setattr(derive, "DEAL_BYTES", 4096)
+    many = derive.extents(spark, folder)
+    assert many.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert {tuple(r) for r in many.collect()} == few
+    sizes = [len(x) for x in many.rdd.glom().collect()]
+    assert max(sizes) < sum(sizes) / 8
+
+
+def test_rewrite_passes_once_over_the_extents(spark):
+    plan = rule_queries.QUERIES["splice_range"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 3  # the extents, and the ends of the files for either side
